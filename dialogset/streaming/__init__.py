@@ -1,0 +1,5 @@
+"""Streaming.
+
+The reference has no streams, watermarks or state: extraction is a batch
+query. Nothing is built here on purpose (see README, "Re-aimed and skipped").
+"""
