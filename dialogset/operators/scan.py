@@ -34,12 +34,11 @@ def _order_cols(order: Order) -> list[Column]:
 
 
 def _order_key(order: Order) -> Column:
-    """A struct that sorts ascending in the scan order (descending keys are
-    negated, so they must be numeric)."""
-    fields = []
-    for i, (c, asc) in enumerate(order):
-        fields.append((F.col(c) if asc else -F.col(c)).alias(f"k{i}"))
-    return F.struct(*fields)
+    """A value that sorts ascending in the scan order (descending keys are
+    negated, so they must be numeric). A single key stays a plain column so
+    the block aggregate remains a hash aggregate."""
+    fields = [(F.col(c) if asc else -F.col(c)).alias(f"k{i}") for i, (c, asc) in enumerate(order)]
+    return fields[0] if len(fields) == 1 else F.struct(*fields)
 
 
 def ordered_scan(
@@ -75,7 +74,7 @@ def ordered_scan(
     ranged = df.repartitionByRange(n_blocks, *[F.col(k) for k in keys], *_order_cols(order)).withColumn(
         "_blk", F.spark_partition_id()
     )
-    ranged = pin(ranged)
+    ranged = pin(ranged, "scan")
 
     okey = _order_key(order)
     block_aggs = [F.count(F.lit(1)).alias("_bn")]

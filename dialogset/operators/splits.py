@@ -31,12 +31,19 @@ def dev_test_cut(
 ) -> DataFrame:
     """The first ``floor(n/4)`` examples of ``cut_split`` in ``order``
     become ``dev``; the rest stay ``test``; other splits keep their name.
-    Adds ``part``."""
+    Adds ``part``.
+
+    Only the order keys are scanned (a distributed row number over narrow
+    rows); the example at position ``floor(n/4)`` gives a threshold key, and
+    the wide rows are compared against it as a scalar: no wide row moves."""
+    key = F.struct(*[(F.col(c) if asc else -F.col(c)).alias(f"o{i}") for i, (c, asc) in enumerate(order)])
     cut = examples.where(F.col(split_col) == cut_split)
-    rest = examples.where(~F.col(split_col).eqNullSafe(F.lit(cut_split)))
-    s = ordered_scan(cut, [], list(order), seq_col="_pos", size_col="_n")
-    s = s.withColumn("part", F.when(F.col("_pos") < F.floor(F.col("_n") / 4), "dev").otherwise(cut_split))
-    return s.drop("_pos", "_n").unionByName(rest.withColumn("part", F.col(split_col)))
+    narrow = cut.select(*[c for c, _ in order])
+    s = ordered_scan(narrow, [], list(order), seq_col="_pos", size_col="_n")
+    threshold = s.where(F.col("_pos") == F.floor(F.col("_n") / 4)).select(key.alias("k")).scalar()
+    in_dev = (F.col(split_col) == cut_split) & F.coalesce(key < threshold, F.lit(False))
+    is_cut = F.col(split_col) == cut_split
+    return examples.withColumn("part", F.when(in_dev, "dev").when(is_cut, cut_split).otherwise(F.col(split_col)))
 
 
 def batch_ids(df: DataFrame, batch: int = 32, row_col: str = "row_id", out: str = "batch_id") -> DataFrame:

@@ -31,6 +31,7 @@ from dialogset.operators.scan import ordered_scan
 from dialogset.schema import CONV_KEYS
 
 DEFAULT_CHUNK = 1 << 16  # characters per lookup partition
+_ROW_TYPE = "array<struct<kind:int,which:string,q:bigint,chunk:bigint,key:bigint,cand:bigint>>"
 
 
 def utterance_positions(msgs: DataFrame, keys=CONV_KEYS) -> DataFrame:
@@ -67,64 +68,64 @@ def utterance_positions(msgs: DataFrame, keys=CONV_KEYS) -> DataFrame:
     )
 
 
-def _covering(pos: DataFrame, queries: DataFrame, keys, chunk: int) -> DataFrame:
-    """For each query row (``keys``, ``_q`` in ``[0, conv_chars)``, payload)
-    add ``_hit``: the ``idx`` of the utterance whose ``[B, E)`` contains ``_q``.
+def _lookups(pos: DataFrame, ctx: int, keys, chunk: int, directions: tuple[str, ...]) -> DataFrame:
+    """Answer the budget lookups of every utterance in one pass.
 
-    Utterances are replicated into every ``chunk``-character slice they
-    touch; a query goes to the slice of its position. In a slice the covering
-    utterance is the last one starting at or before ``_q`` (a running max in
-    position order). Slices bound the work per task even for one giant
-    conversation; replication adds at most ``length / chunk + 1`` rows."""
-    cands = pos.where(F.col("n_chars") > 0).select(
-        *keys,
-        F.explode(
-            F.sequence(
-                F.floor(F.col("chars_before") / chunk),
-                F.floor((F.col("chars_before") + F.col("n_chars") - 1) / chunk),
-            )
-        ).alias("_chunk"),
-        F.col("chars_before").alias("_key"),
-        F.lit(0).alias("_kind"),
-        F.col("idx").alias("_cand"),
-    )
-    qs = queries.withColumn("_chunk", F.floor(F.col("_q") / chunk)).withColumn("_key", F.col("_q")).withColumn(
-        "_kind", F.lit(1)
+    Each utterance emits one query row per direction (``b``: position
+    ``B - ctx``; ``f``: position ``E + ctx - 1``) and, if it has text, one
+    candidate row per ``chunk``-character slice it covers. Query and
+    candidates meet in a window partitioned by (conversation, slice); the
+    covering utterance is the last candidate starting at or before the query
+    position (a running max in position order). Slices bound the work per
+    task even for one giant conversation; replication adds at most
+    ``length / chunk + 1`` rows per utterance.
+
+    Returns the query rows: the columns of ``pos`` plus ``_which`` and
+    ``_hit`` (``start(j)`` for ``b``, ``end(j)`` for ``f``)."""
+    payload = pos.columns
+    b = F.col("chars_before")
+    e = b + F.col("n_chars")
+    qpos = {"b": b - ctx, "f": e + ctx - 1}
+
+    def row(kind, which, q, ch, key, cand):
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            F.lit(which).cast("string").alias("which"),
+            q.cast("long").alias("q"),
+            ch.cast("long").alias("chunk"),
+            key.cast("long").alias("key"),
+            cand.cast("long").alias("cand"),
+        )
+
+    queries = F.array(*[row(1, d, qpos[d], F.floor(qpos[d] / chunk), qpos[d], F.lit(None)) for d in directions])
+    slices = F.sequence(F.floor(b / chunk), F.floor((e - 1) / chunk))
+    cands = F.when(
+        F.col("n_chars") > 0,
+        F.transform(slices, lambda c: row(0, None, F.lit(None), c, b, F.col("idx"))),
+    ).otherwise(F.array().cast(_ROW_TYPE))
+    rows = pos.select(*payload, F.explode(F.concat(cands, queries)).alias("_r")).select(*payload, "_r.*")
+    w = Window.partitionBy(*keys, "chunk").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    hit = rows.withColumn("_run", F.max("cand").over(w)).where(F.col("kind") == 1)
+    value = (
+        F.when(F.col("which") == "b", F.when(F.col("q") < 0, F.lit(0)).otherwise(F.col("_run")))
+        .otherwise(F.when(F.col("q") >= F.col("conv_chars"), F.col("n_turns") - 1).otherwise(F.col("_run")))
+        .cast("long")
     )
-    both = qs.unionByName(cands, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_key", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    hit = both.withColumn("_hit", F.max("_cand").over(w)).where(F.col("_kind") == 1)
-    return hit.drop("_chunk", "_key", "_kind", "_cand")
+    return hit.select(*payload, F.col("which").alias("_which"), value.alias("_hit"))
 
 
 def context_bounds(pos: DataFrame, ctx: int, keys=CONV_KEYS, chunk: int | None = None) -> DataFrame:
-    """W1 + W2: add ``start_idx`` (backward budget) and ``end_idx`` (forward
-    budget) to every utterance of ``utterance_positions``.
+    """W1 + W2: ``start_idx`` (backward budget) and ``end_idx`` (forward
+    budget) of every utterance of ``utterance_positions`` (one row each).
 
     ``ctx <= 0`` gives ``start = end = idx``."""
     if ctx <= 0:
         return pos.withColumn("start_idx", F.col("idx")).withColumn("end_idx", F.col("idx"))
-    chunk = chunk or max(DEFAULT_CHUNK, ctx)
-    payload = pos.columns
-    b, e = F.col("chars_before"), F.col("chars_before") + F.col("n_chars")
-    q = pos.select(
-        *payload,
-        F.explode(
-            F.array(
-                F.struct(F.lit("b").alias("w"), (b - ctx).alias("q")),
-                F.struct(F.lit("f").alias("w"), (e + ctx - 1).alias("q")),
-            )
-        ).alias("_qq"),
-    ).select(*payload, F.col("_qq.w").alias("_which"), F.col("_qq.q").alias("_q"))
-    inside = (F.col("_q") >= 0) & (F.col("_q") < F.col("conv_chars"))
-    found = _covering(pos, q.where(inside), keys, chunk)
-    outside = q.where(~inside).withColumn(
-        "_hit", F.when(F.col("_which") == "b", F.lit(0)).otherwise(F.col("n_turns") - 1)
-    )
-    both = found.unionByName(outside).drop("_q")
-    return both.groupBy(*payload).agg(
-        F.max(F.when(F.col("_which") == "b", F.col("_hit"))).cast("long").alias("start_idx"),
-        F.max(F.when(F.col("_which") == "f", F.col("_hit"))).cast("long").alias("end_idx"),
+    found = _lookups(pos, ctx, keys, chunk or max(DEFAULT_CHUNK, ctx), ("b", "f"))
+    return found.groupBy(*keys, "idx").agg(
+        *[F.first(c).alias(c) for c in pos.columns if c not in (*keys, "idx")],
+        F.max(F.when(F.col("_which") == "b", F.col("_hit"))).alias("start_idx"),
+        F.max(F.when(F.col("_which") == "f", F.col("_hit"))).alias("end_idx"),
     )
 
 
@@ -141,10 +142,10 @@ def _no_small_pieces_keep(ctx: int) -> F.Column:
     return (~cond) | (~cond_next) | (F.col("idx") == F.col("n_turns") - 1)
 
 
-def _members(msgs: DataFrame, bounds: DataFrame, keys, first_target, last_target, extra) -> DataFrame:
-    """Join texts to their bounds and emit one row per (target, member)."""
-    rows = msgs.select(*keys, "line_num", "text", "label").join(bounds, [*keys, "line_num"])
-    rows = rows.where(F.col("n_turns") >= 2)  # P4
+def _members(msgs: DataFrame, ranges: DataFrame, keys, extra) -> DataFrame:
+    """Join texts to the target ranges of their utterance (``_lo .. _hi``)
+    and emit one row per (target, member)."""
+    rows = msgs.select(*keys, "line_num", "text", "label").join(ranges, [*keys, "line_num"])
     elem = F.struct(
         F.col("idx").alias("idx"),
         F.col("text").alias("text"),
@@ -152,10 +153,8 @@ def _members(msgs: DataFrame, bounds: DataFrame, keys, first_target, last_target
         F.col("line_num").alias("line_num"),
         *extra,
     )
-    first_target, last_target = first_target.cast("long"), last_target.cast("long")
-    targets = F.when(first_target <= last_target, F.sequence(first_target, last_target)).otherwise(
-        F.array().cast("array<long>")
-    )
+    lo, hi = F.col("_lo").cast("long"), F.col("_hi").cast("long")
+    targets = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<long>"))
     return rows.select(*keys, F.explode(targets).alias("target_idx"), elem.alias("e"))
 
 
@@ -175,12 +174,15 @@ def one_sided_examples(
     ``utterances``, ``labels``, ``coarse``, ``multi``, ``seq_coarse``,
     ``seq_multi``."""
     pos = positions if positions is not None else utterance_positions(msgs, keys)
-    bounds = context_bounds(pos, ctx, keys, chunk)
+    pos = pos.where(F.col("n_turns") >= 2)  # P4
     keep = _no_small_pieces_keep(ctx) if (no_small_pieces and ctx > 0) else F.lit(True)
-    bounds = bounds.withColumn("keep", keep)
-    first = F.greatest(F.col("idx"), F.lit(1))
-    last = F.col("end_idx") if ctx > 0 else F.col("idx")
-    members = _members(msgs, bounds, keys, first, last, [F.col("keep").alias("keep")])
+    if ctx > 0:
+        # utterance j belongs to the windows of targets j .. end(j)
+        ranges = _lookups(pos, ctx, keys, chunk or max(DEFAULT_CHUNK, ctx), ("f",)).withColumn("_hi", F.col("_hit"))
+    else:
+        ranges = pos.withColumn("_hi", F.col("idx"))
+    ranges = ranges.withColumn("_lo", F.greatest(F.col("idx"), F.lit(1))).withColumn("keep", keep)
+    members = _members(msgs, ranges, keys, [F.col("keep").alias("keep")])
     win = members.groupBy(*keys, "target_idx").agg(F.array_sort(F.collect_list("e")).alias("w"))
     tgt = F.element_at(F.col("w"), -1)  # the target is the last member
     out = win.select(
@@ -219,10 +221,19 @@ def two_sided_examples(
     (the target included), the budget applied on each side; labels A4/A5.
     ``ctx <= 0`` gives an empty context, as in the reference."""
     pos = positions if positions is not None else utterance_positions(msgs, keys)
-    bounds = context_bounds(pos, ctx, keys, chunk)
-    first = F.col("start_idx") if ctx > 0 else F.col("idx")
-    last = F.col("end_idx") if ctx > 0 else F.col("idx")
-    members = _members(msgs, bounds, keys, first, last, [])
+    pos = pos.where(F.col("n_turns") >= 2)  # P4
+    if ctx > 0:
+        # utterance j belongs to the windows of targets start(j) .. j-1 (its
+        # backward query) and j .. end(j) (its forward query)
+        found = _lookups(pos, ctx, keys, chunk or max(DEFAULT_CHUNK, ctx), ("b", "f"))
+        ranges = found.select(
+            "*",
+            F.when(F.col("_which") == "b", F.col("_hit")).otherwise(F.col("idx")).alias("_lo"),
+            F.when(F.col("_which") == "b", F.col("idx") - 1).otherwise(F.col("_hit")).alias("_hi"),
+        )
+    else:
+        ranges = pos.withColumn("_lo", F.col("idx")).withColumn("_hi", F.col("idx"))
+    members = _members(msgs, ranges, keys, [])
     win = members.groupBy(*keys, "target_idx").agg(F.array_sort(F.collect_list("e")).alias("w"))
     tgt = F.filter("w", lambda x: x["idx"] == F.col("target_idx"))[0]
     ctx_members = F.col("w") if ctx > 0 else F.filter("w", lambda x: F.lit(False))

@@ -17,6 +17,8 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # small test inputs: keep CPU-heavy stages spread over all cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -55,11 +57,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and cut its lineage.
+def pin(df: DataFrame, name: str = "pin") -> DataFrame:
+    """Write ``df`` as Parquet into the reliable checkpoint folder and read it
+    back, cutting its lineage.
 
-    Used where two branches of a plan must see exactly the same rows in the
-    same partitions (block ids taken from a range exchange). A lost executor
-    cannot change the pinned data: it is re-read, not recomputed."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    Used where two branches of a plan must see exactly the same rows with the
+    same derived values (block ids taken from a range exchange). A lost
+    executor cannot change pinned data: it is re-read from shared storage,
+    never recomputed."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
