@@ -154,9 +154,8 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     )
     s = ordered_scan(g, [], [("s", True)], sums=["pos", "neg"], seq_col="_i", size_col="_n")
     contrib = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)
-    return s.agg(
-        (F.sum(contrib) / (F.first("pos_total") * F.first("neg_total"))).alias("auc"),
-    ).select(F.when(F.isnan("auc") | F.col("auc").isNull(), F.lit(None)).otherwise(F.col("auc")).alias("auc"))
+    pairs = (F.first("pos_total") * F.first("neg_total")).cast("double")
+    return s.agg(F.try_divide(F.sum(contrib), pairs).alias("auc"))
 
 
 def _hard_auc(tp, fp, fn, tn) -> Column:
