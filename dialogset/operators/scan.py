@@ -15,6 +15,14 @@ in two levels instead:
    totals of all earlier blocks of the group (the carry).
 3. The rows are joined to their carry on (group, block) and finished by a
    window partitioned by (group, block): every task holds at most one block.
+
+Most groups are small, and for them the block path only adds work. So the
+scan first counts rows per group (a keys-only partial aggregate) and splits
+the input: groups above ``hot_group_rows`` (at most rows / threshold of
+them, so the list is bounded and broadcast) take the block path; all other
+rows take one plain window, whose largest partition is bounded by the
+threshold. The threshold comes from the session conf
+``dialogset.scan.hotGroupRows`` (default 1,000,000).
 """
 
 from __future__ import annotations
@@ -28,6 +36,9 @@ from dialogset.session import pin
 
 Order = Sequence[tuple[str, bool]]  # (column, ascending)
 
+HOT_GROUP_ROWS = 1_000_000
+MAX_HOT_GROUPS = 100_000  # beyond this many hot groups every row takes the block path
+
 
 def _order_cols(order: Order) -> list[Column]:
     return [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order]
@@ -41,7 +52,7 @@ def _order_key(order: Order) -> Column:
     return fields[0] if len(fields) == 1 else F.struct(*fields)
 
 
-def ordered_scan(
+def _block_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Order,
@@ -53,20 +64,7 @@ def ordered_scan(
     seq_col: str = "seq",
     size_col: str = "group_n",
 ) -> DataFrame:
-    """Add running values in ``order`` within each group of ``keys``.
-
-    Output columns added to every row:
-
-    * ``seq_col``: 0-based position in the group; ``size_col``: group size.
-    * for each ``c`` in ``sums``: ``c_before`` (sum over earlier rows) and
-      ``c_total`` (sum over the group).
-    * for each ``c`` in ``prev``: ``c_prev``, the value of the previous row
-      (NULL for the first row of the group).
-    * for each ``c`` in ``firsts``: ``c_first``, the value of the group's first row.
-
-    ``order`` must be a total order inside each group (add a tie breaker).
-    With empty ``keys`` the whole frame is one group (a distributed global
-    row number)."""
+    """The two-level scan (see module doc); every task holds at most one block."""
     keys = list(keys)
     spark = df.sparkSession
     n_blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -111,7 +109,7 @@ def ordered_scan(
     joined = ranged.join(carry, [*keys, "_blk"])
     wl = Window.partitionBy(*keys, "_blk").orderBy(*_order_cols(order))
     rn = F.row_number().over(wl)
-    out = joined.withColumn("_rn", rn).withColumn(seq_col, F.col("_cn") + F.col("_rn") - 1)
+    out = joined.withColumn("_rn", rn).withColumn(seq_col, (F.col("_cn") + F.col("_rn") - 1).cast("long"))
     for c in sums:
         local = F.coalesce(F.sum(c).over(wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         out = out.withColumn(f"{c}_before", F.col(f"_cs_{c}") + local)
@@ -121,3 +119,77 @@ def ordered_scan(
         )
     drop = ["_blk", "_cn", "_rn"] + [f"_cs_{c}" for c in sums] + [f"_cl_{c}" for c in prev]
     return out.drop(*drop)
+
+
+def _window_scan(df: DataFrame, keys, order: Order, sums, prev, firsts, seq_col: str, size_col: str) -> DataFrame:
+    """The same columns as ``_block_scan`` from one window per group (for
+    groups whose size is bounded by the hot-group threshold)."""
+    w = Window.partitionBy(*keys).orderBy(*_order_cols(order))
+    whole = Window.partitionBy(*keys)
+    out = df.withColumn(seq_col, (F.row_number().over(w) - 1).cast("long")).withColumn(
+        size_col, F.count(F.lit(1)).over(whole)
+    )
+    for c in sums:
+        out = out.withColumn(f"{c}_total", F.sum(c).over(whole))
+    for c in firsts:
+        out = out.withColumn(
+            f"{c}_first", F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        )
+    for c in sums:
+        out = out.withColumn(
+            f"{c}_before", F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+        )
+    for c in prev:
+        out = out.withColumn(f"{c}_prev", F.lag(c, 1).over(w))
+    return out
+
+
+def ordered_scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Order,
+    *,
+    sums: Sequence[str] = (),
+    prev: Sequence[str] = (),
+    firsts: Sequence[str] = (),
+    blocks: int | None = None,
+    seq_col: str = "seq",
+    size_col: str = "group_n",
+    hot_group_rows: int | None = None,
+) -> DataFrame:
+    """Add running values in ``order`` within each group of ``keys``.
+
+    Output columns added to every row:
+
+    * ``seq_col``: 0-based position in the group; ``size_col``: group size.
+    * for each ``c`` in ``sums``: ``c_before`` (sum over earlier rows) and
+      ``c_total`` (sum over the group).
+    * for each ``c`` in ``prev``: ``c_prev``, the value of the previous row
+      (NULL for the first row of the group).
+    * for each ``c`` in ``firsts``: ``c_first``, the value of the group's first row.
+
+    ``order`` must be a total order inside each group (add a tie breaker).
+    With empty ``keys`` the whole frame is one group (a distributed global
+    row number). Planning runs one small job (group sizes)."""
+    keys = list(keys)
+    spark = df.sparkSession
+    limit = hot_group_rows or int(spark.conf.get("dialogset.scan.hotGroupRows", str(HOT_GROUP_ROWS)))
+    args = dict(sums=sums, prev=prev, firsts=firsts, seq_col=seq_col, size_col=size_col)
+
+    def block(d):
+        return _block_scan(d, keys, order, blocks=blocks, **args)
+
+    def window(d):
+        return _window_scan(d, keys, order, **args)
+
+    if not keys:
+        return block(df) if df.count() > limit else window(df)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
+    hot_rows = hot.limit(MAX_HOT_GROUPS + 1).collect()
+    if not hot_rows:
+        return window(df)
+    if len(hot_rows) > MAX_HOT_GROUPS:
+        return block(df)
+    hot_df = F.broadcast(spark.createDataFrame(hot_rows, hot.schema))  # bounded by MAX_HOT_GROUPS rows
+    cold = window(df.join(hot_df, keys, "left_anti"))
+    return cold.unionByName(block(df.join(hot_df, keys, "left_semi")).select(*cold.columns))

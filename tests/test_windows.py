@@ -123,6 +123,7 @@ def test_hot_conversation_is_split(spark):
     labels = [Z if rnd.random() < 0.7 else P for _ in range(n)]
     convs = [(0, texts, labels), (1, ["a", "b"], [Z, P])]
     df = message_frame(spark, convs)
+    spark.conf.set("dialogset.scan.hotGroupRows", "100")  # conversation 0 takes the block path
     pos = utterance_positions(df)
     got = {(r.conv_id, r.idx): (r.chars_before, r.pos_before) for r in pos.collect()}
     b = 0
@@ -136,9 +137,24 @@ def test_hot_conversation_is_split(spark):
         assert bounds[t][0] == brute.backward_start([len(x) for x in texts], t, 20)
         assert bounds[t][1] == brute.forward_end([len(x) for x in texts], t, 20) - 1
     got = _one(one_sided_examples(df, 20, chunk=64).collect())
+    spark.conf.unset("dialogset.scan.hotGroupRows")
     assert got == _one_brute(convs, 20)
 
 
+def test_scan_paths_agree(spark):
+    """Window path, block path and the mixed split give the same columns."""
+    from dialogset.operators import scan
+
+    df = spark.range(3000).select((F.col("id") % 7 == 0).cast("int").alias("g"), F.col("id").alias("o"),
+                                  (F.col("id") % 5).alias("v"), (F.col("id") * 3 % 11).alias("w"))
+    args = dict(sums=["v"], prev=["w"], firsts=["w"])
+    res = []
+    for limit in (10_000, 500, 1):  # all window, mixed (group 0 hot), all block
+        s = scan.ordered_scan(df, ["g"], [("o", True)], hot_group_rows=limit, **args)
+        res.append(sorted(tuple(r) for r in s.select(sorted(s.columns)).collect()))
+    assert res[0] == res[1] == res[2]
+
+
 def test_scan_blocks_split_hot_group(spark):
     """The ordered scan spreads one hot group over several range blocks."""
     from dialogset.operators import scan
@@ -147,6 +163,6 @@ def test_scan_blocks_split_hot_group(spark):
     df = spark.range(5000).select(F.lit(1).alias("g"), F.col("id").alias("o"), F.lit(1).alias("v"))
     ranged = df.repartitionByRange(8, "g", "o").withColumn("_blk", F.spark_partition_id())
     assert pin(ranged).select("_blk").distinct().count() > 1
-    s = scan.ordered_scan(df, ["g"], [("o", True)], sums=["v"], blocks=8)
+    s = scan.ordered_scan(df, ["g"], [("o", True)], sums=["v"], blocks=8, hot_group_rows=100)
     rows = s.select("o", "seq", "v_before", "group_n").collect()
     assert all(r.seq == r.o and r.v_before == r.o and r.group_n == 5000 for r in rows)
