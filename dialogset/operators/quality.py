@@ -120,6 +120,8 @@ def last_context_dedup(
             F.min(F.struct(_order_struct(order).alias("o"), F.struct(*examples.columns).alias("p"))).alias("_m")
         )
         return firsts.select("_m.p.*")
-    scanned = ordered_scan(clean, [*partition, "text"], list(order), prev=["context"], seq_col="_seq", size_col="_n")
+    scanned = ordered_scan(
+        clean, [*partition, "text"], list(order), prev=["context"], seq_col="_seq", size_col="_n", materialize=True
+    )
     kept = scanned.where((F.col("_seq") == 0) | ~F.col("context").eqNullSafe(F.col("context_prev")))
     return kept.select(*examples.columns)

@@ -126,22 +126,21 @@ def _window_scan(df: DataFrame, keys, order: Order, sums, prev, firsts, seq_col:
     groups whose size is bounded by the hot-group threshold)."""
     w = Window.partitionBy(*keys).orderBy(*_order_cols(order))
     whole = Window.partitionBy(*keys)
-    out = df.withColumn(seq_col, (F.row_number().over(w) - 1).cast("long")).withColumn(
-        size_col, F.count(F.lit(1)).over(whole)
-    )
-    for c in sums:
-        out = out.withColumn(f"{c}_total", F.sum(c).over(whole))
-    for c in firsts:
-        out = out.withColumn(
-            f"{c}_first", F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        )
-    for c in sums:
-        out = out.withColumn(
-            f"{c}_before", F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-        )
-    for c in prev:
-        out = out.withColumn(f"{c}_prev", F.lag(c, 1).over(w))
-    return out
+    cols = [
+        (F.row_number().over(w) - 1).cast("long").alias(seq_col),
+        F.count(F.lit(1)).over(whole).alias(size_col),
+    ]
+    cols += [F.sum(c).over(whole).alias(f"{c}_total") for c in sums]
+    cols += [
+        F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"{c}_first")
+        for c in firsts
+    ]
+    cols += [
+        F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias(f"{c}_before")
+        for c in sums
+    ]
+    cols += [F.lag(c, 1).over(w).alias(f"{c}_prev") for c in prev]
+    return df.select("*", *cols)
 
 
 def ordered_scan(
@@ -156,6 +155,7 @@ def ordered_scan(
     seq_col: str = "seq",
     size_col: str = "group_n",
     hot_group_rows: int | None = None,
+    materialize: bool = False,
 ) -> DataFrame:
     """Add running values in ``order`` within each group of ``keys``.
 
@@ -170,9 +170,13 @@ def ordered_scan(
 
     ``order`` must be a total order inside each group (add a tie breaker).
     With empty ``keys`` the whole frame is one group (a distributed global
-    row number). Planning runs one small job (group sizes)."""
+    row number). Planning runs one small job (group sizes); with
+    ``materialize`` the input is pinned first, so an expensive upstream plan
+    runs once for the size check and the scan."""
     keys = list(keys)
     spark = df.sparkSession
+    if materialize:
+        df = pin(df, "scan-input")
     limit = hot_group_rows or int(spark.conf.get("dialogset.scan.hotGroupRows", str(HOT_GROUP_ROWS)))
     args = dict(sums=sums, prev=prev, firsts=firsts, seq_col=seq_col, size_col=size_col)
 

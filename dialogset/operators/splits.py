@@ -39,7 +39,7 @@ def dev_test_cut(
     key = F.struct(*[(F.col(c) if asc else -F.col(c)).alias(f"o{i}") for i, (c, asc) in enumerate(order)])
     cut = examples.where(F.col(split_col) == cut_split)
     narrow = cut.select(*[c for c, _ in order])
-    s = ordered_scan(narrow, [], list(order), seq_col="_pos", size_col="_n")
+    s = ordered_scan(narrow, [], list(order), seq_col="_pos", size_col="_n", materialize=True)
     threshold = s.where(F.col("_pos") == F.floor(F.col("_n") / 4)).select(key.alias("k")).scalar()
     in_dev = (F.col(split_col) == cut_split) & F.coalesce(key < threshold, F.lit(False))
     is_cut = F.col(split_col) == cut_split
