@@ -106,7 +106,11 @@ def _block_scan(
         # one row per block: the size is bounded by the block count
         carry = F.broadcast(carry)
 
-    joined = ranged.join(carry, [*keys, "_blk"])
+    # Explicit (group, block) partitioning of the rows: the local windows
+    # below then never inherit a coarser partitioning from the carry side
+    # (by group only), which would put a hot group back into one task.
+    rows = ranged.repartition(n_blocks, *[F.col(k) for k in keys], F.col("_blk"))
+    joined = rows.join(carry, [*keys, "_blk"])
     wl = Window.partitionBy(*keys, "_blk").orderBy(*_order_cols(order))
     rn = F.row_number().over(wl)
     out = joined.withColumn("_rn", rn).withColumn(seq_col, (F.col("_cn") + F.col("_rn") - 1).cast("long"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dialogset.operators.quality import EXAMPLE_ORDER
 from dialogset.operators.scan import ordered_scan
+from dialogset.session import pin
 
 
 def row_numbers(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "row_id", keys: Sequence[str] = ()) -> DataFrame:
@@ -33,13 +34,14 @@ def dev_test_cut(
     become ``dev``; the rest stay ``test``; other splits keep their name.
     Adds ``part``.
 
-    Only the order keys are scanned (a distributed row number over narrow
-    rows); the example at position ``floor(n/4)`` gives a threshold key, and
-    the wide rows are compared against it as a scalar: no wide row moves."""
+    The examples are pinned once (they are the finished dataset, and the
+    cut reads them twice). Only their order keys are scanned (a distributed
+    row number over narrow rows); the example at position ``floor(n/4)``
+    gives a threshold key, and the rows are compared against it as a scalar."""
+    examples = pin(examples, "examples")
     key = F.struct(*[(F.col(c) if asc else -F.col(c)).alias(f"o{i}") for i, (c, asc) in enumerate(order)])
-    cut = examples.where(F.col(split_col) == cut_split)
-    narrow = cut.select(*[c for c, _ in order])
-    s = ordered_scan(narrow, [], list(order), seq_col="_pos", size_col="_n", materialize=True)
+    narrow = examples.where(F.col(split_col) == cut_split).select(*[c for c, _ in order])
+    s = ordered_scan(narrow, [], list(order), seq_col="_pos", size_col="_n")
     threshold = s.where(F.col("_pos") == F.floor(F.col("_n") / 4)).select(key.alias("k")).scalar()
     in_dev = (F.col(split_col) == cut_split) & F.coalesce(key < threshold, F.lit(False))
     is_cut = F.col(split_col) == cut_split

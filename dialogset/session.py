@@ -37,8 +37,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; it is used
-    as is. Only when nothing is configured (local tests) a fresh folder under
-    the system temp dir is created."""
+    as is. Only a local-mode session without one (tests) gets a fresh folder
+    under the system temp dir; on a cluster a missing setting is an error,
+    because pinned data must live on storage every executor can read."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -46,8 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    else:
+    elif sc.master.startswith("local"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="dialogset-ckpt-"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage (HDFS, S3, ...)")
     return sc.getCheckpointDir()
 
 
