@@ -10,7 +10,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from dialogset.operators.conversations import tag_donors
 from dialogset.operators.quality import EMOJI_PATTERN, first_occurrence_dedup, last_context_dedup

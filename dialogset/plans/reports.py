@@ -21,12 +21,11 @@ def _rows(df: DataFrame, metric: str, value: str, label=None) -> DataFrame:
     return df.select(F.lit(metric).alias("metric"), lab.alias("label"), F.col(value).cast("double").alias("value"))
 
 
-def _interval_rows(ci: DataFrame, name: str) -> DataFrame:
-    out = None
-    for part in ("lower", "upper", "mean"):
-        r = ci.select(F.lit(f"ci_{part}").alias("metric"), F.col("average").alias("label"), F.col(part).alias("value"))
-        out = r if out is None else out.unionByName(r)
-    return out
+def _interval_rows(ci: DataFrame) -> DataFrame:
+    """``average, lower, upper, mean`` -> rows ``ci_lower/ci_upper/ci_mean`` (one pass)."""
+    parts = F.array(*[F.struct(F.lit(f"ci_{p}").alias("metric"), F.col(p).cast("double").alias("value"))
+                      for p in ("lower", "upper", "mean")])
+    return ci.select(F.col("average").alias("label"), F.explode(parts).alias("x")).select("x.metric", "label", "x.value")
 
 
 def binary_report(pred: DataFrame, true: str = "true", probs: str = "probs", row_id: str = "row_id",
@@ -42,7 +41,7 @@ def binary_report(pred: DataFrame, true: str = "true", probs: str = "probs", row
     auc = M.roc_auc(p.select(F.col("true").alias("y"), "score"))
     ci = subsample_interval(p, "true", "pred", row_id, mode=ci_mode, repeats=repeats, seed=seed)
     return (_rows(f1, "test_f1", "v").unionByName(cfm_rows).unionByName(_rows(auc, "auc", "auc"))
-            .unionByName(_interval_rows(ci, "f1")))
+            .unionByName(_interval_rows(ci)))
 
 
 def multilabel_report(pred: DataFrame, true: str = "true", probs: str = "probs", coarse_true: str = "coarse",
@@ -57,7 +56,7 @@ def multilabel_report(pred: DataFrame, true: str = "true", probs: str = "probs",
     auc = M.roc_auc_hard_multilabel(p).select(F.lit("auc").alias("metric"), F.lit("m2m").alias("label"),
                                               F.col("weighted").alias("value"))
     ci = _interval_rows(subsample_interval(p, "true", "pred", row_id, mode=ci_mode, repeats=repeats,
-                                           seed=seed, multilabel=True), "f1")
+                                           seed=seed, multilabel=True))
     mcm = M.multilabel_counts(p).select("label", F.explode(F.array(*[
         F.struct(F.lit(c).alias("cell"), F.col(c).cast("double").alias("v")) for c in ("tn", "fp", "fn", "tp")
     ])).alias("x")).select(F.lit("mcm").alias("metric"), F.concat_ws(",", F.col("label").cast("string"), "x.cell").alias("label"),
@@ -66,7 +65,7 @@ def multilabel_report(pred: DataFrame, true: str = "true", probs: str = "probs",
     c_f1 = M.binary_metrics(c).select(F.lit("m2c_test_f1").alias("metric"), F.lit(None).cast("string").alias("label"),
                                       T.round4("f1").cast("double").alias("value"))
     c_auc = M.roc_auc_hard(c).select(F.lit("auc").alias("metric"), F.lit("m2c").alias("label"), F.col("auc").alias("value"))
-    c_ci = _interval_rows(subsample_interval(c, "true", "pred", row_id, mode=ci_mode, repeats=repeats, seed=seed), "f1")
+    c_ci = _interval_rows(subsample_interval(c, "true", "pred", row_id, mode=ci_mode, repeats=repeats, seed=seed))
     c_ci = c_ci.withColumn("metric", F.concat(F.lit("m2c_"), "metric"))
     cfm = M.confusion_matrix(c).select(F.lit("m2c_cfm").alias("metric"), F.concat_ws(",", "true", "pred").alias("label"),
                                        F.col("count").cast("double").alias("value"))
@@ -109,7 +108,7 @@ def generated_report(df: DataFrame, granularity: str, true: str = "true", pred:
         F.lit("f1").alias("metric"), F.col("average").alias("label"), F.col("f1").alias("value"))
     ci = subsample_interval(pairs, "true_id", "pred_id", row_id, mode=ci_mode, repeats=repeats, seed=seed,
                             pooled=pooled, size=size)
-    return f1.unionByName(_interval_rows(ci, "f1"))
+    return f1.unionByName(_interval_rows(ci))
 
 
 def cross_lingual_report(df: DataFrame, granularity: str, train_tag: str, test_tag: str, **kw) -> DataFrame:
