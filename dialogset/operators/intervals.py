@@ -14,6 +14,9 @@ quantiles per average.
   multivariate hypergeometric sample of the cell counts in a Python task: the
   same distribution as drawing rows, at a cost independent of ``n``.
 
+``auto`` (the report default) counts the rows and uses ``rows`` up to
+``AUTO_ROWS_LIMIT`` rows, ``cells`` above.
+
 ``pooled=True`` reproduces the reference's accumulation across averages
 (micro scores include the weighted ones; macro includes all three).
 """
@@ -29,6 +32,7 @@ from dialogset.operators.metrics import AVERAGES, class_counts, f1_averages, mea
 from dialogset.operators.scan import ordered_scan
 
 MAX_CELLS = 1_000_000
+AUTO_ROWS_LIMIT = 1_000_000
 
 
 def _pool(per_repeat: DataFrame, pooled: bool) -> DataFrame:
@@ -164,6 +168,8 @@ def subsample_interval(
     size: int | None = None,
 ) -> DataFrame:
     """``average, lower, upper, mean`` per F1 average."""
+    if mode == "auto":
+        mode = "rows" if df.count() <= AUTO_ROWS_LIMIT else "cells"
     if mode == "rows":
         per = subsample_f1_rows(df, true, pred, row_id, repeats, fraction, seed, multilabel, pooled, size)
     elif mode == "cells":

@@ -29,7 +29,7 @@ def _interval_rows(ci: DataFrame) -> DataFrame:
 
 
 def binary_report(pred: DataFrame, true: str = "true", probs: str = "probs", row_id: str = "row_id",
-                  threshold: float = 0.5, repeats: int = 200, ci_mode: str = "rows", seed: int = 0) -> DataFrame:
+                  threshold: float = 0.5, repeats: int = 200, ci_mode: str = "auto", seed: int = 0) -> DataFrame:
     """K4: F1 of thresholded classes (rounded to 4), confusion matrix of the
     argmax, ROC AUC of the class-1 probability, subsample interval."""
     p = pred.select(row_id, F.col(true).alias("true"), S.threshold_class(probs, threshold).alias("pred"),
@@ -45,7 +45,7 @@ def binary_report(pred: DataFrame, true: str = "true", probs: str = "probs", row
 
 
 def multilabel_report(pred: DataFrame, true: str = "true", probs: str = "probs", coarse_true: str = "coarse",
-                      row_id: str = "row_id", threshold: float = 0.5, repeats: int = 50, ci_mode: str = "rows",
+                      row_id: str = "row_id", threshold: float = 0.5, repeats: int = 50, ci_mode: str = "auto",
                       seed: int = 0) -> DataFrame:
     """K5: multi->multi (F1 x3 rounded, weighted hard AUC, interval, per-label
     2x2 matrices) and multi->coarse (H10, then binary F1, AUC, interval, matrix)."""
@@ -94,7 +94,7 @@ def generated_pairs(df: DataFrame, granularity: str, true: str = "true", pred: s
 
 
 def generated_report(df: DataFrame, granularity: str, true: str = "true", pred: str = "pred",
-                     row_id: str = "row_id", repeats: int = 200, ci_mode: str = "rows", seed: int = 0,
+                     row_id: str = "row_id", repeats: int = 200, ci_mode: str = "auto", seed: int = 0,
                      align: str = "batch", pooled: bool = False) -> DataFrame:
     """K6: F1 averages and the subsample interval of generated labels. Per
     utterance the sample size is 10 % of the *examples* (as the reference)."""
@@ -102,8 +102,9 @@ def generated_report(df: DataFrame, granularity: str, true: str = "true", pred:
     size = None
     if granularity == "per_utterance":
         size = df.select(F.floor(F.count(F.lit(1)) / 10)).scalar()
-        if ci_mode != "rows":
-            raise ValueError("per-utterance intervals use rows mode")
+        if ci_mode == "cells":
+            raise ValueError("per-utterance intervals use rows mode (the sample size counts examples)")
+        ci_mode = "rows"
     f1 = M.f1_multiclass(pairs, "true_id", "pred_id").select(
         F.lit("f1").alias("metric"), F.col("average").alias("label"), F.col("f1").alias("value"))
     ci = subsample_interval(pairs, "true_id", "pred_id", row_id, mode=ci_mode, repeats=repeats, seed=seed,
