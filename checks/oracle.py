@@ -503,9 +503,9 @@ def statements() -> dict[str, str]:
     v_seq = f"array_to_string(list_transform(labels, lambda l: {names_of('l')}), '; ')"
     sq["s5_read_two_sided"] = _sel(f"text, context, {v_seq} AS label", ds2, "mx", where="part = 'dev'")
     sq["s7_write_splits"] = with_views(
-        f"SELECT '1' AS split_id, 'chi_256' AS tag, part, count(*) AS n, CAST(sum(coarse) AS BIGINT) AS n_positive "
+        f"SELECT '1' AS split_id, 'ctx256' AS tag, part, count(*) AS n, CAST(sum(coarse) AS BIGINT) AS n_positive "
         f"FROM ({ds1}) GROUP BY part", "mx")
-    sq["s9_metrics_sink"] = _report(_k4_rows(), "scored", prefix_cols="'149' AS run_id, '1' AS split_id, 'fx' AS tag, ")
+    sq["s9_metrics_sink"] = _report(_k4_rows(), "scored", prefix_cols="'run-1' AS run_id, '1' AS split_id, 'fx' AS tag, ")
 
     # filters
     sq["p1_annotated"] = with_views(f"SELECT {KEYS}, line_num FROM mx WHERE is_annotated_tagset_0 IS TRUE", "mx")
@@ -672,5 +672,5 @@ SELECT row_id, label, CAST(unnest(range(0, CASE WHEN label = minority_label THEN
     sq["k6_generated_fine"] = _report(_k6_rows(_fine_ids()), "generated")
     utt_pairs = f"SELECT concat_ws(':', CAST(row_id AS VARCHAR), CAST(pos AS VARCHAR)) AS row_id, true_id, pred_id FROM ({_utt_ids()})"
     sq["k6_generated_per_utterance"] = _report(_k6_rows(utt_pairs, k="SELECT count(*) // 10 FROM generated"), "generated")
-    sq["k7_cross_lingual"] = _report(_k6_rows(K6_COARSE), "generated", prefix_cols="'chi2_256' AS train_tag, 'chi2_256_en' AS test_tag, ")
+    sq["k7_cross_lingual"] = _report(_k6_rows(K6_COARSE), "generated", prefix_cols="'ctx256_two' AS train_tag, 'ctx256_two_en' AS test_tag, ")
     return sq

@@ -134,7 +134,7 @@ def _written_dataset(spark, sf, two_sided_=False):
     cfg = dataset_cfg(two_sided=two_sided_)
     ds, _ = build_dataset(messages(spark, sf), cfg)
     root = scratch_path(spark, "splits")
-    tag = "chi2_256" if two_sided_ else "chi_256"
+    tag = "ctx256_two" if two_sided_ else "ctx256"
     write_splits(ds, root, "1", tag)
     return root, tag
 
@@ -160,8 +160,8 @@ def s7_write_splits(spark, sf):
 def s9_metrics_sink(spark, sf):
     rep = R.binary_report(scored(spark, sf).select("row_id", F.col("y_true").alias("true"), "probs"))
     root = scratch_path(spark, "metrics")
-    write_metrics(to_metrics(rep, "149", "1", "fx"), root)
-    back = read_metrics(spark, root, "149")
+    write_metrics(to_metrics(rep, "run-1", "1", "fx"), root)
+    back = read_metrics(spark, root, "run-1")
     return back.select("run_id", "split_id", "tag", "metric", "label", r6("value").alias("value"))
 
 
@@ -192,7 +192,7 @@ def p5_noise_filter(spark, sf):
 
 
 def _gold(raw: DataFrame) -> Column:
-    return F.concat(L.active_indices(raw["chi_gs_multi_nhot"]), F.array(F.col("l2")))
+    return F.concat(L.active_indices(raw["gold_nhot"]), F.array(F.col("l2")))
 
 
 def p6_gold_filter(spark, sf):
@@ -516,17 +516,17 @@ def h8_argmax(spark, sf):
 
 def h9_active_indices(spark, sf):
     r = _raw(spark, sf)
-    return r.select("conv_id", "line_num", ints(L.active_indices("chi_gs_multi_nhot")).alias("active"))
+    return r.select("conv_id", "line_num", ints(L.active_indices("gold_nhot")).alias("active"))
 
 
 def h10_any_above_zero(spark, sf):
     r = _raw(spark, sf)
-    return r.select("conv_id", "line_num", L.any_label_above_zero("chi_gs_multi_nhot").alias("flag"))
+    return r.select("conv_id", "line_num", L.any_label_above_zero("gold_nhot").alias("flag"))
 
 
 def h11_nhot_to_coarse(spark, sf):
     r = _raw(spark, sf)
-    return r.select("conv_id", "line_num", L.nhot_to_coarse("chi_gs_multi_nhot").alias("coarse"))
+    return r.select("conv_id", "line_num", L.nhot_to_coarse("gold_nhot").alias("coarse"))
 
 
 def h12_clamp(spark, sf):
@@ -720,7 +720,7 @@ def k6_generated_per_utterance(spark, sf):
 
 def k7_cross_lingual(spark, sf):
     g = FX.generated_fx(spark, sf)
-    rep = R.cross_lingual_report(g, "coarse", "chi2_256", "chi2_256_en", true="true_coarse", pred="pred_coarse",
+    rep = R.cross_lingual_report(g, "coarse", "ctx256_two", "ctx256_two_en", true="true_coarse", pred="pred_coarse",
                                  repeats=REPEATS)
     return rep.select("train_tag", "test_tag", "metric", "label", r6("value").alias("value"))
 

@@ -41,7 +41,7 @@ def _flag(conv: str = "conv_id"):
 
 
 def _finish(df: DataFrame) -> DataFrame:
-    return df.withColumn("chi_gs_multi_nhot", F.array(*[F.col(f"y{i}") for i in range(6)]))
+    return df.withColumn("gold_nhot", F.array(*[F.col(f"y{i}") for i in range(6)]))
 
 
 def messenger_fx(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,10 +42,13 @@ def read_jdbc(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     return spark.read.format("jdbc").options(**options).load()
 
 
-def load_messages(raw: DataFrame, text_col: str = "line_text", label_col: str = "chi_gs_multi_nhot",
+def load_messages(raw: DataFrame, text_col: str = "line_text", label_col: str = "gold_nhot",
                   annotated_col: str = "is_annotated_tagset_0", keep_unannotated: bool = False) -> DataFrame:
     """Normalise a raw message table to the ``MESSAGES`` schema.
 
+    ``label_col`` names the source table's n-hot label column (cast from a
+    small-int array), ``annotated_col`` its annotation flag.
+
     ``text_col`` chooses the language variant (``line_text`` or
     ``line_text_en``). The annotated filter keeps only rows whose flag is
     TRUE; NULL is not true."""

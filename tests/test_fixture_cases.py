@@ -19,7 +19,7 @@ def test_null_flag_and_null_text(spark):
          (1, 0, 5, 3, "a", "z", "Z", [1, 0, 0, 0, 0, 0], None),
          (1, 0, 5, 4, "b", "w", "W", [1, 0, 0, 0, 0, 0], False)],
         "user_id long, thread_id long, conv_id long, line_num long, author string, line_text string, "
-        "line_text_en string, chi_gs_multi_nhot array<int>, is_annotated_tagset_0 boolean",
+        "line_text_en string, gold_nhot array<int>, is_annotated_tagset_0 boolean",
     )
     msgs = load_messages(raw)
     assert sorted(r.line_num for r in msgs.collect()) == [1, 2]  # NULL and FALSE flags dropped
