@@ -1,9 +1,9 @@
 """K1: batch scoring with an opaque model.
 
 ``scorer_factory`` builds the model once per Python worker; the model maps a
-list of texts to a (rows x outputs) array of logits. Rows travel to it in
-Arrow batches of ``batch_size`` (the reference scores 1 or 32 rows at a
-time)."""
+list of texts to a (rows x outputs) array of logits. Rows arrive in Arrow
+batches and are passed to the model ``batch_size`` at a time (the reference
+scores 1 or 32 rows at a time)."""
 
 from __future__ import annotations
 
@@ -36,12 +36,11 @@ def score_texts(
             model = _MODELS[key] = scorer_factory()
         for b in batches:
             texts = b[text_col].fillna("").tolist()
-            out = np.asarray(model(texts), dtype=float)
+            parts = [np.asarray(model(texts[i:i + batch_size]), dtype=float) for i in range(0, len(texts), batch_size)]
             res = b[keep].copy()
-            res[out_col] = list(out)
+            res[out_col] = [row for part in parts for row in part]
             yield res
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_size))
     cols = list(dict.fromkeys([*keep, text_col]))
     return df.select(*cols).mapInPandas(run, schema)
 
