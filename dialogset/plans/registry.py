@@ -45,7 +45,7 @@ from dialogset.session import scratch_path
 from dialogset.sources import fixtures as FX
 from dialogset.sources.messages import annotated_filter, load_messages
 from dialogset.sources.metricstore import read_metrics, to_metrics, write_metrics
-from dialogset.sources.splitfiles import read_split_labels, read_two_sided, write_splits
+from dialogset.sources.splitfiles import read_split_labels, read_splits, read_two_sided, write_splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -151,7 +151,7 @@ def s5_read_two_sided(spark, sf):
 
 def s7_write_splits(spark, sf):
     root, tag = _written_dataset(spark, sf)
-    back = spark.read.parquet(root)
+    back = read_splits(spark, root)
     return back.groupBy("split_id", "tag", "part").agg(
         F.count(F.lit(1)).alias("n"), F.sum("coarse").alias("n_positive")
     )

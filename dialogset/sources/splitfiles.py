@@ -26,9 +26,17 @@ def write_splits(dataset: DataFrame, root: str, split_id: str, tag: str, mode: s
     )
 
 
+def read_splits(spark: SparkSession, root: str) -> DataFrame:
+    """All split files under ``root``; partition values stay strings
+    (directory discovery would turn ``split_id=1`` into an integer)."""
+    df = spark.read.parquet(root)
+    return df.select(*[F.col(c).cast("string").alias(c) if c in ("split_id", "tag", "part") else F.col(c)
+                       for c in df.columns])
+
+
 def read_split(spark: SparkSession, root: str, split_id: str, tag: str, part: str | None = None) -> DataFrame:
     """All columns of one split; the partition filters prune directories."""
-    df = spark.read.parquet(root).where((F.col("split_id") == str(split_id)) & (F.col("tag") == tag))
+    df = read_splits(spark, root).where((F.col("split_id") == str(split_id)) & (F.col("tag") == tag))
     if part is not None:
         df = df.where(F.col("part") == part)
     return df
