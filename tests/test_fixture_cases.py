@@ -63,3 +63,11 @@ def test_merge_gold_neither_above_min(spark):
                                "l1 int, l2 int, gs array<int>, sup boolean")
     got = [r.v for r in df.select(L.merge_gold("l1", "l2", "gs", "sup", 0, 6).alias("v")).collect()]
     assert got == [[], [0], [0]]
+
+
+def test_jdbc_options_partitioned_read():
+    from dialogset.sources.messages import jdbc_options
+
+    o = jdbc_options("jdbc:postgresql://db/x", lower_bound=2000, upper_bound=3100, num_partitions=64, user="u")
+    assert o["dbtable"] == "messenger" and o["partitionColumn"] == "user_id"
+    assert (o["lowerBound"], o["upperBound"], o["numPartitions"], o["user"]) == ("2000", "3100", "64", "u")
