@@ -17,11 +17,11 @@ in two levels instead:
    window partitioned by (group, block): every task holds at most one block.
 
 Most groups are small, and for them the block path only adds work. So the
-scan first counts rows per group (a keys-only partial aggregate) and splits
-the input: groups above ``hot_group_rows`` (at most rows / threshold of
-them, so the list is bounded and broadcast) take the block path; all other
-rows take one plain window, whose largest partition is bounded by the
-threshold. The threshold comes from the session conf
+scan first counts rows per group (a partial aggregate over a 64-bit hash of
+the keys) and splits the input: groups above ``hot_group_rows`` (at most
+rows / threshold of them, so the list is bounded and broadcast) take the
+block path; all other rows take one plain window, whose largest partition is
+bounded by the threshold. The threshold comes from the session conf
 ``dialogset.scan.hotGroupRows`` (default 1,000,000).
 """
 
@@ -192,12 +192,18 @@ def ordered_scan(
 
     if not keys:
         return block(df) if df.count() > limit else window(df)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
-    hot_rows = hot.limit(MAX_HOT_GROUPS + 1).collect()
+    # Route by a 64-bit hash of the keys: the size check then shuffles 8-byte
+    # values even when a key is a long text. A collision only sends a small
+    # group down the (exact) block path as well.
+    hashed = df.withColumn("_kh", F.xxhash64(*[F.col(k) for k in keys]))
+    sizes = hashed.groupBy("_kh").agg(F.count(F.lit(1)).alias("_n"))
+    hot_rows = sizes.where(F.col("_n") > limit).select("_kh").limit(MAX_HOT_GROUPS + 1).collect()
     if not hot_rows:
         return window(df)
     if len(hot_rows) > MAX_HOT_GROUPS:
         return block(df)
-    hot_df = F.broadcast(spark.createDataFrame(hot_rows, hot.schema))  # bounded by MAX_HOT_GROUPS rows
-    cold = window(df.join(hot_df, keys, "left_anti"))
-    return cold.unionByName(block(df.join(hot_df, keys, "left_semi")).select(*cold.columns))
+    # at most rows / threshold hashes, and never more than MAX_HOT_GROUPS: broadcast
+    hot_df = F.broadcast(spark.createDataFrame([(r[0],) for r in hot_rows], "_kh long"))
+    cold = window(hashed.join(hot_df, "_kh", "left_anti").drop("_kh"))
+    hot = block(hashed.join(hot_df, "_kh", "left_semi").drop("_kh"))
+    return cold.unionByName(hot.select(*cold.columns))
