@@ -38,6 +38,14 @@ Order = Sequence[tuple[str, bool]]  # (column, ascending)
 
 HOT_GROUP_ROWS = 1_000_000
 MAX_HOT_GROUPS = 100_000  # beyond this many hot groups every row takes the block path
+MAX_BLOCKS = 20_000  # range-partition sample size grows with the block count
+
+
+def _block_count(spark, rows: int, per_block: int) -> int:
+    """Enough blocks that each holds about ``per_block`` rows (at least the
+    shuffle partition count, at most ``MAX_BLOCKS``)."""
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return int(min(MAX_BLOCKS, max(base, -(-rows // max(per_block, 1)))))
 
 
 def _order_cols(order: Order) -> list[Column]:
@@ -184,26 +192,27 @@ def ordered_scan(
     limit = hot_group_rows or int(spark.conf.get("dialogset.scan.hotGroupRows", str(HOT_GROUP_ROWS)))
     args = dict(sums=sums, prev=prev, firsts=firsts, seq_col=seq_col, size_col=size_col)
 
-    def block(d):
-        return _block_scan(d, keys, order, blocks=blocks, **args)
+    def block(d, rows=0):
+        return _block_scan(d, keys, order, blocks=blocks or _block_count(spark, rows, limit), **args)
 
     def window(d):
         return _window_scan(d, keys, order, **args)
 
     if not keys:
-        return block(df) if df.count() > limit else window(df)
+        n = df.count()
+        return block(df, n) if n > limit else window(df)
     # Route by a 64-bit hash of the keys: the size check then shuffles 8-byte
     # values even when a key is a long text. A collision only sends a small
     # group down the (exact) block path as well.
     hashed = df.withColumn("_kh", F.xxhash64(*[F.col(k) for k in keys]))
     sizes = hashed.groupBy("_kh").agg(F.count(F.lit(1)).alias("_n"))
-    hot_rows = sizes.where(F.col("_n") > limit).select("_kh").limit(MAX_HOT_GROUPS + 1).collect()
+    hot_rows = sizes.where(F.col("_n") > limit).limit(MAX_HOT_GROUPS + 1).collect()
     if not hot_rows:
         return window(df)
     if len(hot_rows) > MAX_HOT_GROUPS:
-        return block(df)
+        return block(df, sum(r[1] for r in hot_rows))  # a lower bound of the rows
     # at most rows / threshold hashes, and never more than MAX_HOT_GROUPS: broadcast
     hot_df = F.broadcast(spark.createDataFrame([(r[0],) for r in hot_rows], "_kh long"))
     cold = window(hashed.join(hot_df, "_kh", "left_anti").drop("_kh"))
-    hot = block(hashed.join(hot_df, "_kh", "left_semi").drop("_kh"))
+    hot = block(hashed.join(hot_df, "_kh", "left_semi").drop("_kh"), sum(r[1] for r in hot_rows))
     return cold.unionByName(hot.select(*cold.columns))
