@@ -38,7 +38,8 @@ def utterance_positions(msgs: DataFrame, keys=CONV_KEYS) -> DataFrame:
     """Per utterance: ``idx``, ``n_turns``, ``n_chars``, ``chars_before`` (B),
     ``conv_chars``, ``first_chars``, ``is_pos`` and ``pos_before`` (A20).
 
-    Only narrow columns take part in the scan; the texts stay where they are."""
+    Only narrow columns take part in the scan; the texts stay where they are.
+    ``line_num`` must be unique within a conversation (checked in the scan)."""
     narrow = msgs.select(
         *keys,
         "line_num",
@@ -50,14 +51,22 @@ def utterance_positions(msgs: DataFrame, keys=CONV_KEYS) -> DataFrame:
         keys,
         [("line_num", True)],
         sums=["n_chars", "is_pos"],
+        prev=["line_num"],
         firsts=["n_chars"],
         seq_col="idx",
         size_col="n_turns",
     )
+    # line_num must order a conversation; a tie would be ambiguous (and would
+    # multiply rows in the text join), so it fails the query instead
+    tie = (F.col("idx") > 0) & F.col("line_num_prev").eqNullSafe(F.col("line_num"))
+    idx = F.when(
+        tie,
+        F.raise_error(F.concat(F.lit("duplicate line_num in conversation: "), F.to_json(F.struct(*keys, "line_num")))),
+    ).otherwise(F.col("idx"))
     return s.select(
         *keys,
         "line_num",
-        "idx",
+        idx.cast("long").alias("idx"),
         "n_turns",
         "n_chars",
         F.col("n_chars_before").alias("chars_before"),

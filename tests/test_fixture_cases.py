@@ -71,3 +71,14 @@ def test_jdbc_options_partitioned_read():
     o = jdbc_options("jdbc:postgresql://db/x", lower_bound=2000, upper_bound=3100, num_partitions=64, user="u")
     assert o["dbtable"] == "messenger" and o["partitionColumn"] == "user_id"
     assert (o["lowerBound"], o["upperBound"], o["numPartitions"], o["user"]) == ("2000", "3100", "64", "u")
+
+
+def test_duplicate_line_num_fails(spark):
+    import pytest
+
+    from dialogset.schema import MESSAGES
+
+    rows = [(1, 0, 3, 10, "a", "x", Z, True), (1, 0, 3, 10, "b", "y", Z, True), (1, 0, 4, 10, "a", "z", Z, True)]
+    df = spark.createDataFrame(rows, MESSAGES)
+    with pytest.raises(Exception, match="duplicate line_num"):
+        one_sided_examples(df, 5).collect()
