@@ -16,6 +16,7 @@ from dialogset.operators.quality import EMOJI_PATTERN, first_occurrence_dedup, l
 from dialogset.operators.splits import dev_test_cut
 from dialogset.operators.windows import one_sided_examples, two_sided_examples, utterance_positions
 from dialogset.schema import CONV_KEYS
+from dialogset.sources.messages import quarantine_null_text
 
 
 @dataclass
@@ -31,8 +32,11 @@ class DatasetConfig:
 
 
 def tagged_messages(msgs: DataFrame, cfg: DatasetConfig) -> DataFrame:
-    """Annotated messages of the listed donors with their ``split``."""
-    return tag_donors(msgs, cfg.donors)
+    """Annotated messages of the listed donors with their ``split``. Rows
+    with NULL text or ``line_num`` cannot be placed in a window; they are
+    left out here (``sources.messages.quarantine_null_text`` returns them)."""
+    good, _ = quarantine_null_text(msgs)
+    return tag_donors(good, cfg.donors)
 
 
 def examples(msgs: DataFrame, cfg: DatasetConfig) -> DataFrame:
