@@ -581,6 +581,10 @@ def statements() -> dict[str, str]:
     sq["w4b_two_sided_lines"] = _sel(W4B_COLS, two_sided(lx, CTX), "lx")
     sq["w5_first_dedup"] = _sel(f"split, {KEYS}, target_idx, text", w5, "lx")
     sq["w6_last_context_dedup"] = _sel(f"split, {KEYS}, target_idx, text", dedup_last_context(lines_two_tagged, SYMBOL_PATTERN), "lx")
+    sq["w6_exact_pair_dedup"] = _sel(f"split, {KEYS}, target_idx, text", f"""SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY split, text, context
+                               ORDER BY user_id, thread_id, conv_id, target_idx DESC) AS rn
+    FROM ({lines_two_tagged}) WHERE NOT {noise("text || context", SYMBOL_PATTERN)}) WHERE rn = 1""", "lx")
     sq["w7_dev_test_cut"] = _sel(f"split, part, {KEYS}, target_idx", cut(w5), "lx")
     sq["w9_batches"] = with_views(
         "SELECT vec_id, row_id, row_id // 32 AS batch_id FROM (SELECT row_id AS vec_id, row_number() OVER (ORDER BY row_id) - 1 AS row_id FROM scored)",

@@ -318,6 +318,13 @@ def a17_subsample_ci_multilabel(spark, sf):
     return _ci(vectors(spark, sf), multilabel=True)
 
 
+def a17_subsample_ci_cells(spark, sf):
+    """Cells mode draws hypergeometric samples (seeded, not SQL-expressible)."""
+    s = scored(spark, sf).select("row_id", F.col("true_class").alias("true"), F.col("pred_class").alias("pred"))
+    ci = subsample_interval(s, mode="cells", repeats=REPEATS, seed=0)
+    return ci.select("average", r6("lower").alias("lower"), r6("upper").alias("upper"), r6("mean").alias("mean"))
+
+
 def a18_encoded_f1(spark, sf):
     s = scored(spark, sf).select((F.col("y_true") + 10 * F.col("y_pred")).alias("code"))
     return M.encoded_f1(s).select(r6("f1").alias("f1"))
@@ -417,6 +424,12 @@ def w6_last_context_dedup(spark, sf):
     return kept.select("split", *KEYS, "target_idx", "text")
 
 
+def w6_exact_pair_dedup(spark, sf):
+    ex, cfg = _lines_dataset_examples(spark, sf, two=True)
+    kept = last_context_dedup(ex, cfg.noise_ratio, pattern=cfg.noise_pattern, exact=True)
+    return kept.select("split", *KEYS, "target_idx", "text")
+
+
 def w7_dev_test_cut(spark, sf):
     ex, cfg = _lines_dataset_examples(spark, sf)
     kept, _ = first_occurrence_dedup(ex, cfg.noise_ratio, pattern=cfg.noise_pattern)
