@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from dialogset.operators.metrics import AVERAGES, class_counts, f1_averages, mean_interval, multilabel_counts
 from dialogset.operators.scan import ordered_scan
+from dialogset.session import ship_package
 
 MAX_CELLS = 1_000_000
 AUTO_ROWS_LIMIT = 1_000_000
@@ -123,6 +124,7 @@ def subsample_f1_cells(
 ) -> DataFrame:
     """Per-repeat F1, cells mode (random, reproducible for a seed)."""
     spark = df.sparkSession
+    ship_package(spark)
     cells_df = df.groupBy(F.col(true).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("w"))
     cells = cells_df.limit(MAX_CELLS + 1).toPandas()  # bounded by classes^2 (or 4^width for vectors)
     if len(cells) > MAX_CELLS:

@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from dialogset.session import ship_package
+
 _MODELS: dict[int, Callable] = {}
 
 
@@ -25,6 +27,7 @@ def score_texts(
     batch_size: int = 32,
 ) -> DataFrame:
     """Add ``out_col`` (``array<double>``) with the model's output per row."""
+    ship_package(df.sparkSession)
     keep = keep if keep is not None else [c for c in df.columns]
     fields = [f for f in df.schema.fields if f.name in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out_col}` array<double>"
