@@ -61,3 +61,14 @@ def build_dataset(msgs: DataFrame, cfg: DatasetConfig) -> tuple[DataFrame, DataF
     else:
         kept, rejections = first_occurrence_dedup(ex, cfg.noise_ratio, pattern=cfg.noise_pattern)
     return dev_test_cut(kept), rejections
+
+
+def generate_splits(msgs: DataFrame, cfg: DatasetConfig, root: str, split_id: str, tag: str) -> DataFrame:
+    """W10 + S7 in one call: build the dataset and write it under ``root``
+    partitioned by ``split_id / tag / part``. Returns the rejection counts of
+    the one-sided build (None for two-sided)."""
+    from dialogset.sources.splitfiles import write_splits
+
+    dataset, rejections = build_dataset(msgs, cfg)
+    write_splits(dataset, root, split_id, tag)
+    return rejections

@@ -111,3 +111,13 @@ def test_oracle_match_sf0001(spark, name):
     res = duck(SF0001).execute(E.oracle_sql()[name])
     exp = rows_of([d[0] for d in res.description], res.fetchall())
     assert got == exp
+
+
+def test_generate_splits(spark):
+    from dialogset.plans.dataset import generate_splits
+
+    convs = [(c, ["hi there", "fine", "bad day", "ok"], [Z, P, Z, P], 2000 + c % 4) for c in range(8)]
+    root = scratch_path(spark, "t-gen")
+    rej = generate_splits(message_frame(spark, convs), DatasetConfig(ctx=6, donors={"test": [2000, 2001], "train": [2002, 2003]}),
+                          root, "2", "t")
+    assert spark.read.parquet(root).count() > 0 and rej.count() > 0
