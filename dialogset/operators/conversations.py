@@ -40,7 +40,7 @@ def conversation_sizes(positions: DataFrame, keys=CONV_KEYS) -> DataFrame:
 
 def conversations(
     msgs: DataFrame,
-    positions: DataFrame,
+    positions: DataFrame | None = None,
     keys=CONV_KEYS,
     max_turns_per_row: int = 10_000,
 ) -> DataFrame:
@@ -50,6 +50,10 @@ def conversations(
     A conversation longer than ``max_turns_per_row`` is returned as several
     consecutive rows (``part_no`` 0, 1, ...), so no row and no task has to
     hold an unbounded conversation; nothing is dropped."""
+    if positions is None:
+        from dialogset.operators.windows import utterance_positions
+
+        positions = utterance_positions(msgs, keys)
     rows = msgs.select(*keys, "line_num", "text", "label", "author").join(
         positions.select(*keys, "line_num", "idx", "n_turns"), [*keys, "line_num"]
     )

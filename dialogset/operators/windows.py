@@ -180,8 +180,7 @@ def one_sided_examples(
     the window ``start..target`` joined by ``sep`` with labels A2-A4.
 
     Columns: keys, ``target_idx``, ``start_idx``, ``target_line``, ``text``,
-    ``utterances``, ``labels``, ``coarse``, ``multi``, ``seq_coarse``,
-    ``seq_multi``."""
+    ``utterances``, ``coarse``, ``multi``, ``seq_coarse``, ``seq_multi``."""
     pos = positions if positions is not None else utterance_positions(msgs, keys)
     pos = pos.where(F.col("n_turns") >= 2)  # P4
     keep = _no_small_pieces_keep(ctx) if (no_small_pieces and ctx > 0) else F.lit(True)
