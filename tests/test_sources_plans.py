@@ -121,3 +121,20 @@ def test_generate_splits(spark):
     rej = generate_splits(message_frame(spark, convs), DatasetConfig(ctx=6, donors={"test": [2000, 2001], "train": [2002, 2003]}),
                           root, "2", "t")
     assert spark.read.parquet(root).count() > 0 and rej.count() > 0
+
+
+def test_package_shipped_to_workers(spark):
+    """Python workers can import the package even when it is not on their path."""
+    from dialogset.session import ship_package
+
+    ship_package(spark)
+
+    def probe(batches):
+        import pandas as pd
+
+        import dialogset.operators.intervals  # noqa: F401
+
+        for b in batches:
+            yield pd.DataFrame({"ok": [True] * len(b)})
+
+    assert spark.range(4).mapInPandas(probe, "ok boolean").where("ok").count() == 4
