@@ -96,4 +96,87 @@ y AS (SELECT *, CASE WHEN c > 0 THEN CAST((rk * num + off) // unit - ((rk - 1) *
 SELECT doc_id, size, CAST(c AS BIGINT) AS source_size, CAST(num AS DOUBLE) / CAST(den AS DOUBLE) AS target, size * copies AS taken, copies FROM y
 """
 
-STATEMENTS = {"op1_quality_rules": OP1, "op3_decontaminate": OP3, "op8_mix": OP8}
+OP4 = r"""
+WITH t AS (SELECT row_number() OVER () AS t, license, text FROM (VALUES {templates}) AS v(license, text)),
+tt AS (SELECT t, license, term, count(*) AS tf FROM (SELECT t, license, unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS term FROM t) GROUP BY ALL),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM t)) / (1.0 + count(DISTINCT t))) + 1 AS idf FROM tt GROUP BY term),
+tl AS (SELECT t, sqrt(sum(tf * idf * tf * idf)) AS len FROM tt JOIN idf USING (term) GROUP BY t),
+tw AS (SELECT t, license, term, tf * idf / len AS share FROM tt JOIN idf USING (term) JOIN tl USING (t)),
+f AS (
+  SELECT doc_id, text, coalesce(source, 'none') || '/repo' || (doc_id // 2000) AS repo, 'pkg' || (doc_id // 100) AS pkg FROM documents),
+p AS (
+  SELECT doc_id, text, CASE WHEN doc_id % 2000 < 20 THEN repo || '/LICENSE' WHEN doc_id % 100 < 20 THEN repo || '/' || pkg || '/LICENSE'
+    ELSE repo || '/' || pkg || '/file' || doc_id || '.txt' END AS path FROM f),
+ln AS (SELECT row_number() OVER () AS id, path, line FROM (SELECT path, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM p)),
+tm AS (
+  SELECT id, term, count(*) AS tf FROM (
+    SELECT id, unnest(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM ln) GROUP BY ALL),
+w AS (SELECT id, term, tf * coalesce(idf, ln(1.0 + (SELECT count(*) FROM t)) + 1) AS w FROM tm LEFT JOIN idf USING (term)),
+nm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id),
+sc AS (SELECT id, license, round(sum(w * share) / any_value(norm), 6) AS score FROM w JOIN tw USING (term) JOIN nm USING (id) GROUP BY id, t, license),
+own AS (
+  SELECT path, license AS own_license, score AS own_score FROM sc JOIN ln USING (id) WHERE score >= 0.75
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
+held AS (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS dir, own_license FROM own WHERE regexp_matches(path, '/LICENSE$')),
+d AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM p),
+up AS (SELECT dir, unnest([array_to_string(string_split(dir, '/')[1:k], '/') FOR k IN generate_series(0, len(string_split(dir, '/')))]) AS above FROM d),
+r AS (
+  SELECT up.dir, above, own_license AS inherited FROM up JOIN held ON above = held.dir
+  QUALIFY row_number() OVER (PARTITION BY up.dir ORDER BY length(above) DESC) = 1)
+SELECT doc_id, p.path, own_license, own_score, coalesce(own_license, inherited) AS license,
+       CASE WHEN own_license IS NOT NULL THEN 'header' WHEN inherited IS NOT NULL THEN 'inherited' ELSE 'none' END AS license_from,
+       CASE WHEN own_license IS NULL THEN above END AS origin
+FROM p LEFT JOIN own USING (path) LEFT JOIN r ON regexp_replace(p.path, '/[^/]*$', '') = r.dir
+"""
+
+OP9 = r"""
+WITH p AS (
+  SELECT page_id AS i, url, md5(coalesce(html, '')) AS dg, length(html) AS n, 'http://' || string_split(regexp_replace(url, '^[a-z]+://', ''), '/')[1] || '/' AS home FROM pages),
+rec AS (
+  SELECT i * 4 AS record_id, url, i * 60 AS ts, 0 AS later,
+    map(['content-type', 'content-length', 'etag', 'last-modified', 'date', 'server'], ['text/html', CAST(n AS VARCHAR), '"' || dg[1:16] || '"', CAST(i * 60 AS VARCHAR), CAST(i * 60 AS VARCHAR), 'a']) AS h FROM p
+  UNION ALL
+  SELECT i * 4 + 1, url, i * 60 + 90, 1,
+    map(['content-length', 'etag', 'last-modified', 'date', 'cache-control'], ['0', CASE WHEN i % 5 = 0 THEN NULL WHEN i % 7 = 0 THEN '"old"' ELSE 'W/"' || dg[1:16] || '"' END,
+      CASE WHEN i % 10 != 0 THEN CAST(i * 60 AS VARCHAR) END, CAST(i * 60 + 90 AS VARCHAR), 'max-age=60']) FROM p
+  UNION ALL
+  SELECT i * 4 + 2, home, i * 60, CASE WHEN i % 4 = 0 THEN 0 ELSE 1 END,
+    CASE WHEN i % 4 = 0 THEN map(['content-type', 'content-length', 'etag', 'date', 'server'], ['text/html', '512', '"h' || (i // 40) || '"', CAST(i * 60 AS VARCHAR), 'b'])
+    ELSE map(['etag', 'date', 'expires'], ['"h' || (i // 40) || '"', CAST(i * 60 AS VARCHAR), CAST(i * 60 AS VARCHAR)]) END FROM p),
+u AS (SELECT *, string_split(regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '?') AS s FROM rec),
+v AS (
+  SELECT *, regexp_replace(regexp_replace(lower(string_split(s[1], '/')[1]), ':(80|443)$', ''), '^(www|m)\.', '') || regexp_replace(regexp_replace(s[1], '^[^/]*', ''), '/+$', '') AS b,
+    array_to_string(list_sort([x FOR x IN string_split(coalesce(s[2], ''), '&') IF x != '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')]), '&') AS q FROM u),
+c AS (SELECT record_id, ts, later, h, b || CASE WHEN q != '' THEN '?' || q ELSE '' END AS url FROM v),
+s AS (
+  SELECT *, last_value(CASE WHEN later = 0 THEN {'id': record_id, 'h': h} END IGNORE NULLS) OVER (PARTITION BY url ORDER BY ts, later, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM c),
+a AS (
+  SELECT *, coalesce(regexp_replace(h['etag'], '^[wW]/', '') = regexp_replace(r.h['etag'], '^[wW]/', ''), h['last-modified'] = r.h['last-modified']) AS agree FROM s WHERE later = 1),
+z AS (SELECT *, CASE WHEN r IS NULL THEN 'missing' WHEN agree IS NULL THEN 'unchecked' WHEN agree THEN 'resolved' ELSE 'mismatch' END AS status FROM a),
+e AS (
+  SELECT record_id, unnest(map_entries(h)) AS e, 1 AS rank, status FROM z
+  UNION ALL SELECT record_id, unnest(map_entries(r.h)), 2, status FROM z WHERE status IN ('resolved', 'unchecked')),
+k AS (
+  SELECT record_id, e.key AS key, e.value AS value FROM e WHERE e.value IS NOT NULL
+    AND NOT (rank = 1 AND status IN ('resolved', 'unchecked') AND e.key IN ('connection', 'content-encoding', 'content-length', 'content-range', 'content-type', 'keep-alive', 'te', 'trailer', 'transfer-encoding', 'upgrade'))
+  QUALIFY row_number() OVER (PARTITION BY record_id, e.key ORDER BY rank) = 1),
+hd AS (SELECT record_id, string_agg(key || ': ' || value, chr(10) ORDER BY key) AS headers FROM k GROUP BY record_id)
+SELECT record_id, url, ts, CASE WHEN status IN ('resolved', 'unchecked') THEN r.id END AS refers_to, status, coalesce(headers, '') AS headers FROM z LEFT JOIN hd USING (record_id)
+"""
+
+
+def _templates() -> str:
+    from dialogset.llm.licenses import TEMPLATES
+
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    return ", ".join(f"({quote(a)}, {quote(b)})" for a, b in TEMPLATES)
+
+
+STATEMENTS = {
+    "op1_quality_rules": OP1,
+    "op3_decontaminate": OP3,
+    "op4_licenses": OP4.replace("{templates}", _templates()),
+    "op8_mix": OP8,
+    "op9_revisits": OP9,
+}

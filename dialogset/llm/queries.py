@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogset.llm import decontaminate, html_text, language, lm, mixing, pii, quality_rules, simhash
+from dialogset.llm import decontaminate, html_text, language, licenses, lm, mixing, pii, quality_rules, simhash, warc
 from dialogset.llm.common import crc_mod, table
 
 
@@ -101,16 +101,30 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return licenses.scan(licenses.files_of(docs)).drop("text")
+
+
+def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = warc.resolve(warc.captures_of(pages))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"]))
+    return found.select("record_id", "url", "ts", "refers_to", "status", F.array_join(lines, "\n").alias("headers"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules,
         op2_html_text,
         op3_decontaminate,
+        op4_licenses,
         op5_lm_score,
         op6_simhash,
         op7_pii,
         op8_mix,
+        op9_revisits,
         op10_language,
     )
 }
