@@ -30,7 +30,7 @@ empty table gives an empty result; extra columns pass through ``mix``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialogset.llm.common import WORD, broadcast_if, text_or_empty
@@ -84,11 +84,14 @@ def _hash32(*parts) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def allocate(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
+def allocate(
+    docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, carry: Column | None = None
+) -> DataFrame:
     """One narrow row per document: doc_id, source, size, source_size, target,
-    rank (from 1 in its source) and copies."""
+    rank (from 1 in its source) and copies; and ``carry``, if given."""
+    carried = [] if carry is None else [carry.alias("carried")]
     sized = docs.select(
-        "doc_id", "source", F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("size")
+        "doc_id", "source", F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("size"), *carried
     )
     # the order hash breaks ties of size at random, but the same way on every run
     sized = sized.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -123,4 +126,13 @@ def allocate(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIG
         return F.call_function("div", k.cast(small) * F.col("num").cast(small) + offset.cast(small), unit)
 
     copies = F.when(F.col("source_size") > 0, crossed(F.col("rank")) - crossed(F.col("rank") - 1)).otherwise(0)
-    return joined.select("doc_id", "source", "size", "source_size", "target", "rank", copies.cast("long").alias("copies"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", "rank", copies.cast("long").alias("copies"), *(["carried"] if carried else []))
+
+
+def mix(docs: DataFrame, copy: str = "copy", **kw) -> DataFrame:
+    """The mixed corpus: every row of ``docs`` once per copy taken, with a
+    column ``copy`` that numbers the copies from 1. Whole rows travel through
+    the range partitioning, so rows repeating a doc_id are never confused."""
+    drawn = allocate(docs, carry=F.struct(*[F.col(f"`{c}`") for c in docs.columns]), **kw).where("copies > 0")
+    numbered = drawn.select("carried", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
+    return numbered.select("carried.*", F.col("_copy").alias(copy))

@@ -152,17 +152,18 @@ def host_rates(rules: DataFrame) -> DataFrame:
     sums = [F.sum("n").alias("sn"), F.count(F.lit(1)).alias("hosts"), F.sum(F.col("n").cast("double") * F.col("n")).alias("sn2")]
     sums += [F.sum(f"f_{r}").alias(f"sf_{r}") for r in names]
     sums += [F.sum(F.col(f"f_{r}").cast("double") * F.col(f"f_{r}") / F.col("n")).alias(f"sq_{r}") for r in names]
-    prior = hosts.agg(*sums)  # one row
-    both = hosts.crossJoin(F.broadcast(prior))
+    hosts = pin(hosts, "host-counts")
+    p = hosts.agg(*sums).first()  # one row: the sums over all hosts
+    rates = []
     for r in names:
-        sn = F.col("sn").cast("double")
-        m = F.col(f"sf_{r}") / sn
-        var = m * (1 - m)
-        v = F.col(f"sq_{r}") / sn - m * m
-        t = (v - var * (F.col("hosts") - 1) / sn) / F.nullif(1 - F.col("sn2") / (sn * sn), F.lit(0.0))
-        s = F.when(t > 0, F.least(F.greatest(var / t - 1, F.lit(1.0)), F.lit(10000.0))).otherwise(F.lit(10000.0))
-        both = both.withColumn(f"rate_{r}", (F.col(f"f_{r}") + s * m) / (F.col("n") + s))
-    return both.select("host", "n", *[f"f_{r}" for r in names], *[f"rate_{r}" for r in names])
+        sn = float(p["sn"] or 1)
+        m = (p[f"sf_{r}"] or 0) / sn
+        v = (p[f"sq_{r}"] or 0.0) / sn - m * m
+        spread = 1 - (p["sn2"] or 0.0) / (sn * sn)
+        t = (v - m * (1 - m) * (p["hosts"] - 1) / sn) / spread if spread else 0.0
+        s = min(max(m * (1 - m) / t - 1, 1.0), 10000.0) if t > 0 else 10000.0
+        rates.append(((F.col(f"f_{r}") + s * m) / (F.col("n") + s)).alias(f"rate_{r}"))
+    return hosts.select("host", "n", *[f"f_{r}" for r in names], *rates)
 
 
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
