@@ -23,7 +23,8 @@ Edge cases: null text has no words (never contaminated); null or wordless
 items match nothing; repeated items with one id count once; a null item_id is
 written as the empty string; rows repeating a doc_id are judged each by its
 own words; a null doc_id is matched null-safely; empty tables give empty or
-clean results; extra columns of ``docs`` pass through, whatever their names.
+clean results; extra columns of ``docs`` pass through
+(one named like the output is replaced).
 """
 
 from __future__ import annotations
@@ -138,6 +139,7 @@ def decontaminate(
     per occurrence), contaminated (n_hit > 0 and ratio * n_hit >= n_words)."""
     if not 1 <= gram <= span:
         raise ValueError("gram must lie in 1..span")
+    docs = docs.drop(out)
     items = pin(_items(benchmark), "decon-items")
     lengths = items.where(F.size("words") < span).select(F.size("words").alias("n")).distinct()
     short = sorted(r[0] for r in lengths.collect())  # fewer than `span` values

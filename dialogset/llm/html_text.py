@@ -14,7 +14,8 @@ Edge cases: null or empty html has empty text; unclosed tags, containers and
 comments end at the page's end (a boilerplate container that is never closed
 ends where an article or main element begins); stray ``<`` are text;
 repeated rows are each extracted; an empty table gives an empty result; other
-columns pass through ``extract`` untouched.
+columns pass through ``extract`` untouched (one named like its output is
+replaced).
 """
 
 from __future__ import annotations
@@ -272,7 +273,7 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
     """``pages`` without ``html``, plus the main text as column ``out``."""
     ship_package(pages.sparkSession)
     tree = train()
-    others = [f for f in pages.schema.fields if f.name != html]
+    others = [f for f in pages.schema.fields if f.name not in (html, out)]
     schema = T.StructType([*others, T.StructField(out, T.StringType())])
 
     def run(batches):

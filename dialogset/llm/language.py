@@ -20,7 +20,8 @@ Edge cases: null text or a text without a letter is ``und`` with score 0; a
 null language is not learned from; with one learned language its score is 1;
 with none every text is ``und``; equal sizes go to the language with the most
 training documents (then by code point) with score 0; repeated rows are each predicted; an empty table gives an
-empty result; other columns pass through ``identify`` untouched.
+empty result; other columns pass through ``identify``
+untouched, but one named like its output is replaced.
 """
 
 from __future__ import annotations
@@ -115,6 +116,7 @@ class Classifier:
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, out: str = "language") -> DataFrame:
     """``docs`` plus a struct column ``out``: lang, score, accepted."""
+    docs = docs.drop(out)
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(dictionaries)

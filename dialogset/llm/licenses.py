@@ -18,7 +18,8 @@ the joins back use a broadcast only below ``BROADCAST_ROWS`` counted rows.
 Edge cases: null text has no lines; a null path is a file of its own without
 directory; rows repeating a path are one file (their lines are pooled, each
 row is returned); equal cosines go to the licence first by code point; an
-empty table gives an empty result; other columns pass through.
+empty table gives an empty result; other columns pass through (one named like
+an output is replaced).
 """
 
 from __future__ import annotations
@@ -130,6 +131,7 @@ def scan(files: DataFrame, templates=None, least: float = MIN_COSINE) -> DataFra
     """``files`` (path, text, ...) plus own_license, own_score, license,
     license_from (header, inherited or none) and origin (the licence file's
     directory)."""
+    files = files.drop("own_license", "own_score", "license", "license_from", "origin")
     own = pin(own_licences(files, templates, least), "license-own")
     n_own = own.count()
     named = own.withColumn("dir", _directory(F.col("path"))).where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE))

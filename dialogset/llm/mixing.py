@@ -25,7 +25,8 @@ ever handled by one task (one row per source).
 Edge cases: null text has size 0; a null source is a source of its own, last
 in order; a source without words has target 0 and its documents are taken 0
 times; rows with one doc_id rank next to each other and are drawn each; an
-empty table gives an empty result; extra columns pass through ``mix``.
+empty table gives an empty result; extra columns pass through ``mix`` (one
+named like its copy number is replaced).
 """
 
 from __future__ import annotations
@@ -133,6 +134,7 @@ def mix(docs: DataFrame, copy: str = "copy", **kw) -> DataFrame:
     """The mixed corpus: every row of ``docs`` once per copy taken, with a
     column ``copy`` that numbers the copies from 1. Whole rows travel through
     the range partitioning, so rows repeating a doc_id are never confused."""
+    docs = docs.drop(copy)
     drawn = allocate(docs, carry=F.struct(*[F.col(f"`{c}`") for c in docs.columns]), **kw).where("copies > 0")
     numbered = drawn.select("carried", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
     return numbered.select("carried.*", F.col("_copy").alias(copy))

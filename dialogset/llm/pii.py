@@ -28,7 +28,7 @@ Edge cases: null text is empty and has no spans; without training contexts
 the model is trained on the written forms alone; repeated rows are each
 tagged; an empty table gives an empty result; very long runs of digits or
 letters are matched in linear time; other columns pass through ``tag`` and
-``redact`` untouched.
+``redact`` untouched (one named like an output of ``tag`` is replaced).
 """
 
 from __future__ import annotations
@@ -535,6 +535,7 @@ def _structs(spans):
 def tag(docs: DataFrame, model, base: str = "base", spans: str = "spans") -> DataFrame:
     """``docs`` plus two arrays of (start, end, kind), in code points: the base
     spans and all spans."""
+    docs = docs.drop(base, spans)
     spark: SparkSession = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)

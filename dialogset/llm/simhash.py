@@ -146,8 +146,9 @@ def docs_masks(like: DataFrame, choices: list[tuple[int, int]]) -> DataFrame:
     return like.sparkSession.createDataFrame(choices, "c int, mask long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fp (long), component_id (least doc_id reachable) per row of ``docs``."""
+def _rooted(docs: DataFrame, shingle: int, max_bits: int, bucket: int) -> DataFrame:
+    """doc_id, fp, root (a fingerprint naming the component), component_id per
+    row of ``docs``."""
     fps = pin(fingerprints(docs, shingle), "simhash-fps")
     classes = pin(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     roots = components(links(classes.select("fp"), max_bits, bucket), "a", "b")
@@ -155,43 +156,43 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fps.join(found, "fp").select("doc_id", "fp", "component_id")
+    found = rooted.select("fp", "root").join(least, "root")
+    return fps.join(found, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, fp (long), component_id (least doc_id reachable) per row of ``docs``."""
+    return _rooted(docs, shingle, max_bits, bucket).drop("root")
 
 
-def keep_one(docs: DataFrame, **kw) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
     """``docs`` with one row of each component: that of the component's least
     doc_id (of rows repeating that id, the one with the least text hash; of a
-    component without ids, the one with the least fingerprint and text hash).
-    All columns are kept."""
-    verdicts = near_duplicates(docs, **kw)
-    # one narrow row per component says which document stays
-    stays = verdicts.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    named = stays.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.join(named, docs["doc_id"] == named["_keep"], "left_semi")
-    rows = rows.groupBy("doc_id").agg(_least_row(docs.columns).alias("_r"))
-    out = rows.select("_r.*")
-    unnamed = docs.where(F.col("doc_id").isNull())
-    if unnamed.isEmpty():
+    component without ids, the row with the least text hash). All columns are
+    kept. One narrow row per document decides; the documents are shuffled
+    once, by id. Rows without an id or repeating one are told apart by their
+    fingerprint."""
+    verdicts = pin(_rooted(docs, shingle, max_bits, bucket), "simhash-verdicts")
+    by_id = verdicts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c"))
+    plain = by_id.where("n = 1 AND doc_id = c").select(F.col("doc_id").alias("_keep"))
+    out = docs.join(plain, docs["doc_id"] == plain["_keep"], "left_semi")
+    odd = pin(by_id.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_odd")), "simhash-odd")
+    if odd.isEmpty():
         return out
-    # documents without an id: those of components that have none at all
-    fps = stays.where(F.col("doc_id").isNull()).select("fp").distinct()
-    roots = components(links(fps), "a", "b")
-    marked = fingerprints_beside(unnamed)
-    marked = marked.join(fps, "fp", "left_semi").join(roots, F.col("fp") == F.col("node"), "left")
-    marked = marked.groupBy(F.coalesce("root", "fp").alias("_c")).agg(_least_row(docs.columns).alias("_r"))
-    return out.unionByName(marked.select("_r.*"))
-
-
-def _least_row(columns: list[str]):
-    return F.min_by(F.struct(*[F.col(c) for c in columns]), F.xxhash64(F.col("text")))
-
-
-def fingerprints_beside(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``fp`` (for the rare rows without an id)."""
 
     @F.pandas_udf("long")
     def fp(text):
-        return text.map(fingerprint)
+        return text.map(lambda t: fingerprint(t, shingle))
 
-    return docs.withColumn("fp", fp("text"))
+    rows = docs.join(odd, docs["doc_id"].eqNullSafe(odd["_odd"]), "left_semi").select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        docs["doc_id"].cast("long").alias("id"),
+        F.xxhash64(docs["text"]).alias("h"),
+        fp(docs["text"]).alias("fp"),
+    )
+    least = verdicts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "root"
+    )
+    stays = rows.join(least.distinct(), F.col("id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")))
+    one = stays.groupBy("root").agg(F.min_by("row", "h").alias("row"))
+    return out.unionByName(one.select("row.*"))
