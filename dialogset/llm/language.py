@@ -8,8 +8,9 @@ beginning explains every block. The margin is ``1 - best / second``; a text
 whose margin is below ``MIN_MARGIN`` is not accepted.
 
 The dictionaries are fitted on a bounded sample of labelled rows: the
-``SAMPLE_DOCS`` training documents per language with the least hash of their
-id, ``SAMPLE_CHARS`` characters of each, at most ``DICT_BYTES`` bytes a
+``SAMPLE_DOCS`` training documents per language with the least hashes of their
+id (evenly from ``SAMPLE_PARTS`` parts of the hashes, so no task ranks a whole
+language), ``SAMPLE_CHARS`` characters of each, at most ``DICT_BYTES`` bytes a
 language. Texts and samples are reduced to lower-case words of letters first,
 so that markup and numbers say nothing about a language. Choosing the sample ranks narrow rows (id and language), limited per
 map task before the shuffle. The dictionaries (a number of languages times
@@ -38,6 +39,7 @@ from dialogset.session import ship_package
 
 DICT_BYTES = 1 << 17
 SAMPLE_DOCS = 256
+SAMPLE_PARTS = 16
 SAMPLE_CHARS = 1024
 BLOCK = 1024
 LEVEL = 3
@@ -60,13 +62,14 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """Language -> raw dictionary content, from training rows of ``docs``."""
     train = training_rows(docs)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "piece"))
+    parts = min(SAMPLE_PARTS, sample_docs)
+    rank = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(parts))).orderBy("h", "doc_id", "piece"))
     # pieces are cut before ranking, so a ranked row is bounded
     pieces = train.select(
         "lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.substring(letters(F.substring("text", 1, 4 * SAMPLE_CHARS)), 1, SAMPLE_CHARS).alias("piece")
     )
-    chosen = pieces.withColumn("_rank", rank).where(F.col("_rank") <= sample_docs)
-    rows = chosen.select("lang", "_rank", "piece").limit(MAX_LANGUAGES * sample_docs + 1).collect()
+    chosen = pieces.withColumn("_rank", rank).where(F.col("_rank") <= sample_docs // parts)
+    rows = chosen.select("lang", "h", "piece").limit(MAX_LANGUAGES * sample_docs + 1).collect()
     texts: dict[str, list] = {}
     for lang, r, piece in rows:
         texts.setdefault(lang, []).append((r, piece))

@@ -6,7 +6,8 @@ numpy from labelled spans, adds what the patterns miss (spaced, bracketed or
 unprefixed forms). Base spans always stay.
 
 Training: a bounded sample of the documents that hold a trigger character
-(``SAMPLE_DOCS`` with the least hash of their id, ``SAMPLE_CHARS`` characters
+(``SAMPLE_DOCS`` with the least hashes of their id, taken evenly from
+``SAMPLE_PARTS`` parts of the hashes, ``SAMPLE_CHARS`` characters
 around the first trigger of each) gives contexts with their base spans as
 labels; into further contexts written forms of invented data are inserted,
 labelled. The same seed gives the same model.
@@ -37,7 +38,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +47,7 @@ from dialogset.session import ship_package
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 600
+SAMPLE_PARTS = 64
 WINDOW = 96
 STRIDE = WINDOW // 2
 DECODE_BATCH = 512
@@ -400,8 +402,13 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, np.ndarr
     held = docs.where(F.col("text").rlike(TRIGGER)).select(
         F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS)).alias("c")
     )
-    rows = held.orderBy("h", "c").limit(sample_docs).collect()
-    return fit(*examples([r[1] for r in rows]))
+    # the least of each part: a map task sends at most the sample's size, and no
+    # task or driver gathers what all map tasks found
+    parts = min(SAMPLE_PARTS, sample_docs)
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("h", "c"))
+    ranked = held.withColumn("part", F.pmod("h", F.lit(parts))).withColumn("rank", rank)
+    rows = ranked.where(F.col("rank") <= sample_docs // parts).select("h", "c").collect()
+    return fit(*examples([r[1] for r in sorted(rows)]))
 
 
 # ---------------------------------------------------------------- tagging
