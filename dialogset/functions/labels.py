@@ -82,12 +82,9 @@ def clamp_label(x, max_excl) -> Column:
 
 
 def two_annotators(x, y, min_incl: int, max_excl: int) -> Column:
-    """Clamp both; both minimal -> [min]; equal -> [x]; else [x, y]."""
-    cx, cy = clamp_label(x, max_excl), clamp_label(y, max_excl)
+    """The distinct values of both, clamped."""
     return (
-        F.when((cx == min_incl) & (cy == min_incl), F.array(F.lit(min_incl)))
-        .when(cx == cy, F.array(cx))
-        .otherwise(F.array(cx, cy))
+        F.array_distinct(F.array(clamp_label(x, max_excl), clamp_label(y, max_excl)))
     )
 
 

@@ -48,9 +48,11 @@ def default_class_names(n: int = 6) -> list[str]:
 
 
 def _names_of(vec: Column, names: list[str]) -> Column:
-    """Class names of the non-zero positions of an n-hot vector."""
+    """Class names of the non-zero positions of an n-hot vector (J6); a set
+    position without a name is an error."""
     table = F.array(*[F.lit(n) for n in names])
-    marked = F.transform(vec, lambda v, i: F.when(v != 0, F.get(table, i)))
+    missing = lambda i: F.raise_error(F.concat(F.lit("no class name for position "), i.cast("string"))).cast("string")
+    marked = F.transform(vec, lambda v, i: F.when(v != 0, F.coalesce(F.get(table, i), missing(i))))
     return F.filter(marked, lambda x: x.isNotNull())
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dialogset.operators.scan import join_null_safe
 from dialogset.schema import CONV_KEYS
 
 # Donor tables up to this many rows are broadcast; the size is known on the
@@ -54,8 +55,10 @@ def conversations(
         from dialogset.operators.windows import utterance_positions
 
         positions = utterance_positions(msgs, keys)
-    rows = msgs.select(*keys, "line_num", "text", "label", "author").join(
-        positions.select(*keys, "line_num", "idx", "n_turns"), [*keys, "line_num"]
+    rows = join_null_safe(
+        msgs.select(*keys, "line_num", "text", "label", "author"),
+        positions.select(*keys, "line_num", "idx", "n_turns"),
+        [*keys, "line_num"],
     )
     rows = rows.withColumn("part_no", F.floor(F.col("idx") / max_turns_per_row))
     elem = F.struct("idx", "line_num", "text", "label", "author")

@@ -14,8 +14,8 @@ quantiles per average.
   multivariate hypergeometric sample of the cell counts in a Python task: the
   same distribution as drawing rows, at a cost independent of ``n``.
 
-``auto`` (the report default) counts the rows and uses ``rows`` up to
-``AUTO_ROWS_LIMIT`` rows, ``cells`` above.
+The mode is chosen by the caller (the reports default to ``rows``) and never
+by the size of the input, so reported numbers do not change method with it.
 
 ``pooled=True`` reproduces the reference's accumulation across averages
 (micro scores include the weighted ones; macro includes all three).
@@ -33,7 +33,6 @@ from dialogset.operators.scan import ordered_scan
 from dialogset.session import ship_package
 
 MAX_CELLS = 1_000_000
-AUTO_ROWS_LIMIT = 1_000_000
 
 
 def _pool(per_repeat: DataFrame, pooled: bool) -> DataFrame:
@@ -169,9 +168,8 @@ def subsample_interval(
     pooled: bool = False,
     size: int | None = None,
 ) -> DataFrame:
-    """``average, lower, upper, mean`` per F1 average."""
-    if mode == "auto":
-        mode = "rows" if df.count() <= AUTO_ROWS_LIMIT else "cells"
+    """``average, lower, upper, mean`` per F1 average. ``mode`` is the
+    caller's choice and never depends on the input's size."""
     if mode == "rows":
         per = subsample_f1_rows(df, true, pred, row_id, repeats, fraction, seed, multilabel, pooled, size)
     elif mode == "cells":

@@ -153,8 +153,8 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
         F.sum(F.col(y).cast("long")).alias("pos"), F.sum((1 - F.col(y)).cast("long")).alias("neg")
     )
     s = ordered_scan(g, [], [("s", True)], sums=["pos", "neg"], seq_col="_i", size_col="_n")
-    contrib = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)
-    pairs = (F.first("pos_total") * F.first("neg_total")).cast("double")
+    contrib = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2.0)
+    pairs = F.first("pos_total").cast("double") * F.first("neg_total").cast("double")
     return s.agg(F.try_divide(F.sum(contrib), pairs).alias("auc"))
 
 

@@ -28,6 +28,7 @@ bounded by the threshold. The threshold comes from the session conf
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,8 +93,12 @@ def _block_scan(
     wb = Window.partitionBy(*keys).orderBy("_blk")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
+    # one key column: structs compare NULL fields as equal, so groups with NULL
+    # keys meet their carry like any other
+    group_key = [F.struct(*keys).alias("_kk")] if keys else []
+    on = ["_kk", "_blk"] if keys else ["_blk"]
     carry_cols = [
-        *keys,
+        *group_key,
         "_blk",
         F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_cn"),
         F.sum("_bn").over(whole).alias(size_col),
@@ -117,9 +122,9 @@ def _block_scan(
     # Explicit (group, block) partitioning of the rows: the local windows
     # below then never inherit a coarser partitioning from the carry side
     # (by group only), which would put a hot group back into one task.
-    rows = ranged.repartition(n_blocks, *[F.col(k) for k in keys], F.col("_blk"))
-    joined = rows.join(carry, [*keys, "_blk"])
-    wl = Window.partitionBy(*keys, "_blk").orderBy(*_order_cols(order))
+    rows = ranged.select("*", *group_key).repartition(n_blocks, *on)
+    joined = rows.join(carry, on)
+    wl = Window.partitionBy(*on).orderBy(*_order_cols(order))
     rn = F.row_number().over(wl)
     out = joined.withColumn("_rn", rn).withColumn(seq_col, (F.col("_cn") + F.col("_rn") - 1).cast("long"))
     for c in sums:
@@ -129,7 +134,7 @@ def _block_scan(
         out = out.withColumn(
             f"{c}_prev", F.when(F.col("_rn") == 1, F.col(f"_cl_{c}")).otherwise(F.lag(c, 1).over(wl))
         )
-    drop = ["_blk", "_cn", "_rn"] + [f"_cs_{c}" for c in sums] + [f"_cl_{c}" for c in prev]
+    drop = ["_kk", "_blk", "_cn", "_rn"] + [f"_cs_{c}" for c in sums] + [f"_cl_{c}" for c in prev]
     return out.drop(*drop)
 
 
@@ -148,13 +153,20 @@ def _window_scan(df: DataFrame, keys, order: Order, sums, prev, firsts, seq_col:
         for c in firsts
     ]
     cols += [
-        F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias(f"{c}_before")
+        F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{c}_before")
         for c in sums
     ]
     cols += [F.lag(c, 1).over(w).alias(f"{c}_prev") for c in prev]
     return df.select("*", *cols)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` where NULL keys are equal, as in GROUP BY."""
+    renamed = right.select(*[F.col(c).alias(f"_j_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys])
+    return left.join(renamed, same).drop(*[f"_j_{k}" for k in keys])
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -210,7 +222,7 @@ def ordered_scan(
     if not hot_rows:
         return window(df)
     if len(hot_rows) > MAX_HOT_GROUPS:
-        return block(df, sum(r[1] for r in hot_rows))  # a lower bound of the rows
+        return block(df, sizes.agg(F.sum("_n")).first()[0])
     # at most rows / threshold hashes, and never more than MAX_HOT_GROUPS: broadcast
     hot_df = F.broadcast(spark.createDataFrame([(r[0],) for r in hot_rows], "_kh long"))
     cold = window(hashed.join(hot_df, "_kh", "left_anti").drop("_kh"))

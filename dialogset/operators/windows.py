@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialogset.functions import labels as L
-from dialogset.operators.scan import ordered_scan
+from dialogset.operators.scan import join_null_safe, ordered_scan
 from dialogset.schema import CONV_KEYS
 
 DEFAULT_CHUNK = 1 << 16  # characters per lookup partition
@@ -154,7 +154,7 @@ def _no_small_pieces_keep(ctx: int) -> F.Column:
 def _members(msgs: DataFrame, ranges: DataFrame, keys, extra) -> DataFrame:
     """Join texts to the target ranges of their utterance (``_lo .. _hi``)
     and emit one row per (target, member)."""
-    rows = msgs.select(*keys, "line_num", "text", "label").join(ranges, [*keys, "line_num"])
+    rows = join_null_safe(msgs.select(*keys, "line_num", "text", "label"), ranges, [*keys, "line_num"])
     elem = F.struct(
         F.col("idx").alias("idx"),
         F.col("text").alias("text"),

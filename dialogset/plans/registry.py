@@ -681,12 +681,18 @@ def k1_batch_scoring(spark, sf):
     return s.select("row_id", r6(F.col("logits")[0]).alias("l0"), r6(F.col("logits")[1]).alias("l1"))
 
 
+def _train_test(df, *keys):
+    """Four fifths to fit on, one fifth to score, by a hash of ``keys``."""
+    held_out = F.pmod(F.xxhash64(*keys), F.lit(5)) == 0
+    return df.where(~held_out), df.where(held_out)
+
+
 def k2_binary_classifier(spark, sf):
     from dialogset.plans.models import predict_binary, train_binary
 
     d = FX.imbalance_fx(spark, sf)
-    model = train_binary(d, num_features=1 << 14, max_iter=20)
-    p = predict_binary(model, d, ["row_id", "label"])
+    train, test = _train_test(d, "row_id")
+    p = predict_binary(train_binary(train), test, ["row_id", "label"])
     return p.select("row_id", "label", S.argmax("probs").alias("pred"))
 
 
@@ -694,8 +700,8 @@ def k3_multilabel_classifier(spark, sf):
     from dialogset.plans.models import predict_multilabel, train_multilabel
 
     m = messages(spark, sf).select("text", F.col("label").alias("multi"), *KEYS, "line_num")
-    models = train_multilabel(m, 6, num_features=1 << 12, max_iter=10)
-    p = predict_multilabel(models, m, [*KEYS, "line_num"])
+    train, test = _train_test(m, *KEYS)
+    p = predict_multilabel(train_multilabel(train, 6), test, [*KEYS, "line_num"])
     return p.select(*KEYS, "line_num", ints(S.threshold_nhot("probs")).alias("pred"))
 
 

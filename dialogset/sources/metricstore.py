@@ -1,4 +1,4 @@
-"""Evaluation records as a long-format table partitioned by ``run_id``."""
+"""Evaluation records as a long-format table partitioned by ``run_id, split_id, tag``."""
 
 from __future__ import annotations
 
@@ -21,9 +21,13 @@ def to_metrics(df: DataFrame, run_id: str, split_id: str, tag: str) -> DataFrame
 
 
 def write_metrics(metrics: DataFrame, root: str) -> None:
-    metrics.select(*[f.name for f in METRICS.fields]).write.mode("append").partitionBy("run_id").parquet(root)
+    """Write whole reports: the records of a run, split and tag replace those
+    written before, so a rerun does not double them."""
+    metrics.select(*[f.name for f in METRICS.fields]).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("run_id", "split_id", "tag").parquet(root)
 
 
 def read_metrics(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
-    df = spark.read.schema(METRICS).parquet(root)
+    df = spark.read.schema(METRICS).parquet(root).select(*METRICS.names)
     return df.where(F.col("run_id") == str(run_id)) if run_id is not None else df

@@ -10,28 +10,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GRANULARITIES = ("coarse", "multi", "seq_coarse", "seq_multi")
 
 
-def write_splits(dataset: DataFrame, root: str, split_id: str, tag: str, mode: str = "append") -> None:
+def write_splits(dataset: DataFrame, root: str, split_id: str, tag: str) -> None:
     """Write a dataset (with column ``part``) under ``root`` partitioned by
-    ``split_id, tag, part``."""
+    ``split_id, tag, part``. Parts written before are replaced, others stay, so
+    a second run gives the same dataset."""
     (
         dataset.withColumn("split_id", F.lit(str(split_id)))
         .withColumn("tag", F.lit(tag))
-        .write.mode(mode)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("split_id", "tag", "part")
         .parquet(root)
     )
 
 
 def read_splits(spark: SparkSession, root: str) -> DataFrame:
-    """All split files under ``root``; partition values stay strings
-    (directory discovery would turn ``split_id=1`` into an integer)."""
-    df = spark.read.parquet(root)
-    return df.select(*[F.col(c).cast("string").alias(c) if c in ("split_id", "tag", "part") else F.col(c)
-                       for c in df.columns])
+    """All split files under ``root``; partition values are read as the strings
+    they are (directory discovery would turn ``split_id=01`` into 1)."""
+    found = spark.read.parquet(root).schema
+    names = ("split_id", "tag", "part")
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in names else f for f in found.fields])
+    return spark.read.schema(schema).parquet(root)
 
 
 def read_split(spark: SparkSession, root: str, split_id: str, tag: str, part: str | None = None) -> DataFrame:
@@ -74,30 +78,32 @@ def read_legacy_json(spark: SparkSession, path: str, two_sided: bool = False) ->
 
     Each file is one JSON object whose four keys hold parallel tuple lists;
     the tuples are read as ``array<string>`` and typed by position. One row
-    per example with all four granularities; ``file`` keeps the source."""
+    per example with all four granularities; ``file`` keeps the source. Lists
+    of unequal length are an error."""
     raw = spark.read.option("multiLine", True).json(path).withColumn("file", F.input_file_name())
-    out = None
-    for g in GRANULARITIES:
-        part = raw.select("file", F.posexplode(g).alias("pos", "t"))
-        if two_sided:
-            cols = [F.col("t")[0].alias("text"), F.col("t")[1].alias("context")]
-            lab = {"coarse": 2, "multi": 2, "seq_coarse": 3, "seq_multi": 3}[g]
-        else:
-            cols = [F.col("t")[0].alias("text")]
-            lab = 1
-        typ = {"coarse": "int", "multi": "array<int>", "seq_coarse": "array<int>", "seq_multi": "array<array<int>>"}[g]
-        value = F.col("t")[lab]
-        label = value.cast("int") if typ == "int" else F.from_json(value, typ)
-        meta = [F.col("t")[lab + 1].cast("long").alias("thread_id"), F.col("t")[lab + 2].cast("long").alias("conv_id")]
-        part = part.select("file", "pos", *cols, label.alias(g), *meta)
-        if out is None:
-            out = part
-        else:
-            out = out.join(part.select("file", "pos", g), ["file", "pos"])
-    return out
+    sizes = F.array(*[F.coalesce(F.size(g), F.lit(-1)) for g in GRANULARITIES])
+    unequal = F.raise_error(F.concat(F.lit("lists of unequal length in "), F.col("file"), F.lit(": "), sizes.cast("string")))
+    zipped = F.when(F.size(F.array_distinct(sizes)) == 1, F.arrays_zip(*GRANULARITIES)).otherwise(unequal)
+    rows = raw.select("file", F.posexplode(zipped).alias("pos", "z"))
+    first = 2 if two_sided else 1
+    at = {"coarse": first, "multi": first, "seq_coarse": first + two_sided, "seq_multi": first + two_sided}
+    types = {"multi": "array<int>", "seq_coarse": "array<int>", "seq_multi": "array<array<int>>"}
+    values = {g: F.col(f"z.{g}")[k] for g, k in at.items()}
+    labels = [(F.from_json(v, types[g]) if g in types else v.cast("int")).alias(g) for g, v in values.items()]
+    head = F.col("z.coarse")
+    texts = [head[0].alias("text"), *([head[1].alias("context")] if two_sided else [])]
+    ids = [head[first + 1].cast("long").alias("thread_id"), head[first + 2].cast("long").alias("conv_id")]
+    return rows.select("file", "pos", *texts, *labels, *ids)
+
+
+def legacy_counts(spark: SparkSession, path: str) -> DataFrame:
+    """A19 on imported files: the number of examples under each key of a file,
+    counted before the lists are zipped."""
+    raw = spark.read.option("multiLine", True).json(path)
+    return raw.select(F.input_file_name().alias("file"), *[F.size(g).alias(f"n_{g}") for g in GRANULARITIES])
 
 
 def granularity_counts(df: DataFrame) -> DataFrame:
     """Count of non-null labels per granularity (equal by construction
-    in the wide layout; for imported files they must agree)."""
+    in the wide layout; imported files: ``legacy_counts``)."""
     return df.agg(*[F.count(g).alias(f"n_{g}") for g in GRANULARITIES])

@@ -109,8 +109,6 @@ def test_cells_mode_agrees_with_rows_mode(spark):
         assert abs(rows[a].lower - cells[a].lower) < 0.05 and abs(rows[a].upper - cells[a].upper) < 0.05
 
 
-def test_auto_mode_small_is_rows(spark):
-    df = _scored(spark, 200)
-    auto = subsample_interval(df, repeats=10, mode="auto").orderBy("average").collect()
-    rows = subsample_interval(df, repeats=10, mode="rows").orderBy("average").collect()
-    assert auto == rows
+def test_mode_never_depends_on_size(spark):
+    with pytest.raises(ValueError):
+        subsample_interval(_scored(spark, 20), repeats=2, mode="auto")

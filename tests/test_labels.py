@@ -42,31 +42,24 @@ def test_active_and_any(spark):
     assert one(spark, L.to_nhot(F.array(F.lit(0), F.lit(5)), 6), sch, ([],)) == [1, 0, 0, 0, 0, 1]
 
 
-def _merge(l1, l2, gs, sup, mn=0, mx=6):
-    """The merge rule, stated directly."""
-    c1 = 0 if l1 >= mx else l1
-    c2 = 0 if l2 >= mx else l2
-    g = [x for x in gs if x < mx]
-    if g:
-        return g
-    if sup:
-        return [mn]
-    if c1 == mn and c2 == mn:
-        return [mn]
-    if c1 == c2:
-        return [c1]
-    return [x for x in (c1, c2) if x > mn]
-
-
 @pytest.mark.parametrize(
-    "l1,l2,gs,sup",
-    [(1, 2, [3, 7], False), (1, 2, [7, 9], True), (1, 2, [7], False), (7, 0, [], False), (3, 3, [], False),
-     (0, 4, [], False), (6, 8, [], False), (2, 9, [], None), (0, 0, [2, 2, 1], False)],
+    "l1,l2,gs,sup,expected",
+    [
+        (1, 2, [3, 7], False, [3]),  # gold labels win; 7 is out of range
+        (0, 0, [2, 2, 1], False, [2, 2, 1]),  # gold labels as they are
+        (1, 2, [7, 9], True, [0]),  # superseded without a usable gold label
+        (1, 2, [7], False, [1, 2]),  # the two annotators
+        (3, 3, [], False, [3]),
+        (0, 4, [], False, [4]),  # the neutral one gives way
+        (7, 0, [], False, [0]),  # out of range counts as neutral
+        (6, 8, [], False, [0]),
+        (2, 9, [], None, [2]),
+    ],
 )
-def test_merge_gold(spark, l1, l2, gs, sup):
+def test_merge_gold(spark, l1, l2, gs, sup, expected):
     sch = "l1 int, l2 int, gs array<int>, sup boolean"
     got = one(spark, L.merge_gold("l1", "l2", "gs", "sup", 0, 6), sch, (l1, l2, gs, sup))
-    assert got == _merge(l1, l2, gs, sup)
+    assert got == expected
 
 
 def test_two_annotators(spark):
