@@ -10,8 +10,9 @@ nearest ancestor directory that holds a licence file (``LICENSE*``,
 
 Pruning is exact (prefix filtering): the heaviest template terms are split off
 such that the remaining, frequent terms alone can never reach the threshold;
-a line without a split-off term is not a candidate. Only candidate lines are
-exploded into terms. Directories are reduced to distinct ones before their
+a line without a split-off term is not a candidate, nor is one whose exact dot
+products over a lower bound of its length stay below. Only candidate lines
+are exploded into terms. Directories are reduced to distinct ones before their
 ancestors are joined, so a directory with very many files is one row there;
 the joins back use a broadcast only below ``BROADCAST_ROWS`` counted rows.
 
@@ -31,7 +32,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialogset.llm.common import broadcast_if, text_or_empty
+from dialogset.llm.common import broadcast_if, let, text_or_empty
 from dialogset.llm.decontaminate import words_of
 from dialogset.session import pin
 
@@ -92,6 +93,30 @@ class Weights:
         return sorted(set(self.idf) - common)
 
 
+def _may_reach(words: Column, w: Weights, least: float) -> Column:
+    """Whether a line's best cosine can reach ``least``. Its dot products and
+    the length of its known terms are exact; n unknown words of d kinds add at
+    least n * n / d of their squared weight to the length."""
+    literal = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    idf = literal(w.idf)
+    shares = [literal({t: x / n for t, x in v.items()}) for v, n in zip(w.vectors, w.lengths)]
+    zero = F.lit(0.0)
+
+    def reaches(known: Column, terms: Column) -> Column:
+        square = F.aggregate(terms, zero, lambda acc, x: acc + x["w"] * x["w"])
+        n, d = F.size(words) - F.size(known), F.size(F.array_distinct(words)) - F.size(terms)
+        rest = F.when(d > 0, F.lit(w.unknown**2) * n.cast("double") * n / d).otherwise(zero)
+        dots = [F.aggregate(terms, zero, lambda acc, x: acc + x["w"] * F.coalesce(m[x["t"]], zero)) for m in shares]
+        return F.greatest(*dots) >= (least - 1e-6) * F.sqrt(square + rest)
+
+    def weighed(known: Column) -> Column:
+        count = lambda t: F.size(F.filter(known, lambda x: x == t))
+        terms = F.transform(F.array_distinct(known), lambda t: F.struct(t.alias("t"), (count(t) * idf[t]).alias("w")))
+        return let(terms, lambda ts: reaches(known, ts))
+
+    return let(F.filter(words, lambda x: x.isin(*w.idf)), weighed)
+
+
 def own_licences(files: DataFrame, templates=None, least: float = MIN_COSINE) -> DataFrame:
     """path, own_license, own_score for the files whose best line reaches ``least``."""
     spark = files.sparkSession
@@ -100,7 +125,7 @@ def own_licences(files: DataFrame, templates=None, least: float = MIN_COSINE) ->
     text = text_or_empty("text")
     near = files.where(F.col("path").isNotNull() & F.arrays_overlap(words_of(text), signature))
     lines = near.select("path", F.explode(F.split(text, "\n")).alias("line")).select("path", words_of(F.col("line")).alias("words"))
-    lines = lines.where(F.arrays_overlap("words", signature)).withColumn("line_id", F.monotonically_increasing_id())
+    lines = lines.where(F.arrays_overlap("words", signature)).where(_may_reach(F.col("words"), w, least)).withColumn("line_id", F.monotonically_increasing_id())
     lines = pin(lines, "license-lines")  # the line numbers are read twice: write them once
     idf = F.broadcast(spark.createDataFrame(list(w.idf.items()), "term string, idf double"))  # the terms of the templates
     terms = lines.select("line_id", F.explode("words").alias("term")).groupBy("line_id", "term").agg(F.count(F.lit(1)).alias("tf"))
