@@ -606,10 +606,15 @@ SELECT row_id, label, CAST(unnest(range(0, CASE WHEN label = minority_label THEN
   FROM imbalance, pl"""
     sq["f4_oversample"] = with_views(f"SELECT * FROM ({over})", "imbalance")
     sq["f5_seeded_shuffle"] = with_views(
-        f"SELECT row_id, copy_no, md5(concat_ws(':', '1', CAST(row_id AS VARCHAR), CAST(copy_no AS VARCHAR))) AS shuffle_key FROM ({over})",
+        f"""SELECT *, row_number() OVER (ORDER BY shuffle_key, row_id, copy_no) - 1 AS position FROM (
+  SELECT row_id, copy_no, md5(concat_ws(':', '1', CAST(row_id AS VARCHAR), CAST(copy_no AS VARCHAR))) AS shuffle_key FROM ({over}))""",
         "imbalance")
 
     # scalar functions
+    sq["h1_join_texts"] = with_views(f"""SELECT {KEYS}, CAST(idx // 10000 AS BIGINT) AS part_no,
+       string_agg(text, ';' ORDER BY idx) AS joined
+  FROM ({positions(mx)}) GROUP BY {KEYS}, part_no""", "mx")
+    sq["h2_n_chars"] = with_views("SELECT conv_id, line_num, CAST(length(line_text) AS INTEGER) AS n_chars FROM mx", "mx")
     sq["h3_emoji_count"] = f"SELECT conv_id, turn, CAST(len(regexp_extract_all(text, {_lit(EMOJI_PATTERN)})) AS INTEGER) AS n_emoji FROM conversations"
     sq["h4_softmax"] = with_views(f"SELECT row_id, {r6(SOFTMAX0)} AS p0, {r6(SOFTMAX1)} AS p1 FROM scored", "scored")
     sq["h5_sigmoid"] = with_views("SELECT row_id, " + ", ".join(f"{r6(SIG.format(x=x))} AS p{i}" for i, x in enumerate(L3)) + " FROM scored", "scored")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialogset.operators.metrics import AVERAGES, class_counts, f1_averages, mean_interval, multilabel_counts
+from dialogset.operators.metrics import AVERAGES, class_counts, f1_averages, multilabel_counts, repeat_interval
 from dialogset.operators.scan import ordered_scan
 from dialogset.session import ship_package
 
@@ -176,4 +176,4 @@ def subsample_interval(
         per = subsample_f1_cells(df, true, pred, repeats, fraction, seed, multilabel, pooled, size)
     else:
         raise ValueError(mode)
-    return mean_interval(per, "f1", ["average"])
+    return repeat_interval(per, "f1", ["average"])

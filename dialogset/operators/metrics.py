@@ -124,14 +124,16 @@ def encoded_f1(df: DataFrame, code: str = "code") -> DataFrame:
 
 # ---------------------------------------------------------------- matrices
 
-def confusion_matrix(df: DataFrame, true: str = "true", pred: str = "pred") -> DataFrame:
+def confusion_matrix(df: DataFrame, true: str = "true", pred: str = "pred", max_classes: int = 10_000) -> DataFrame:
     """``true, pred, count`` for every pair of labels seen (zeros
-    included), rows = truth. The label set has one entry per class, so the
-    grid is bounded by classes squared."""
-    labels = df.select(F.col(true).alias("l")).union(df.select(F.col(pred).alias("l"))).agg(
-        F.array_sort(F.collect_set("l")).alias("ls")
-    )
-    grid = labels.select(F.explode("ls").alias(true), "ls").select(true, F.explode("ls").alias(pred))
+    included), rows = truth. The grid holds classes squared rows; more than
+    ``max_classes`` labels are an error (they are no classes then), found
+    before any list of them is built."""
+    labels = df.select(F.col(true).alias("l")).union(df.select(F.col(pred).alias("l"))).distinct().limit(max_classes + 1)
+    listed = labels.agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    too_many = F.raise_error(F.lit(f"more than {max_classes} classes in a confusion matrix"))
+    checked = listed.select(F.when(F.size("ls") <= max_classes, F.col("ls")).otherwise(too_many).alias("ls"))
+    grid = checked.select(F.explode("ls").alias(true), "ls").select(true, F.explode("ls").alias(pred))
     counts = df.groupBy(true, pred).agg(F.count(F.lit(1)).alias("count"))
     return grid.join(counts, [true, pred], "left").select(true, pred, F.coalesce("count", F.lit(0)).alias("count"))
 
@@ -187,14 +189,45 @@ def roc_auc_hard_multilabel(df: DataFrame, true: str = "true", pred: str = "pred
 
 # ---------------------------------------------------------------- summaries
 
-def mean_interval(df: DataFrame, value: str = "f1", group: Sequence[str] = ()) -> DataFrame:
-    """Mean and the 2.5 % / 97.5 % quantiles with linear interpolation."""
+def repeat_interval(df: DataFrame, value: str = "f1", group: Sequence[str] = ()) -> DataFrame:
+    """A16 over the scores of repeats (as many rows a group as the caller asks
+    repeats for): mean and the 2.5 % / 97.5 % quantiles with linear
+    interpolation. For groups of any size use ``mean_interval``."""
     q = F.percentile(F.col(value), F.array(F.lit(0.025), F.lit(0.975)))
     return df.groupBy(*group).agg(F.avg(value).alias("mean"), q.alias("_q")).select(
         *group, F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper"), "mean"
     )
 
 
+def mean_interval(df: DataFrame, value: str = "f1", group: Sequence[str] = ()) -> DataFrame:
+    """Mean and the 2.5 % / 97.5 % quantiles with linear interpolation.
+
+    Rows collapse to distinct values with their counts; an ordered scan gives
+    every value the positions it fills, and the two values around a quantile's
+    position are added up by weight. No group is held by one task. NULL values
+    are left out (a group of nothing else gets NULLs)."""
+    group = list(group)
+    counted = df.groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count(value).alias("_w"))
+    s = ordered_scan(counted, group, [("_v", True)], sums=["_w"], seq_col="_i", size_col="_k")
+
+    def holds(position: Column) -> Column:
+        return (F.col("_w_before") <= position) & (position < F.col("_w_before") + F.col("_w"))
+
+    def quantile(q: float) -> Column:
+        at = (F.col("_w_total") - 1) * F.lit(q)
+        low = F.floor(at)
+        part = at - low
+        return F.sum(
+            F.when(holds(low), F.col("_v") * (1 - part)).otherwise(F.lit(0.0))
+            + F.when(holds(low + 1) & (part > 0), F.col("_v") * part).otherwise(F.lit(0.0))
+        )
+
+    n = F.sum("_w")
+    out = [F.when(n > 0, x).alias(name) for name, x in (("lower", quantile(0.025)), ("upper", quantile(0.975)))]
+    mean = F.try_divide(F.sum(F.when(F.col("_w") > 0, F.col("_v") * F.col("_w"))), n).alias("mean")
+    return s.groupBy(*group).agg(*out, mean)
+
+
 # ---------------------------------------------------------------- BLEU
 
 def _ngrams(tok: Column, n: int) -> Column:
@@ -209,26 +242,25 @@ def corpus_bleu(df: DataFrame, reference: str = "reference", hypothesis: str = "
     precisions (n = 1..max_n) times the brevity penalty."""
     split = lambda c: F.filter(F.split(F.trim(F.col(c)), "\\s+"), lambda x: x != "")
     toks = df.select(row_id, split(reference).alias("rt"), split(hypothesis).alias("ht"))
-    grams = toks.select(
-        row_id,
-        F.explode(
-            F.array(*[F.struct(F.lit(n).alias("n"), _ngrams(F.col("rt"), n).alias("r"), _ngrams(F.col("ht"), n).alias("h"))
-                      for n in range(1, max_n + 1)])
-        ).alias("g"),
-    ).select(row_id, "g.n", "g.r", "g.h")
-    hyp = grams.select(row_id, "n", F.explode("h").alias("gram")).groupBy(row_id, "n", "gram").agg(F.count(F.lit(1)).alias("hc"))
-    ref = grams.select(row_id, "n", F.explode("r").alias("gram")).groupBy(row_id, "n", "gram").agg(F.count(F.lit(1)).alias("rc"))
-    clipped = hyp.join(ref, [row_id, "n", "gram"], "left").groupBy("n").agg(
-        F.sum(F.least("hc", F.coalesce("rc", F.lit(0)))).alias("match"), F.sum("hc").alias("total")
+
+    def tagged(c: str, n: int, h: int) -> Column:
+        return F.transform(_ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(h).alias("h"), g.alias("gram")))
+
+    both = [tagged(c, n, h) for n in range(1, max_n + 1) for c, h in (("rt", 0), ("ht", 1))]
+    grams = toks.select(row_id, F.inline(F.concat(*both)))
+    per_gram = grams.groupBy(row_id, "n", "gram").agg(F.sum("h").alias("hc"), F.sum(1 - F.col("h")).alias("rc"))
+    clipped = per_gram.groupBy("n").agg(
+        F.sum(F.least("hc", "rc")).alias("match"), F.sum("hc").alias("total"), F.sum("rc").alias("r_total")
     )
-    lengths = toks.agg(F.sum(F.size("rt")).alias("r_len"), F.sum(F.size("ht")).alias("h_len"))
-    prec = clipped.agg(
+    single = F.col("n") == 1  # single words: the lengths of both sides
+    stats = clipped.agg(
         F.count(F.when(F.col("match") > 0, 1)).alias("n_pos"),
         F.sum(F.log(F.when(F.col("match") > 0, F.col("match") / F.col("total")))).alias("log_p"),
+        F.sum(F.when(single, F.col("r_total"))).alias("r_len"),
+        F.sum(F.when(single, F.col("total"))).alias("h_len"),
     )
     bp = F.when(F.col("h_len") >= F.col("r_len"), 1.0).otherwise(F.exp(1.0 - F.col("r_len") / F.col("h_len")))
-    both = prec.withColumn("r_len", lengths.select("r_len").scalar()).withColumn("h_len", lengths.select("h_len").scalar())
-    return both.select(
+    return stats.select(
         F.when((F.col("n_pos") < max_n) | (F.col("h_len") == 0), F.lit(0.0))
         .otherwise(bp * F.exp(F.col("log_p") / max_n))
         .alias("bleu")

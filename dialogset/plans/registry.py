@@ -35,7 +35,7 @@ from dialogset.operators.splits import (
     oversample,
     prefix_limit,
     row_numbers,
-    shuffle_key,
+    seeded_shuffle,
 )
 from dialogset.operators.windows import context_bounds, one_sided_examples, two_sided_examples, utterance_positions
 from dialogset.plans import reports as R
@@ -483,7 +483,9 @@ def f4_oversample(spark, sf):
 
 def f5_seeded_shuffle(spark, sf):
     o = oversample(FX.imbalance_fx(spark, sf))
-    return o.select("row_id", "copy_no", shuffle_key(1, "row_id", "copy_no").alias("shuffle_key"))
+    order = [("shuffle_key", True), ("row_id", True), ("copy_no", True)]
+    placed = row_numbers(seeded_shuffle(o, 1).select("shuffle_key", "row_id", "copy_no"), order, out="position")
+    return placed.select("row_id", "copy_no", "shuffle_key", "position")
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -492,6 +494,15 @@ def _raw(spark, sf):
     return FX.messenger_fx(spark, sf)
 
 
+def h1_join_texts(spark, sf):
+    a = conversations(messages(spark, sf))
+    return a.select(*KEYS, "part_no", T.join_texts("texts", SEP).alias("joined"))
+
+
+def h2_n_chars(spark, sf):
+    return _raw(spark, sf).select("conv_id", "line_num", T.n_chars("line_text").alias("n_chars"))
+
+
 def h3_emoji_count(spark, sf):
     c = FX.table(spark, sf, "conversations")
     return c.select("conv_id", "turn", emoji_count("text").alias("n_emoji"))

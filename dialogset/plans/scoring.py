@@ -1,12 +1,14 @@
 """K1: batch scoring with an opaque model.
 
-``scorer_factory`` builds the model once per Python worker; the model maps a
+``scorer_factory`` builds the model once per Python worker (workers are reused
+by later tasks; ``cached_model`` holds it); the model maps a
 list of texts to a (rows x outputs) array of logits. Rows arrive in Arrow
 batches and are passed to the model ``batch_size`` at a time (the reference
-scores 1 or 32 rows at a time)."""
+scores 1 or 32 rows at a time). A null text is scored as the empty text."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,7 +17,17 @@ from pyspark.sql import DataFrame
 
 from dialogset.session import ship_package
 
-_MODELS: dict[int, Callable] = {}
+_MODELS: dict[str, Callable] = {}
+
+
+def cached_model(name: str, factory: Callable[[], Callable]) -> Callable:
+    """The worker's model ``name``, built on first use; it takes the place of
+    the worker's previous one. Tasks reach this function by import, so all
+    tasks of a worker share one ``_MODELS``."""
+    if name not in _MODELS:
+        _MODELS.clear()
+        _MODELS[name] = factory()
+    return _MODELS[name]
 
 
 def score_texts(
@@ -25,18 +37,19 @@ def score_texts(
     keep: list[str] | None = None,
     out_col: str = "logits",
     batch_size: int = 32,
+    model_name: str | None = None,
 ) -> DataFrame:
-    """Add ``out_col`` (``array<double>``) with the model's output per row."""
+    """Add ``out_col`` (``array<double>``) with the model's output per row. Calls
+    that give the same ``model_name`` share a worker's model; without a name a
+    model serves its own call only."""
     ship_package(df.sparkSession)
     keep = keep if keep is not None else [c for c in df.columns]
     fields = [f for f in df.schema.fields if f.name in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out_col}` array<double>"
-    key = id(scorer_factory)
+    key = model_name or uuid.uuid4().hex
 
     def run(batches):
-        model = _MODELS.get(key)
-        if model is None:
-            model = _MODELS[key] = scorer_factory()
+        model = cached_model(key, scorer_factory)
         for b in batches:
             texts = b[text_col].fillna("").tolist()
             parts = [np.asarray(model(texts[i:i + batch_size]), dtype=float) for i in range(0, len(texts), batch_size)]
