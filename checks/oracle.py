@@ -185,8 +185,8 @@ def noise(text: str, pattern: str) -> str:
             f"> length({text}) * CAST({NOISE_RATIO} AS DOUBLE))")
 
 
-def tagged(src_view: str) -> str:
-    return f"SELECT *, {SPLIT} AS split FROM ({msgs(src_view)}) WHERE {SPLIT} IS NOT NULL"
+def tagged(src_view: str, text: str = "line_text") -> str:
+    return f"SELECT *, {SPLIT} AS split FROM ({msgs(src_view, text)}) WHERE {SPLIT} IS NOT NULL"
 
 
 def dedup_first(ex_sql: str, pattern: str) -> str:
@@ -211,8 +211,8 @@ def cut(kept_sql: str) -> str:
   FROM ({kept_sql})"""
 
 
-def dataset(src_view: str, ctx: int, two: bool, pattern: str) -> str:
-    src = f"({tagged(src_view)})"
+def dataset(src_view: str, ctx: int, two: bool, pattern: str, text: str = "line_text") -> str:
+    src = f"({tagged(src_view, text)})"
     if two:
         return cut(dedup_last_context(two_sided(src, ctx, ", t.split"), pattern))
     return cut(dedup_first(one_sided(src, ctx, True, ", t.split"), pattern))
@@ -505,6 +505,12 @@ def statements() -> dict[str, str]:
     sq["s7_write_splits"] = with_views(
         f"SELECT '1' AS split_id, 'ctx256' AS tag, part, count(*) AS n, CAST(sum(coarse) AS BIGINT) AS n_positive "
         f"FROM ({ds1}) GROUP BY part", "mx")
+    sq["s6_legacy_import"] = _sel("thread_id, conv_id, text, coarse, multi, seq_coarse, seq_multi", one, "mx")
+    sq["a19_granularity_counts"] = _sel(", ".join(
+        f"CAST(count(*) AS BIGINT) AS n_{g}" for g in ("coarse", "multi", "seq_coarse", "seq_multi")), one, "mx")
+    sq["s8_run_configs"] = with_views(f"""SELECT CAST(row_id AS VARCHAR) AS run_id, concat('fx', true_class) AS tag,
+       concat('0,', true_class) AS target_names, CAST(true_class + 1 AS INTEGER) AS epochs,
+       {r6("logit0 / 8")} AS learning_rate, CAST(NULL AS VARCHAR) AS model_name FROM scored""", "scored")
     sq["s9_metrics_sink"] = _report(_k4_rows(), "scored", prefix_cols="'run-1' AS run_id, '1' AS split_id, 'fx' AS tag, ")
 
     # filters
@@ -681,5 +687,8 @@ SELECT row_id, label, CAST(unnest(range(0, CASE WHEN label = minority_label THEN
     sq["k6_generated_fine"] = _report(_k6_rows(_fine_ids()), "generated")
     utt_pairs = f"SELECT concat_ws(':', CAST(row_id AS VARCHAR), CAST(pos AS VARCHAR)) AS row_id, true_id, pred_id FROM ({_utt_ids()})"
     sq["k6_generated_per_utterance"] = _report(_k6_rows(utt_pairs, k="SELECT count(*) // 10 FROM generated"), "generated")
-    sq["k7_cross_lingual"] = _report(_k6_rows(K6_COARSE), "generated", prefix_cols="'ctx256_two' AS train_tag, 'ctx256_two_en' AS test_tag, ")
+    k7 = f"""SELECT row_number() OVER (ORDER BY text, context, coarse <> 0) - 1 AS row_id,
+       CASE WHEN coarse <> 0 THEN 1 ELSE 0 END AS true_id, CASE WHEN length(text) % 4 = 0 THEN 1 ELSE 0 END AS pred_id
+  FROM ({dataset("mx", CTX, True, EMOJI_PATTERN, "line_text_en")}) WHERE part = 'test'"""
+    sq["k7_cross_lingual"] = _report(_k6_rows(k7), "mx", prefix_cols="'ctx256_two' AS train_tag, 'ctx256_two_en' AS test_tag, ")
     return sq

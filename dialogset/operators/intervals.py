@@ -5,14 +5,17 @@ replacement, score F1 by three averages, and report mean and 2.5 / 97.5 %
 quantiles per average.
 
 * ``rows`` mode is deterministic: repeat ``r`` takes the ``k`` rows with the
-  smallest ``md5(seed:r:row_id)`` (the same ranking runs in DuckDB). The
-  ranking is a distributed ordered scan per repeat, so no repeat is held by
-  one task. Cost: ``R x n`` narrow rows.
+  smallest ``md5(seed:r:row_id)`` (the same ranking runs in DuckDB). A count
+  per (repeat, first two hex digits), combined on the map side, names the one
+  bucket that holds rank ``k``: rows of lower buckets are taken as they are,
+  and only that bucket (about 1/256 of the rows) is ranked, by an ordered
+  scan. Cost: ``R x n`` hashes on the map side, ``R x n / 256`` rows shuffled.
 * ``cells`` mode is for large ``n``: F1 depends only on how many sampled rows
   fall in each distinct (truth, prediction) cell. The rows are aggregated once
   to cells (bounded by classes squared, checked), and every repeat draws a
   multivariate hypergeometric sample of the cell counts in a Python task: the
-  same distribution as drawing rows, at a cost independent of ``n``.
+  same distribution as drawing rows, at a cost independent of ``n`` and for
+  any total that fits 64 bits.
 
 The mode is chosen by the caller (the reports default to ``rows``) and never
 by the size of the input, so reported numbers do not change method with it.
@@ -25,12 +28,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialogset.operators.metrics import AVERAGES, class_counts, f1_averages, multilabel_counts, repeat_interval
 from dialogset.operators.scan import ordered_scan
-from dialogset.session import ship_package
+from dialogset.session import pin, ship_package
 
 MAX_CELLS = 1_000_000
 
@@ -69,13 +72,29 @@ def subsample_f1_rows(
     pooled: bool = False,
     size: int | Column | None = None,
 ) -> DataFrame:
-    """Per-repeat F1 (``repeat, average, f1``), rows mode."""
+    """Per-repeat F1 (``repeat, average, f1``), rows mode. A ``size`` above
+    the number of rows takes all of them."""
     k = sample_size(df, fraction, size)
-    reps = df.select(
-        row_id, true, pred, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
-    ).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("repeat").cast("string"), F.col(row_id).cast("string"))))
-    ranked = ordered_scan(reps, ["repeat"], [("_h", True), (row_id, True)], seq_col="_pos", size_col="_n")
-    picked = ranked.where(F.col("_pos") < k)
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("repeat").cast("string"), F.col(row_id).cast("string")))
+    reps = (
+        df.select(row_id, true, pred, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+        .withColumn("_h", hashed)
+        .withColumn("_b", F.substring("_h", 1, 2))
+    )
+    upto = F.sum("_n").over(Window.partitionBy("repeat").orderBy("_b"))
+    reached = (
+        reps.groupBy("repeat", "_b").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", upto - F.col("_n"))
+        .where((F.col("_before") < k) & (F.col("_before") + F.col("_n") >= k))
+        .select("repeat", F.col("_b").alias("_edge"), (k - F.col("_before")).alias("_take"))
+    )
+    # at most one row per repeat
+    split = reps.join(F.broadcast(reached), "repeat", "left")
+    below = split.where(F.col("_edge").isNull() | (F.col("_b") < F.col("_edge")))
+    edge = pin(split.where(F.col("_b") == F.col("_edge")).select("repeat", "_h", row_id, true, pred, "_take"), "interval-edge")
+    ranked = ordered_scan(edge, ["repeat"], [("_h", True), (row_id, True)], seq_col="_pos", size_col="_n")
+    cols = ["repeat", true, pred]
+    picked = below.select(*cols).unionByName(ranked.where(F.col("_pos") < F.col("_take")).select(*cols))
     counts = (multilabel_counts(picked, true, pred, ["repeat"]).drop("tn") if multilabel
               else class_counts(picked, true, pred, ["repeat"]))
     return _pool(f1_averages(counts, ["repeat"]), pooled)
@@ -110,6 +129,21 @@ def _f1_from_cells(t: np.ndarray, p: np.ndarray, w: np.ndarray, multilabel: bool
     }
 
 
+def draw_cells(w: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of ``k`` rows drawn without replacement fall in each cell of
+    ``w`` rows. Every row is taken with probability ``k / n``; then the rows
+    missing are drawn from those left, or the surplus from those taken. Given
+    its size, each step is a uniform subset, so the result is one of size
+    ``k``; the gap shrinks to about its square root per step."""
+    if k == 0:
+        return np.zeros_like(w)
+    taken = rng.binomial(w, min(1.0, k / int(w.sum())))
+    gap = k - int(taken.sum())
+    if gap > 0:
+        return taken + draw_cells(w - taken, gap, rng)
+    return taken - draw_cells(taken, -gap, rng)
+
+
 def subsample_f1_cells(
     df: DataFrame,
     true: str = "true",
@@ -119,7 +153,7 @@ def subsample_f1_cells(
     seed: int = 0,
     multilabel: bool = False,
     pooled: bool = False,
-    size: int | None = None,
+    size: int | Column | None = None,
 ) -> DataFrame:
     """Per-repeat F1, cells mode (random, reproducible for a seed)."""
     spark = df.sparkSession
@@ -129,7 +163,9 @@ def subsample_f1_cells(
     if len(cells) > MAX_CELLS:
         raise ValueError("too many distinct (truth, prediction) cells for cells mode; use rows mode")
     n = int(cells["w"].sum())
-    k = int(size) if size is not None else int(np.floor(n * fraction))
+    if isinstance(size, Column):
+        size = spark.range(1).select(size).first()[0]
+    k = min(n, int(size)) if size is not None else int(np.floor(n * fraction))
     if k <= 0:
         raise ValueError("subsample of 0 rows: fewer than 1/fraction rows")
     if multilabel:
@@ -146,7 +182,7 @@ def subsample_f1_cells(
             rows = []
             for r in b["id"].tolist():
                 rng = np.random.default_rng([seed_, int(r)])
-                sample = rng.multivariate_hypergeometric(w_, k_)
+                sample = draw_cells(w_, k_, rng)
                 for avg, v in _f1_from_cells(t_, p_, sample.astype(float), ml).items():
                     rows.append((int(r), avg, v))
             yield pd.DataFrame(rows, columns=["repeat", "average", "f1"])
@@ -166,7 +202,7 @@ def subsample_interval(
     seed: int = 0,
     multilabel: bool = False,
     pooled: bool = False,
-    size: int | None = None,
+    size: int | Column | None = None,
 ) -> DataFrame:
     """``average, lower, upper, mean`` per F1 average. ``mode`` is the
     caller's choice and never depends on the input's size."""

@@ -1,9 +1,11 @@
-"""The dataset generation job as one lazy plan.
+"""The dataset generation job.
 
 ``messages -> annotated filter (P1) -> donor split (P2/W8) -> positions ->
 windows (W1-W4) -> labels -> noise filter + dedup (P5, W5/W6) -> dev/test
-cut (W7)``. Shuffles: the position scan, the window assembly, the dedup, the
-cut. Nothing is collected."""
+cut (W7)``. Shuffles: the position scan, the join of texts to their ranges,
+the window assembly, the dedup, the cut. Building the plan runs jobs: the
+scans count their groups (the bounded list of hot ones is collected) and pin
+intermediate tables as Parquet. ``generate_splits`` deletes these at its end."""
 
 from __future__ import annotations
 
@@ -16,6 +18,7 @@ from dialogset.operators.quality import EMOJI_PATTERN, first_occurrence_dedup, l
 from dialogset.operators.splits import dev_test_cut
 from dialogset.operators.windows import one_sided_examples, two_sided_examples, utterance_positions
 from dialogset.schema import CONV_KEYS
+from dialogset.session import run_folder, scratch_path
 from dialogset.sources.messages import quarantine_null_text
 
 
@@ -66,9 +69,16 @@ def build_dataset(msgs: DataFrame, cfg: DatasetConfig) -> tuple[DataFrame, DataF
 def generate_splits(msgs: DataFrame, cfg: DatasetConfig, root: str, split_id: str, tag: str) -> DataFrame:
     """W10 + S7 in one call: build the dataset and write it under ``root``
     partitioned by ``split_id / tag / part``. Returns the rejection counts of
-    the one-sided build (None for two-sided)."""
+    the one-sided build (None for two-sided), written to a table of their own;
+    everything else pinned on the way is deleted."""
     from dialogset.sources.splitfiles import write_splits
 
-    dataset, rejections = build_dataset(msgs, cfg)
-    write_splits(dataset, root, split_id, tag)
-    return rejections
+    spark = msgs.sparkSession
+    rejected = scratch_path(spark, "rejections")
+    with run_folder(spark):
+        dataset, rejections = build_dataset(msgs, cfg)
+        write_splits(dataset, root, split_id, tag)
+        if rejections is None:
+            return None
+        rejections.write.parquet(rejected)
+    return spark.read.parquet(rejected)

@@ -43,9 +43,18 @@ from dialogset.plans.dataset import DatasetConfig, build_dataset
 from dialogset.plans.scoring import char_stats_scorer, score_texts
 from dialogset.session import scratch_path
 from dialogset.sources import fixtures as FX
+from dialogset.sources.configs import read_run_configs
 from dialogset.sources.messages import annotated_filter, load_messages
 from dialogset.sources.metricstore import read_metrics, to_metrics, write_metrics
-from dialogset.sources.splitfiles import read_split_labels, read_splits, read_two_sided, write_splits
+from dialogset.sources.splitfiles import (
+    legacy_counts,
+    read_legacy_json,
+    read_split_labels,
+    read_splits,
+    read_two_sided,
+    write_legacy_json,
+    write_splits,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -149,6 +158,39 @@ def s5_read_two_sided(spark, sf):
     return read_two_sided(spark, root, "1", tag, "dev", "seq_multi_per_utterance")
 
 
+def _legacy_documents(spark, sf) -> str:
+    root = scratch_path(spark, "legacy")
+    write_legacy_json(one_sided(spark, sf), root, KEYS)
+    return root
+
+
+def s6_legacy_import(spark, sf):
+    back = read_legacy_json(spark, _legacy_documents(spark, sf), lines=True)
+    return back.select("thread_id", "conv_id", "text", "coarse", ints("multi").alias("multi"),
+                       ints("seq_coarse").alias("seq_coarse"), nested("seq_multi").alias("seq_multi"))
+
+
+def a19_granularity_counts(spark, sf):
+    counts = legacy_counts(spark, _legacy_documents(spark, sf), lines=True)
+    return counts.agg(*[F.sum(f"n_{g}").alias(f"n_{g}") for g in ("coarse", "multi", "seq_coarse", "seq_multi")])
+
+
+def s8_run_configs(spark, sf):
+    s = FX.scored_fx(spark, sf)
+    cfg = s.select(
+        F.col("row_id").cast("string").alias("run_id"),
+        F.concat(F.lit("fx"), F.col("true_class").cast("string")).alias("tag"),
+        F.array(F.lit("0"), F.col("true_class").cast("string")).alias("target_names"),
+        (F.col("true_class") + 1).alias("epochs"),
+        (F.col("logit0") / 8).alias("learning_rate"),
+    )
+    root = scratch_path(spark, "configs")
+    cfg.select(F.to_json(F.struct("*")).alias("value")).write.text(root)
+    back = read_run_configs(spark, root, lines=True)
+    return back.select("run_id", "tag", F.array_join("target_names", ",").alias("target_names"), "epochs",
+                       r6("learning_rate").alias("learning_rate"), "model_name")
+
+
 def s7_write_splits(spark, sf):
     root, tag = _written_dataset(spark, sf)
     back = read_splits(spark, root)
@@ -748,10 +790,18 @@ def k6_generated_per_utterance(spark, sf):
     return _report(R.generated_report(g, "per_utterance", "true_seq", "pred_seq", repeats=REPEATS))
 
 
+def _stand_in_strings(df: DataFrame) -> DataFrame:
+    """Generated strings of a stand-in model: a rule on the text's length."""
+    m = F.length("text") % 4
+    return df.withColumn("generated", F.when(m == 0, " positive").when(m == 1, "other").otherwise("negative"))
+
+
 def k7_cross_lingual(spark, sf):
-    g = FX.generated_fx(spark, sf)
-    rep = R.cross_lingual_report(g, "coarse", "ctx256_two", "ctx256_two_en", true="true_coarse", pred="pred_coarse",
-                                 repeats=REPEATS)
+    ds, _ = build_dataset(messages(spark, sf, text_col="line_text_en"), dataset_cfg(two_sided=True))
+    root = scratch_path(spark, "splits")
+    write_splits(ds, root, "1", "ctx256_two_en")
+    test = read_two_sided(spark, root, "1", "ctx256_two_en", "test", "seq_coarse")
+    rep = R.cross_lingual_report(test, _stand_in_strings, "coarse", "ctx256_two", "ctx256_two_en", repeats=REPEATS)
     return rep.select("train_tag", "test_tag", "metric", "label", r6("value").alias("value"))
 
 

@@ -5,6 +5,8 @@ Each report is one lazy plan over a predictions frame; write it with
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from dialogset.functions import text as T
 from dialogset.operators import metrics as M
 from dialogset.operators.align import align_sequences, generated_label_ids, utterance_pieces
 from dialogset.operators.intervals import subsample_interval
+from dialogset.operators.splits import row_numbers
+from dialogset.session import pin
 
 
 def _rows(df: DataFrame, metric: str, value: str, label=None) -> DataFrame:
@@ -102,9 +106,7 @@ def generated_report(df: DataFrame, granularity: str, true: str = "true", pred:
     size = None
     if granularity == "per_utterance":
         size = df.select(F.floor(F.count(F.lit(1)) / 10)).scalar()
-        if ci_mode == "cells":
-            raise ValueError("per-utterance intervals use rows mode (the sample size counts examples)")
-        ci_mode = "rows"
+        pairs = pin(pairs, "utterance-pairs")  # aligned once, read by the scores and every pass of the interval
     f1 = M.f1_multiclass(pairs, "true_id", "pred_id").select(
         F.lit("f1").alias("metric"), F.col("average").alias("label"), F.col("f1").alias("value"))
     ci = subsample_interval(pairs, "true_id", "pred_id", row_id, mode=ci_mode, repeats=repeats, seed=seed,
@@ -112,8 +114,13 @@ def generated_report(df: DataFrame, granularity: str, true: str = "true", pred:
     return f1.unionByName(_interval_rows(ci))
 
 
-def cross_lingual_report(df: DataFrame, granularity: str, train_tag: str, test_tag: str, **kw) -> DataFrame:
-    """K7: the K6 report for a model trained on ``train_tag`` scored on the
-    test data of ``test_tag``; rows keyed by both tags."""
-    rep = generated_report(df, granularity, **kw)
+def cross_lingual_report(test: DataFrame, generate: Callable[[DataFrame], DataFrame], granularity: str,
+                         train_tag: str, test_tag: str, **kw) -> DataFrame:
+    """K7: a model trained on ``train_tag`` scored on the test part of another
+    language's split. ``test`` is that part as ``read_two_sided`` gives it
+    (``text, context, label``); ``generate`` adds the model's strings as
+    ``generated``. Rows are numbered by their content, scored, and reported as
+    in K6, keyed by both tags."""
+    rows = row_numbers(test, [("text", True), ("context", True), ("label", True)])
+    rep = generated_report(generate(rows), granularity, "label", "generated", "row_id", **kw)
     return rep.select(F.lit(train_tag).alias("train_tag"), F.lit(test_tag).alias("test_tag"), "*")

@@ -4,6 +4,9 @@ checkpoint folder used to pin intermediate results."""
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,12 +57,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_RUN_FOLDER: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder inside the checkpoint area for written intermediate tables."""
+    """A fresh folder for a written intermediate table: below the current
+    ``run_folder``, else inside the checkpoint area."""
     import uuid
 
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    base = _RUN_FOLDER.get() or f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables"
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """One folder for everything pinned inside the block, deleted when the
+    block ends (also on an error). Write the results to their own place inside
+    the block: lazy frames that read pinned tables cannot be read after it."""
+    path = scratch_path(spark, "run")
+    token = _RUN_FOLDER.set(path)
+    try:
+        yield path
+    finally:
+        _RUN_FOLDER.reset(token)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def pin(df: DataFrame, name: str = "pin") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Run configs as a typed dimension table (one row per JSON file)."""
+"""Run configs as a typed dimension table (one row per JSON document)."""
 
 from __future__ import annotations
 
@@ -7,5 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from dialogset.schema import RUN_CONFIG
 
 
-def read_run_configs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUN_CONFIG).option("multiLine", True).json(path)
+def read_run_configs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One config per file, or one per line with ``lines``."""
+    return spark.read.schema(RUN_CONFIG).option("multiLine", not lines).json(path)

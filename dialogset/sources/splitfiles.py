@@ -73,14 +73,36 @@ def read_two_sided(spark: SparkSession, root: str, split_id: str, tag: str, part
     )
 
 
-def read_legacy_json(spark: SparkSession, path: str, two_sided: bool = False) -> DataFrame:
+def write_legacy_json(examples: DataFrame, path: str, keys: list[str], rows_per_document: int = 1000) -> None:
+    """Export one-sided examples in the layout ``read_legacy_json`` reads, as
+    JSON lines: each document holds the examples of one group of ``keys`` and
+    one run of ``rows_per_document`` targets, so no document grows without
+    bound."""
+    def text(c):  # a JSON string, taken out of a one-element JSON array
+        return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+
+    ids = [F.col("thread_id").cast("string"), F.col("conv_id").cast("string")]
+    labels = {g: F.col(g).cast("string") if g == "coarse" else F.to_json(g) for g in GRANULARITIES}
+    tuples = {g: F.concat(F.lit("["), F.concat_ws(",", text(F.col("text")), v, *ids), F.lit("]")) for g, v in labels.items()}
+    one = F.struct("target_idx", *[t.alias(g) for g, t in tuples.items()])
+    docs = examples.groupBy(*keys, F.floor(F.col("target_idx") / rows_per_document).alias("_run")).agg(
+        F.array_sort(F.collect_list(one)).alias("_rows"))
+    lists = [F.concat(F.lit(f'"{g}":['), F.array_join(F.col(f"_rows.{g}"), ","), F.lit("]")) for g in GRANULARITIES]
+    docs.select(F.concat(F.lit("{"), F.concat_ws(",", *lists), F.lit("}")).alias("value")).write.text(path)
+
+
+def _read_documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    return spark.read.option("multiLine", not lines).json(path).withColumn("file", F.input_file_name())
+
+
+def read_legacy_json(spark: SparkSession, path: str, two_sided: bool = False, lines: bool = False) -> DataFrame:
     """Import split documents in the reference's JSON layout.
 
-    Each file is one JSON object whose four keys hold parallel tuple lists;
-    the tuples are read as ``array<string>`` and typed by position. One row
+    Each file (each line with ``lines``) is one JSON object whose four keys
+    hold parallel tuple lists; the tuples are read as ``array<string>`` and typed by position. One row
     per example with all four granularities; ``file`` keeps the source. Lists
     of unequal length are an error."""
-    raw = spark.read.option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+    raw = _read_documents(spark, path, lines)
     sizes = F.array(*[F.coalesce(F.size(g), F.lit(-1)) for g in GRANULARITIES])
     unequal = F.raise_error(F.concat(F.lit("lists of unequal length in "), F.col("file"), F.lit(": "), sizes.cast("string")))
     zipped = F.when(F.size(F.array_distinct(sizes)) == 1, F.arrays_zip(*GRANULARITIES)).otherwise(unequal)
@@ -96,11 +118,10 @@ def read_legacy_json(spark: SparkSession, path: str, two_sided: bool = False) ->
     return rows.select("file", "pos", *texts, *labels, *ids)
 
 
-def legacy_counts(spark: SparkSession, path: str) -> DataFrame:
-    """A19 on imported files: the number of examples under each key of a file,
-    counted before the lists are zipped."""
-    raw = spark.read.option("multiLine", True).json(path)
-    return raw.select(F.input_file_name().alias("file"), *[F.size(g).alias(f"n_{g}") for g in GRANULARITIES])
+def legacy_counts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A19 on imported files: the number of examples under each key of a
+    document, counted before the lists are zipped."""
+    return _read_documents(spark, path, lines).select("file", *[F.size(g).alias(f"n_{g}") for g in GRANULARITIES])
 
 
 def granularity_counts(df: DataFrame) -> DataFrame:
