@@ -611,6 +611,8 @@ pl AS (SELECT CASE WHEN pos < 1.0 - pos THEN 1 ELSE 0 END AS minority_label,
 SELECT row_id, label, CAST(unnest(range(0, CASE WHEN label = minority_label THEN extra ELSE 0 END + 1)) AS INTEGER) AS copy_no
   FROM imbalance, pl"""
     sq["f4_oversample"] = with_views(f"SELECT * FROM ({over})", "imbalance")
+    sq["k2_training_rows"] = with_views(f"""SELECT row_id, label, copy_no, {r6("CASE WHEN label = 0 THEN 1.0 - pos ELSE pos END")} AS weight
+  FROM ({over}), (SELECT CAST(sum(label) AS DOUBLE) / count(*) AS pos FROM ({over}))""", "imbalance")
     sq["f5_seeded_shuffle"] = with_views(
         f"""SELECT *, row_number() OVER (ORDER BY shuffle_key, row_id, copy_no) - 1 AS position FROM (
   SELECT row_id, copy_no, md5(concat_ws(':', '1', CAST(row_id AS VARCHAR), CAST(copy_no AS VARCHAR))) AS shuffle_key FROM ({over}))""",

@@ -749,6 +749,20 @@ def k2_binary_classifier(spark, sf):
     return p.select("row_id", "label", S.argmax("probs").alias("pred"))
 
 
+def k2_training_rows(spark, sf):
+    from dialogset.plans.models import class_weighted
+
+    return class_weighted(FX.imbalance_fx(spark, sf)).select("row_id", "label", "copy_no", r6("weight").alias("weight"))
+
+
+def k2_train_score_report(spark, sf):
+    from dialogset.plans.training import train_score_report
+
+    root, tag = _written_dataset(spark, sf)
+    rep = train_score_report(spark, root, "1", tag, scratch_path(spark, "metrics"), "run-1", repeats=REPEATS)
+    return rep.select("run_id", "split_id", "tag", "metric", "label", r6("value").alias("value"))
+
+
 def k3_multilabel_classifier(spark, sf):
     from dialogset.plans.models import predict_multilabel, train_multilabel
 
