@@ -44,7 +44,9 @@ MAX_BLOCKS = 20_000  # range-partition sample size grows with the block count
 
 def _block_count(spark, rows: int, per_block: int) -> int:
     """Enough blocks that each holds about ``per_block`` rows (at least the
-    shuffle partition count, at most ``MAX_BLOCKS``)."""
+    shuffle partition count, at most ``MAX_BLOCKS``). Beyond ``MAX_BLOCKS *
+    per_block`` rows the blocks grow and their sorts spill; results stay the
+    same, and the carry of a global scan stays small enough to broadcast."""
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return int(min(MAX_BLOCKS, max(base, -(-rows // max(per_block, 1)))))
 
