@@ -1,23 +1,28 @@
 """Operator 4: licence scans (DataFrame functions only).
 
-Every line of every file is compared with licence templates by the cosine of
-sparse TF-IDF vectors; inverse document frequencies are those of the template
-collection, and a term no template has weighs most (so prose around a licence
-sentence lowers the cosine). A file's own licence is its best line's template,
-if that reaches ``MIN_COSINE``. A file without one inherits the licence of the
+Three kinds of units are compared with licence templates by the cosine of
+sparse TF-IDF vectors: every line with short notices (``TEMPLATES``), every
+block of comment or text lines (``blocks_of``) with licence headers, and
+every licence file as a whole with whole licence texts. Inverse document
+frequencies are those of the unit's template collection, and a term no
+template has weighs most (so prose around a licence sentence lowers the
+cosine). A file's own licence is its best unit's template, if that reaches
+``MIN_COSINE``; a whole text goes before a block of several lines, and that before
+a line, as a line of a header may name another licence or none (``All rights
+reserved.``). A file without one inherits the licence of the
 nearest ancestor directory that holds a licence file (``LICENSE*``,
 ``LICENCE*``, ``COPYING*``) with a licence of its own.
 
 Pruning is exact (prefix filtering): the heaviest template terms are split off
 such that the remaining, frequent terms alone can never reach the threshold;
-a line without a split-off term is not a candidate, nor is one whose exact dot
-products over a lower bound of its length stay below. Only candidate lines
-are exploded into terms. Directories are reduced to distinct ones before their
+a unit without a split-off term is not a candidate, nor is a line or block
+whose exact dot products over a lower bound of its length stay below. Only
+candidates are exploded into terms. Directories are reduced to distinct ones before their
 ancestors are joined, so a directory with very many files is one row there;
 the joins back use a broadcast only below ``BROADCAST_ROWS`` counted rows.
 
 Edge cases: null text has no lines; a null path is a file of its own without
-directory; rows repeating a path are one file (their lines are pooled, each
+directory; rows repeating a path are one file (their units are pooled, each
 row is returned); equal cosines go to the licence first by code point; an
 empty table gives an empty result; other columns pass through (one named like
 an output is replaced).
@@ -34,6 +39,7 @@ from pyspark.sql import functions as F
 
 from dialogset.llm.common import broadcast_if, let, text_or_empty
 from dialogset.llm.decontaminate import words_of
+from dialogset.llm.licence_texts import HEADERS, full_texts
 from dialogset.session import pin
 
 # fixed values: short standard notices by licence
@@ -57,6 +63,10 @@ TEMPLATES = [
 ]
 MIN_COSINE = 0.75
 BROADCAST_ROWS = 200_000
+# what a licence is found in, the surest first
+WHOLE, BLOCK, LINE = 0, 1, 2
+COMMENT_LINE = r"^[\x20\x09]*(//|#|;|--|%|!|<!--|(?i:dnl|rem)\b|\.\\\")"
+COMMENT = r"(?s)/\*.*?\*/|<!--.*?-->|\"{3}.*?\"{3}|'{3}.*?'{3}"
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying)([.\-_].*)?$"
 
 
@@ -93,19 +103,28 @@ class Weights:
         return sorted(set(self.idf) - common)
 
 
-def _may_reach(words: Column, w: Weights, least: float) -> Column:
+def _texts(terms) -> Column:
+    """One literal for many terms (which hold no blanks)."""
+    return F.split(F.lit(" ".join(terms)), " ")
+
+
+def _may_reach(words: Column, w: Weights, least: float, by_template: bool = True) -> Column:
     """Whether a line's best cosine can reach ``least``. Its dot products and
     the length of its known terms are exact; n unknown words of d kinds add at
-    least n * n / d of their squared weight to the length."""
-    literal = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    least n * n / d of their squared weight to the length. For many long
+    templates the length of the known terms stands for the dot products, which
+    are not above it."""
+    literal = lambda d: F.map_from_arrays(_texts(d), _texts(map(repr, d.values())).cast("array<double>"))
     idf = literal(w.idf)
-    shares = [literal({t: x / n for t, x in v.items()}) for v, n in zip(w.vectors, w.lengths)]
+    shares = [literal({t: x / n for t, x in v.items()}) for v, n in zip(w.vectors, w.lengths)] if by_template else []
     zero = F.lit(0.0)
 
     def reaches(known: Column, terms: Column) -> Column:
         square = F.aggregate(terms, zero, lambda acc, x: acc + x["w"] * x["w"])
         n, d = F.size(words) - F.size(known), F.size(F.array_distinct(words)) - F.size(terms)
         rest = F.when(d > 0, F.lit(w.unknown**2) * n.cast("double") * n / d).otherwise(zero)
+        if not by_template:
+            return F.sqrt(square) >= (least - 1e-6) * F.sqrt(square + rest)
         dots = [F.aggregate(terms, zero, lambda acc, x: acc + x["w"] * F.coalesce(m[x["t"]], zero)) for m in shares]
         return F.greatest(*dots) >= (least - 1e-6) * F.sqrt(square + rest)
 
@@ -117,26 +136,84 @@ def _may_reach(words: Column, w: Weights, least: float) -> Column:
     return let(F.filter(words, lambda x: x.isin(*w.idf)), weighed)
 
 
-def own_licences(files: DataFrame, templates=None, least: float = MIN_COSINE) -> DataFrame:
-    """path, own_license, own_score for the files whose best line reaches ``least``."""
-    spark = files.sparkSession
-    w = Weights(templates or TEMPLATES)
-    signature = F.array(*[F.lit(t) for t in w.signature(least)])
-    text = text_or_empty("text")
-    near = files.where(F.col("path").isNotNull() & F.arrays_overlap(words_of(text), signature))
-    lines = near.select("path", F.explode(F.split(text, "\n")).alias("line")).select("path", words_of(F.col("line")).alias("words"))
-    lines = lines.where(F.arrays_overlap("words", signature)).where(_may_reach(F.col("words"), w, least)).withColumn("line_id", F.monotonically_increasing_id())
-    lines = pin(lines, "license-lines")  # the line numbers are read twice: write them once
+def _runs(lines: Column, kinds: Column) -> Column:
+    """The runs of neighbouring lines of one kind: (text, several lines)."""
+
+    def cut(starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(lines)))
+        return F.zip_with(
+            starts, ends, lambda a, b: F.struct(F.array_join(F.slice(lines, a + 1, b - a), "\n").alias("text"), (b - a > 1).alias("several"))
+        )
+
+    none = F.expr("cast(array() as array<struct<text: string, several: boolean>>)")
+    first = F.filter(F.transform(kinds, lambda k, i: F.when((i == 0) | (k != F.get(kinds, i - 1)), i)), lambda i: i.isNotNull())
+    return F.when(F.size(lines) > 0, let(first, cut)).otherwise(none)
+
+
+def blocks_of(text: Column) -> Column:
+    """Where a header may stand: runs of comment lines or of text lines, parted
+    by lines without a word, by blank lines, and not parted by blank lines;
+    and comments between their marks, whatever lines they have."""
+    comment = lambda x: x.rlike(COMMENT_LINE).cast("int")
+    worded = lambda x: x.rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")
+    filled = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+
+    def runs(lines: Column, full: Column) -> Column:
+        def parted(test) -> Column:
+            kinds = F.transform(lines, lambda x: F.when(test(x), comment(x)).otherwise(F.lit(-1)))
+            return let(kinds, lambda k: _runs(lines, k))
+
+        whole = let(F.transform(full, comment), lambda k: _runs(full, k))
+        spans = F.transform(F.regexp_extract_all(text, F.lit(COMMENT), F.lit(0)), lambda c: F.struct(c.alias("text"), c.contains("\n").alias("several")))
+        return F.array_distinct(F.concat(parted(worded), parted(filled), whole, spans))
+
+    return let(F.split(text, "\n"), lambda lines: let(F.filter(lines, filled), lambda full: runs(lines, full)))
+
+
+def _found(units: DataFrame, w: Weights, least: float, name: str) -> DataFrame:
+    """path, rank, license, score of the units (path, rank, words) that reach ``least``."""
+    spark = units.sparkSession
+    units = pin(units.withColumn("unit_id", F.monotonically_increasing_id()), name)  # the unit numbers are read twice: write them once
     idf = F.broadcast(spark.createDataFrame(list(w.idf.items()), "term string, idf double"))  # the terms of the templates
-    terms = lines.select("line_id", F.explode("words").alias("term")).groupBy("line_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = units.select("unit_id", F.explode("words").alias("term")).groupBy("unit_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = terms.join(idf, "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(w.unknown)))
     known = F.broadcast(spark.createDataFrame(w.rows, "template int, license string, term string, share double"))
-    norms = terms.groupBy("line_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = terms.where(F.col("idf").isNotNull()).join(known, "term").groupBy("line_id", "template", "license").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
-    scored = dots.join(norms, "line_id").select("line_id", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-    scored = scored.where(F.col("score") >= least)
-    found = scored.join(lines.select("line_id", "path"), "line_id")
-    best = F.min(F.struct((-F.col("score")).alias("s"), "license"))
+    norms = terms.groupBy("unit_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    dots = terms.where(F.col("idf").isNotNull()).join(known, "term").groupBy("unit_id", "template", "license").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
+    scored = dots.join(norms, "unit_id").select("unit_id", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    return scored.where(F.col("score") >= least).join(units.select("unit_id", "path", "rank"), "unit_id").drop("unit_id")
+
+
+def own_licences(files: DataFrame, templates=None, least: float = MIN_COSINE) -> DataFrame:
+    """path, own_license, own_score for the files of which a whole licence
+    text, a block or a line reaches ``least``."""
+    text = text_or_empty("text")
+    files = files.where(F.col("path").isNotNull())
+
+    def holding(rows: DataFrame, words: Column, w: Weights) -> DataFrame:
+        return rows.where(F.arrays_overlap(words, _texts(w.signature(least))))
+
+    def pruned(units: DataFrame, w: Weights, by_template: bool = True) -> DataFrame:
+        return holding(units, F.col("words"), w).where(_may_reach(F.col("words"), w, least, by_template))
+
+    w = Weights(templates or TEMPLATES)
+    lines = holding(files, words_of(text), w).select("path", F.explode(F.split(text, "\n")).alias("line"))
+    lines = pruned(lines.select("path", F.lit(LINE).alias("rank"), words_of(F.col("line")).alias("words")), w)
+    found = _found(lines, w, least, "license-lines")
+
+    w = Weights(HEADERS)
+    blocks = holding(files, words_of(text), w).select("path", F.inline(blocks_of(text)))
+    # a block of one line is no more than that line
+    rank = F.when(F.col("several"), F.lit(BLOCK)).otherwise(F.lit(LINE))
+    blocks = pruned(blocks.select("path", rank.alias("rank"), words_of(F.col("text")).alias("words")), w, by_template=False)
+    found = found.unionByName(_found(blocks, w, least, "license-blocks"))
+
+    w = Weights(full_texts())
+    named = files.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE))
+    whole = holding(named.select("path", F.lit(WHOLE).alias("rank"), words_of(text).alias("words")), F.col("words"), w)
+    found = found.unionByName(_found(whole, w, least, "license-whole"))
+
+    best = F.min(F.struct("rank", (-F.col("score")).alias("s"), "license"))
     return found.groupBy("path").agg(best.alias("b")).select("path", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"))
 
 
