@@ -10,8 +10,8 @@ whose margin is below ``MIN_MARGIN`` is not accepted.
 The dictionaries are fitted on a bounded sample of labelled rows: the
 ``SAMPLE_DOCS`` training documents per language with the least hashes of their
 id (evenly from ``SAMPLE_PARTS`` parts of the hashes, so no task ranks a whole
-language), ``SAMPLE_CHARS`` characters of each, at most ``DICT_BYTES`` bytes a
-language. Texts and samples are reduced to lower-case words of letters first,
+language), the first ``SAMPLE_CHARS`` characters of each after that reduction; all of it
+goes into the dictionary (``DICT_BYTES`` is the most it can take). Texts and samples are reduced to lower-case words of letters first,
 so that markup and numbers say nothing about a language. Choosing the sample ranks narrow rows (id and language), limited per
 map task before the shuffle. The dictionaries (a number of languages times
 ``DICT_BYTES``, checked against ``MAX_LANGUAGES``) go to the tasks as a
@@ -37,10 +37,10 @@ from pyspark.sql import types as T
 from dialogset.llm.common import crc_mod
 from dialogset.session import ship_package
 
-DICT_BYTES = 1 << 17
 SAMPLE_DOCS = 256
 SAMPLE_PARTS = 16
 SAMPLE_CHARS = 1024
+DICT_BYTES = SAMPLE_DOCS * (4 * SAMPLE_CHARS + 1)  # the whole sample in any script
 BLOCK = 1024
 LEVEL = 3
 MIN_MATCH = 3
@@ -66,7 +66,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     rank = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(parts))).orderBy("h", "doc_id", "piece"))
     # pieces are cut before ranking, so a ranked row is bounded
     pieces = train.select(
-        "lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.substring(letters(F.substring("text", 1, 4 * SAMPLE_CHARS)), 1, SAMPLE_CHARS).alias("piece")
+        "lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.substring(F.ltrim(letters("text")), 1, SAMPLE_CHARS).alias("piece")
     )
     chosen = pieces.withColumn("_rank", rank).where(F.col("_rank") <= sample_docs // parts)
     rows = chosen.select("lang", "h", "piece").limit(MAX_LANGUAGES * sample_docs + 1).collect()
@@ -80,7 +80,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     for lang in sorted(texts, key=lambda k: (-counts[k], k)):
         whole = "\n".join(p for _, p in sorted(texts[lang])).encode()
         # a dictionary of under 8 bytes is not accepted by the library
-        out[lang] = whole[:DICT_BYTES].ljust(8, b" ")
+        out[lang] = whole.ljust(8, b" ")
     return out
 
 
