@@ -16,7 +16,7 @@ Distribution: document fingerprints are exploded and joined to the benchmark
 fingerprints, which are broadcast only when their counted rows are below
 ``broadcast_rows`` (a shuffle join beyond that). Only (document, item,
 diagonal) triples are grouped; texts are read again for the extension and
-meet the triples by document id. Items with equal words are folded into one
+meet the triples by document id and a hash of the text. Items with equal words are folded into one
 before the join, so copies of an item cost nothing.
 
 Edge cases: null text has no words (never contaminated); null or wordless
@@ -167,19 +167,21 @@ def decontaminate(
     item_fps = pin(item_fps, "decon-item-fps")
     n_fps, n_items = item_fps.count(), items.count()
 
-    fps = docs.select("doc_id", F.inline(_fingerprints(words_of(F.col("text")), gram, span, short)))
+    # a row meets only its own candidates, also where many share an id or have none
+    key = F.xxhash64(docs["text"])
+    fps = docs.select("doc_id", key.alias("text_key"), F.inline(_fingerprints(words_of(F.col("text")), gram, span, short)))
     hits = (
         fps.join(broadcast_if(item_fps, n_fps, broadcast_rows), "h")
-        .groupBy("doc_id", "item_no")
+        .groupBy("doc_id", "text_key", "item_no")
         .agg(F.collect_set((F.col("pos") - F.col("ipos")).cast("int")).alias("diags"))
         .join(broadcast_if(items, n_items, broadcast_rows // 10), "item_no")
-        .groupBy("doc_id")
+        .groupBy("doc_id", "text_key")
         .agg(F.collect_list(F.struct("words", "ids", "diags")).alias("entries"))
     )
-    hits = hits.select(F.col("doc_id").alias("__hit_id"), F.col("entries").alias("__entries"))
+    hits = hits.select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key"), F.col("entries").alias("__entries"))
 
     names = docs.columns
-    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["__hit_id"]), "left")
+    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["__hit_id"]) & key.eqNullSafe(hits["__hit_key"]), "left")
 
     def judged(words: Column) -> Column:
         found = F.transform(

@@ -1,5 +1,19 @@
 """Rows without an id or kind, and the whole learning sample."""
 
+import re
+
+
+def test_decontamination_rows_of_one_id_meet_their_own_items(spark):
+    from dialogset.llm.decontaminate import decontaminate
+
+    items = [(f"b{i}", " ".join(f"w{i}x{k}" for k in range(13))) for i in range(20)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(None, t) for _, t in items], "doc_id long, text string")
+    out = decontaminate(docs, bench)
+    assert sorted(r["items"][0] for r in out.select("decontamination.items").collect()) == sorted(i for i, _ in items)
+    keys = re.findall(r"Aggregate \[([^\]]*)\]", out._jdf.queryExecution().optimizedPlan().toString())
+    assert keys and all("text_key" in k for k in keys)
+
 
 def test_language_sample_is_learned_whole(spark):
     from dialogset.llm import language
