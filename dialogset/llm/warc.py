@@ -16,7 +16,8 @@ earlier partitions, a small broadcast table. Payloads are never shuffled.
 Edge cases: a null URL is never resolved (``missing``); of responses at one
 time the greatest record_id counts, and a response at the revisit's own time
 is earlier; without a validator on either side the record is ``unchecked``
-and refers to the response; null headers are none; repeated rows are each
+and refers to the response; a record of null kind is no response, is returned
+as ``unknown`` and refers to none; null headers are none; repeated rows are each
 returned; an empty table gives an empty result.
 """
 
@@ -60,11 +61,11 @@ def merged_headers(response: Column, revisit: Column) -> Column:
 def resolve(records: DataFrame) -> DataFrame:
     """One row per revisit of ``records`` (record_id, url, ts, kind: response or
     revisit, headers: map with lower-case names): record_id, url (canonical),
-    ts, refers_to, status (resolved, unchecked, mismatch, missing) and headers
+    ts, refers_to, status (resolved, unchecked, mismatch, missing, unknown) and headers
     (merged if it refers to a response, else the revisit's own)."""
     narrow = records.select("record_id", canonical_url(F.col("url")).alias("url"), "ts", "kind", "headers")
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    is_revisit = F.col("kind") != "response"
+    is_revisit = ~F.col("kind").eqNullSafe("response")
     keys = ["url", "ts", "later", "record_id"]
     ranged = narrow.withColumn("later", is_revisit.cast("int")).repartitionByRange(n, *keys)
     ranged = pin(ranged.withColumn("block", F.spark_partition_id()), "warc-ranged")
@@ -86,7 +87,7 @@ def resolve(records: DataFrame) -> DataFrame:
     )
     mine, theirs = F.col("headers"), F.col("r.headers")
     agree = F.coalesce(_tag(mine) == _tag(theirs), mine["last-modified"] == theirs["last-modified"])
-    status = F.when(F.col("r").isNull(), "missing").when(agree.isNull(), "unchecked").when(agree, "resolved").otherwise("mismatch")
+    status = F.when(F.col("kind").isNull(), "unknown").when(F.col("r").isNull(), "missing").when(agree.isNull(), "unchecked").when(agree, "resolved").otherwise("mismatch")
     out = joined.withColumn("status", status)
     refers = F.col("status").isin("resolved", "unchecked")
     return out.select(

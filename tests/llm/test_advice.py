@@ -3,6 +3,14 @@
 import re
 
 
+def test_revisits_of_no_kind_are_returned(spark):
+    from dialogset.llm.warc import resolve
+
+    rows = [(1, "a.com", 1, "response", {"etag": "1"}), (2, "a.com", 2, None, {"etag": "1"}), (3, "a.com", 3, "revisit", {"etag": "1"})]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, headers map<string,string>")
+    assert sorted((r.record_id, r.refers_to, r.status) for r in resolve(df).collect()) == [(2, None, "unknown"), (3, 1, "resolved")]
+
+
 def test_decontamination_rows_of_one_id_meet_their_own_items(spark):
     from dialogset.llm.decontaminate import decontaminate
 
