@@ -165,6 +165,62 @@ hd AS (SELECT record_id, string_agg(key || ': ' || value, chr(10) ORDER BY key)
 SELECT record_id, url, ts, CASE WHEN status IN ('resolved', 'unchecked') THEN r.id END AS refers_to, status, coalesce(headers, '') AS headers FROM z LEFT JOIN hd USING (record_id)
 """
 
+OP13 = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT rid, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM t WHERE len(w) > 0),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+i AS (
+  SELECT row_number() OVER () AS no, item_id,
+         list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+it AS (SELECT no, item_id, unnest(w) AS term FROM i),
+tf AS (SELECT rid, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM it) GROUP BY ALL),
+wt AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, g GROUP BY term, docs),
+x AS (
+  SELECT rid, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // terms))) AS x FROM tf JOIN d USING (rid), g),
+s AS (
+  SELECT no, item_id, doc_id, rid, CAST(sum(w * x) AS BIGINT) AS score FROM it JOIN x USING (term) JOIN wt USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id NULLS FIRST) <= 10
+"""
+
+
+def _vector_codes(parts: int = 8, width: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """SQL of operator 12: a round is an assignment and the means of it."""
+    distance = " + ".join(f"(p.x[{j}] - c.x[{j}]) * (p.x[{j}] - c.x[{j}])" for j in range(1, width + 1))
+    mean = ", ".join(f"(sum(x[{j}]) - ((sum(x[{j}]) % count(*)) + count(*)) % count(*)) // count(*)" for j in range(1, width + 1))
+    steps = []
+    for r in range(rounds + 1):
+        # distance and entry in one number: the least distance, then the least entry
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT p.rid, p.part, any_value(p.x) AS x, min(({distance}) * {entries} + c.e) AS m "
+            f"FROM p JOIN c{r} c USING (part) GROUP BY p.rid, p.part)"
+        )
+        if r < rounds:
+            steps.append(f"s{r} AS (SELECT part, CAST(m % {entries} AS BIGINT) AS e, [{mean}] AS x FROM a{r} GROUP BY part, m % {entries})")
+            steps.append(
+                f"c{r + 1} AS MATERIALIZED (SELECT c.part, c.e, CAST(coalesce(s.x, c.x) AS BIGINT[]) AS x "
+                f"FROM c{r} c LEFT JOIN s{r} s ON s.part = c.part AND s.e = c.e)"
+            )
+    last = f"c{rounds}"
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+q AS MATERIALIZED (SELECT rid, vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN v] AS q FROM k),
+p AS MATERIALIZED (SELECT rid, part, q[part * {width} + 1 : (part + 1) * {width}] AS x FROM q, (SELECT unnest(range({parts})) AS part)),
+f AS (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, q) - 1 AS e FROM q QUALIFY e < {entries}),
+c0 AS MATERIALIZED (SELECT part, e, x FROM f JOIN p USING (rid)),
+{", ".join(steps)},
+o AS (SELECT rid, string_agg(printf('%02x', m % {entries}), '' ORDER BY part) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY rid),
+b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS h FROM {last})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM o JOIN q USING (rid), b
+"""
+
 
 def _templates() -> str:
     from dialogset.llm.licenses import TEMPLATES
@@ -179,4 +235,6 @@ STATEMENTS = {
     "op4_licenses": OP4.replace("{templates}", _templates()),
     "op8_mix": OP8,
     "op9_revisits": OP9,
+    "op12_vector_codes": _vector_codes(),
+    "op13_lexical_search": OP13,
 }

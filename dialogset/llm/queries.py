@@ -6,7 +6,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogset.llm import decontaminate, html_text, language, licenses, lm, mixing, pii, quality_rules, simhash, warc
+from dialogset.llm import (
+    decontaminate,
+    html_text,
+    language,
+    lexical_search,
+    licenses,
+    lm,
+    mixing,
+    pii,
+    quality_fm,
+    quality_rules,
+    simhash,
+    vector_codes,
+    warc,
+)
 from dialogset.llm.common import crc_mod, table
 
 
@@ -113,6 +127,28 @@ def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "url", "ts", "refers_to", "status", F.array_join(lines, "\n").alias("headers"))
 
 
+def op11_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    scored = quality_fm.score(docs, quality_fm.learn(docs, labels), out="score")
+    modulus, rest = quality_fm.HELD_OUT
+    return scored.select(
+        "doc_id", (crc_mod("doc_id", modulus) == rest).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    coded, books = vector_codes.compress(vectors)
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -126,5 +162,8 @@ QUERIES = {
         op8_mix,
         op9_revisits,
         op10_language,
+        op11_quality_fm,
+        op12_vector_codes,
+        op13_lexical_search,
     )
 }
