@@ -13,19 +13,23 @@ reserved.``). A file without one inherits the licence of the
 nearest ancestor directory that holds a licence file (``LICENSE*``,
 ``LICENCE*``, ``COPYING*``) with a licence of its own.
 
-Pruning is exact (prefix filtering): the heaviest template terms are split off
-such that the remaining, frequent terms alone can never reach the threshold;
-a unit without a split-off term is not a candidate, nor is a line or block
-whose exact dot products over a lower bound of its length stay below. Only
-candidates are exploded into terms. Directories are reduced to distinct ones before their
-ancestors are joined, so a directory with very many files is one row there;
-the joins back use a broadcast only below ``BROADCAST_ROWS`` counted rows.
-
-Edge cases: null text has no lines; a null path is a file of its own without
-directory; rows repeating a path are one file (their units are pooled, each
-row is returned); equal cosines go to the licence first by code point; an
-empty table gives an empty result; other columns pass through (one named like
-an output is replaced).
+Pruning is exact. A unit without any of a template's heavier terms cannot
+reach the threshold with it when the terms left out hold less than its square
+of the template's squared length (prefix filtering); the terms left out are
+common English words first (``COMMON``), so that prose has few of those kept.
+Texts, lines and blocks without a kept term of any template go. Then the known
+terms' share of a unit's squared length bounds its cosine (Cauchy-Schwarz):
+one walk over its sorted words gives both. Only the distinct texts of the units left are
+exploded into terms and scored; a notice in very many files is scored once.
+Directories are reduced to distinct ones before their ancestors are joined, so
+a directory with very many files is one row there; the joins back use a
+broadcast only below ``BROADCAST_ROWS`` counted rows.
+
+Edge cases: null text has no lines; a row with a null path is a file of its own
+without directory, scanned like any other; rows repeating a path are one file
+(their units are pooled, each row is returned); equal cosines go to the
+licence first by code point; an empty table gives an empty result; other
+columns pass through (one named like an output is replaced).
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogset.llm.common import broadcast_if, let, text_or_empty
@@ -61,6 +65,11 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "All rights reserved."),
 ]
+# fixed values: common English words, which say little about a licence
+COMMON = frozenset(
+    "a all an and any are as at be by can for from has have if in is it its may more no not of on one or other shall "
+    "such that the their then there these they this to under use was which who will with without work would you your 0 1 2 3 4".split()
+)
 MIN_COSINE = 0.75
 BROADCAST_ROWS = 200_000
 # what a licence is found in, the surest first
@@ -92,15 +101,15 @@ class Weights:
         self.vectors, self.lengths = vectors, lengths
 
     def signature(self, least: float) -> list[str]:
-        """Terms of which a line must hold one to reach cosine ``least``."""
-        common: set[str] = set()
-        for term in sorted(self.idf, key=lambda t: (self.idf[t], t)):
-            grown = common | {term}
-            parts = (math.sqrt(sum(w * w for t, w in v.items() if t in grown)) / n for v, n in zip(self.vectors, self.lengths))
-            if max(parts) >= least - 1e-9:
-                break
-            common = grown
-        return sorted(set(self.idf) - common)
+        """Terms of which a unit must hold one to reach cosine ``least``."""
+        kept: set[str] = set()
+        for v, n in zip(self.vectors, self.lengths):
+            left_out = 0.0
+            for t in sorted(v, key=lambda t: (t not in COMMON, self.idf[t], t)):
+                left_out += (v[t] / n) ** 2
+                if left_out >= least * least - 1e-9:
+                    kept.add(t)
+        return sorted(kept)
 
 
 def _texts(terms) -> Column:
@@ -108,32 +117,37 @@ def _texts(terms) -> Column:
     return F.split(F.lit(" ".join(terms)), " ")
 
 
-def _may_reach(words: Column, w: Weights, least: float, by_template: bool = True) -> Column:
-    """Whether a line's best cosine can reach ``least``. Its dot products and
-    the length of its known terms are exact; n unknown words of d kinds add at
-    least n * n / d of their squared weight to the length. For many long
-    templates the length of the known terms stands for the dot products, which
-    are not above it."""
-    literal = lambda d: F.map_from_arrays(_texts(d), _texts(map(repr, d.values())).cast("array<double>"))
-    idf = literal(w.idf)
-    shares = [literal({t: x / n for t, x in v.items()}) for v, n in zip(w.vectors, w.lengths)] if by_template else []
-    zero = F.lit(0.0)
+def _may_reach(words: Column, w: Weights, least: float) -> Column:
+    """Whether the share of known terms in a unit's length allows ``least``.
 
-    def reaches(known: Column, terms: Column) -> Column:
-        square = F.aggregate(terms, zero, lambda acc, x: acc + x["w"] * x["w"])
-        n, d = F.size(words) - F.size(known), F.size(F.array_distinct(words)) - F.size(terms)
-        rest = F.when(d > 0, F.lit(w.unknown**2) * n.cast("double") * n / d).otherwise(zero)
-        if not by_template:
-            return F.sqrt(square) >= (least - 1e-6) * F.sqrt(square + rest)
-        dots = [F.aggregate(terms, zero, lambda acc, x: acc + x["w"] * F.coalesce(m[x["t"]], zero)) for m in shares]
-        return F.greatest(*dots) >= (least - 1e-6) * F.sqrt(square + rest)
+    Over the sorted words, the r-th copy of a term adds 2 r - 1 to the square
+    of its count, so one walk gives the squared lengths."""
+    classes: dict[float, list[str]] = {}
+    for t, x in w.idf.items():
+        classes.setdefault(x, []).append(t)
+    zero = F.lit(0.0)
 
-    def weighed(known: Column) -> Column:
-        count = lambda t: F.size(F.filter(known, lambda x: x == t))
-        terms = F.transform(F.array_distinct(known), lambda t: F.struct(t.alias("t"), (count(t) * idf[t]).alias("w")))
-        return let(terms, lambda ts: reaches(known, ts))
+    def square(x: Column) -> Column:
+        out = F.when(~x.isin(*w.idf), zero)
+        # common terms first; the last class needs no test
+        *tested, last = sorted(classes)
+        for idf in tested:
+            out = out.when(x.isin(*classes[idf]), F.lit(idf * idf))
+        return out.otherwise(F.lit(last * last))
+
+    def step(acc: Column, x: Column) -> Column:
+        again = x == acc["word"]
+        run = F.when(again, acc["run"] + 1).otherwise(F.lit(1))
+        known = F.when(again, acc["square"]).otherwise(square(x))
+        more = (2 * run - 1).cast("double")
+        unknown = F.when(known == 0, more * F.lit(w.unknown**2)).otherwise(zero)
+        return F.struct(
+            x.alias("word"), run.alias("run"), known.alias("square"), (acc["known"] + more * known).alias("known"), (acc["rest"] + unknown).alias("rest")
+        )
 
-    return let(F.filter(words, lambda x: x.isin(*w.idf)), weighed)
+    start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), zero.alias("square"), zero.alias("known"), zero.alias("rest"))
+    bound = least * least - 1e-6
+    return F.aggregate(F.sort_array(words), start, step, lambda acc: acc["known"] > bound * (acc["known"] + acc["rest"]))
 
 
 def _runs(lines: Column, kinds: Column) -> Column:
@@ -170,51 +184,63 @@ def blocks_of(text: Column) -> Column:
     return let(F.split(text, "\n"), lambda lines: let(F.filter(lines, filled), lambda full: runs(lines, full)))
 
 
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from one literal (no Python workers)."""
+    fields = [f.split() for f in schema.split(", ")]
+    cells = F.split(F.col("row"), "\t")
+    lines = F.lit("\n".join("\t".join(map(str, r)) for r in rows))
+    return spark.range(1).select(F.explode(F.split(lines, "\n")).alias("row")).select(*[cells[i].cast(kind).alias(name) for i, (name, kind) in enumerate(fields)])
+
+
 def _found(units: DataFrame, w: Weights, least: float, name: str) -> DataFrame:
-    """path, rank, license, score of the units (path, rank, words) that reach ``least``."""
+    """file, rank, license, score of the units (file, rank, words) that reach ``least``."""
     spark = units.sparkSession
-    units = pin(units.withColumn("unit_id", F.monotonically_increasing_id()), name)  # the unit numbers are read twice: write them once
-    idf = F.broadcast(spark.createDataFrame(list(w.idf.items()), "term string, idf double"))  # the terms of the templates
-    terms = units.select("unit_id", F.explode("words").alias("term")).groupBy("unit_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    units = pin(units.withColumn("unit", F.sha2(F.array_join("words", " "), 256)), name)
+    idf = F.broadcast(_rows(spark, list(w.idf.items()), "term string, idf double"))  # the terms of the templates
+    texts = units.groupBy("unit").agg(F.first("words").alias("words"))  # equal texts are scored once
+    terms = texts.select("unit", F.explode("words").alias("term")).groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = terms.join(idf, "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(w.unknown)))
-    known = F.broadcast(spark.createDataFrame(w.rows, "template int, license string, term string, share double"))
-    norms = terms.groupBy("unit_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = terms.where(F.col("idf").isNotNull()).join(known, "term").groupBy("unit_id", "template", "license").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
-    scored = dots.join(norms, "unit_id").select("unit_id", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-    return scored.where(F.col("score") >= least).join(units.select("unit_id", "path", "rank"), "unit_id").drop("unit_id")
+    known = F.broadcast(_rows(spark, w.rows, "template int, license string, term string, share double"))
+    norms = terms.groupBy("unit").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    dots = terms.where(F.col("idf").isNotNull()).join(known, "term").groupBy("unit", "template", "license").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
+    scored = dots.join(norms, "unit").select("unit", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    best = scored.where(F.col("score") >= least).groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+    best = pin(best.select("unit", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score")), f"{name}-scored")
+    return units.select("unit", "file", "rank").join(broadcast_if(best, best.count(), BROADCAST_ROWS), "unit").drop("unit")
+
+
+def _file(path: Column, text: Column) -> Column:
+    """What a file is known by: its path; without one, its text."""
+    return F.coalesce(path, F.concat(F.lit("\0"), F.sha2(text, 256)))
 
 
 def own_licences(files: DataFrame, templates=None, least: float = MIN_COSINE) -> DataFrame:
     """path, own_license, own_score for the files of which a whole licence
-    text, a block or a line reaches ``least``."""
+    text, a block or a line reaches ``least`` (a null path's ``path`` is a hash of its text)."""
     text = text_or_empty("text")
-    files = files.where(F.col("path").isNotNull())
+    files = files.select(_file(F.col("path"), text).alias("file"), text.alias("text"), F.col("path").isNotNull().alias("located"))
 
     def holding(rows: DataFrame, words: Column, w: Weights) -> DataFrame:
         return rows.where(F.arrays_overlap(words, _texts(w.signature(least))))
 
-    def pruned(units: DataFrame, w: Weights, by_template: bool = True) -> DataFrame:
-        return holding(units, F.col("words"), w).where(_may_reach(F.col("words"), w, least, by_template))
+    def units(rows: DataFrame, rank: Column, text: Column, w: Weights) -> DataFrame:
+        rows = holding(rows.select("file", rank.alias("rank"), words_of(text).alias("words")), F.col("words"), w)
+        return rows.where(_may_reach(F.col("words"), w, least))
 
-    w = Weights(templates or TEMPLATES)
-    lines = holding(files, words_of(text), w).select("path", F.explode(F.split(text, "\n")).alias("line"))
-    lines = pruned(lines.select("path", F.lit(LINE).alias("rank"), words_of(F.col("line")).alias("words")), w)
-    found = _found(lines, w, least, "license-lines")
+    short, headers, full = Weights(templates or TEMPLATES), Weights(HEADERS), Weights(full_texts())
+    lines = holding(files, words_of(text), short).select("file", F.explode(F.split("text", "\n")).alias("line"))
+    found = _found(units(lines, F.lit(LINE), F.col("line"), short), short, least, "license-lines")
 
-    w = Weights(HEADERS)
-    blocks = holding(files, words_of(text), w).select("path", F.inline(blocks_of(text)))
+    blocks = holding(files, words_of(text), headers).select("file", F.inline(blocks_of(F.col("text"))))
     # a block of one line is no more than that line
     rank = F.when(F.col("several"), F.lit(BLOCK)).otherwise(F.lit(LINE))
-    blocks = pruned(blocks.select("path", rank.alias("rank"), words_of(F.col("text")).alias("words")), w, by_template=False)
-    found = found.unionByName(_found(blocks, w, least, "license-blocks"))
+    found = found.unionByName(_found(units(blocks, rank, F.col("text"), headers), headers, least, "license-blocks"))
 
-    w = Weights(full_texts())
-    named = files.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE))
-    whole = holding(named.select("path", F.lit(WHOLE).alias("rank"), words_of(text).alias("words")), F.col("words"), w)
-    found = found.unionByName(_found(whole, w, least, "license-whole"))
+    named = files.where(F.col("located") & F.element_at(F.split("file", "/"), -1).rlike(LICENCE_FILE))
+    found = found.unionByName(_found(units(named, F.lit(WHOLE), F.col("text"), full), full, least, "license-whole"))
 
     best = F.min(F.struct("rank", (-F.col("score")).alias("s"), "license"))
-    return found.groupBy("path").agg(best.alias("b")).select("path", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"))
+    return found.groupBy("file").agg(best.alias("b")).select(F.col("file").alias("path"), F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"))
 
 
 def _directory(path: Column) -> Column:
@@ -252,7 +278,7 @@ def scan(files: DataFrame, templates=None, least: float = MIN_COSINE) -> DataFra
     resolved = pin(resolved, "license-resolved")
     n_resolved = resolved.count()
     own = own.select(F.col("path").alias("__path"), F.col("own_license").alias("__own"), F.col("own_score").alias("__score"))
-    joined = files.join(broadcast_if(own, n_own, BROADCAST_ROWS), files["path"] == F.col("__path"), "left").join(
+    joined = files.join(broadcast_if(own, n_own, BROADCAST_ROWS), _file(files["path"], text_or_empty(files["text"])) == F.col("__path"), "left").join(
         broadcast_if(resolved, n_resolved, BROADCAST_ROWS), _directory(files["path"]) == F.col("__dir"), "left"
     )
     header, above = F.col("__own").isNotNull(), F.col("__inherited").isNotNull()

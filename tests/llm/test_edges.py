@@ -146,7 +146,7 @@ def test_licences(spark, empty):
     assert got == sorted([
         ("r/LICENSE", "MIT", "header", ""), ("r/a/f.txt", "MIT", "inherited", "r"), ("r/a/b/COPYING.md", "Apache-2.0", "header", ""),
         ("r/a/b/c/g.txt", "Apache-2.0", "inherited", "r/a/b"), ("r/a/b/c/h.txt", "MIT", "header", ""), ("r/a/b/c/h.txt", "MIT", "header", ""),
-        ("None", "", "none", ""), ("lonely.txt", "", "none", ""), ("s/LICENSE", "", "none", ""), ("s/f", "", "none", ""),
+        ("None", "MIT", "header", ""), ("lonely.txt", "", "none", ""), ("s/LICENSE", "", "none", ""), ("s/f", "", "none", ""),
         ("r/ab/f", "MIT", "inherited", "r"),
     ])
     assert scan(files.where("false")).collect() == [] and scan(files_of(empty)).collect() == []
