@@ -286,13 +286,60 @@ def subsample(src: str, repeats: int, k: str, multilabel: bool = False, pooled:
            md5(concat_ws(':', '{seed}', CAST(r.repeat AS VARCHAR), CAST(s.row_id AS VARCHAR))), s.row_id) - 1 AS pos
     FROM ({src}) s, (SELECT CAST(range AS BIGINT) AS repeat FROM range({repeats})) r)
  WHERE pos < ({k})"""
+    return intervals(picked, multilabel, pooled)
+
+
+def hypergeometric(n: str, w: str, k: str, u: str) -> str:
+    """Quantile ``u`` of how many of ``w`` among ``n`` are in a draw of ``k``."""
+    low, high = f"greatest(0, {k} - ({n} - {w}))", f"least({w}, {k})"
+    lg = lambda x: f"lgamma(CAST({x} AS DOUBLE) + 1.0)"
+    ways = lambda a, b: f"{lg(a)} - {lg(b)} - {lg(f'({a}) - ({b})')}"
+    p = f"[exp({ways(w, 'j')} + {ways(f'({n} - {w})', f'({k} - j)')} - ({ways(n, k)})) FOR j IN range({low}, {high} + 1)]"
+    return f"least({high}, {low} + len([m FOR m IN range(1, {high} - {low} + 2) IF list_sum(({p})[1:m]) <= {u}]))"
+
+
+def cell_draws(src: str, repeats: int, k: str, arrays: bool, seed: int = 0) -> str:
+    """A17 cells mode: repeat, true, pred, drawn. The sample is split over the
+    cells' hash blocks, and each share over the block's cells."""
+    key = lambda c: f"array_to_string({c}, ',')" if arrays else f"CAST({c} AS VARCHAR)"
+    u = lambda name: (
+        f"CAST(('0x' || substr(md5(concat_ws(':', '{seed}', CAST(d.r AS VARCHAR), {name})), 1, 13)) AS BIGINT) / 4503599627370496.0"
+    )
+    return f"""WITH RECURSIVE cell AS (
+  SELECT "true", pred, count(*) AS w, md5(concat_ws('|', coalesce({key('"true"')}, ''), coalesce({key('pred')}, ''))) AS h
+    FROM ({src}) GROUP BY "true", pred),
+c AS (SELECT *, substr(h, 1, 2) AS b, row_number() OVER (PARTITION BY substr(h, 1, 2) ORDER BY h) AS i FROM cell),
+blk AS (SELECT b, CAST(sum(w) AS BIGINT) AS w, row_number() OVER (ORDER BY b) AS i FROM c GROUP BY b),
+d1 AS (
+  SELECT CAST(t.range AS BIGINT) AS r, CAST(0 AS BIGINT) AS i, n.n AS n, least(n.n, ({k})) AS k, CAST(0 AS BIGINT) AS x
+    FROM range({repeats}) t, (SELECT CAST(sum(w) AS BIGINT) AS n FROM blk) n
+  UNION ALL
+  SELECT r, i, n - w, k - x, x FROM (
+    SELECT d.r, blk.i, d.n, d.k, blk.w, CAST({hypergeometric('d.n', 'blk.w', 'd.k', u('blk.b'))} AS BIGINT) AS x
+      FROM d1 d JOIN blk ON blk.i = d.i + 1)),
+d2 AS (
+  SELECT d.r, blk.b, CAST(0 AS BIGINT) AS i, blk.w AS n, d.x AS k, CAST(0 AS BIGINT) AS x FROM d1 d JOIN blk ON blk.i = d.i
+  UNION ALL
+  SELECT r, b, i, n - w, k - x, x FROM (
+    SELECT d.r, d.b, c.i, d.n, d.k, c.w, CAST({hypergeometric('d.n', 'c.w', 'd.k', u('c.h'))} AS BIGINT) AS x
+      FROM d2 d JOIN c ON c.b = d.b AND c.i = d.i + 1))
+SELECT d2.r AS repeat, c."true", c.pred, d2.x AS drawn FROM d2 JOIN c ON c.b = d2.b AND c.i = d2.i WHERE d2.x > 0"""
+
+
+def subsample_cells(src: str, repeats: int, k: str, multilabel: bool = False, pooled: bool = False, seed: int = 0) -> str:
+    """A17 cells mode: intervals of the F1 of drawn cell counts."""
+    drawn = cell_draws(src, repeats, k, multilabel, seed)
+    return intervals('SELECT repeat, "true", pred, unnest(range(drawn)) AS one FROM draws', multilabel, pooled, f"draws AS MATERIALIZED ({drawn})")
+
+
+def intervals(picked: str, multilabel: bool, pooled: bool, view: str = "") -> str:
     counts = multilabel_counts(picked, "repeat") if multilabel else class_counts(picked, "repeat")
     per = f1_averages(counts, "repeat")
     if pooled:
         per = f"""SELECT repeat, a.average, f1 FROM ({per}) p JOIN
   (SELECT * FROM (VALUES ('weighted', 0), ('micro', 1), ('macro', 2)) v(average, rk)) a
   ON a.rk >= CASE p.average WHEN 'weighted' THEN 0 WHEN 'micro' THEN 1 ELSE 2 END"""
-    return f"""SELECT average, {r6("q[1]")} AS lower, {r6("q[2]")} AS upper, {r6("m")} AS mean FROM (
+    return f"""{f'WITH {view} ' if view else ''}SELECT average, {r6("q[1]")} AS lower, {r6("q[2]")} AS upper, {r6("m")} AS mean FROM (
   SELECT average, quantile_cont(f1, [0.025, 0.975]) AS q, avg(f1) AS m FROM ({per}) GROUP BY average)"""
 
 
@@ -387,7 +434,7 @@ SAMPLE_K = "SELECT CAST(floor(count(*) * CAST(0.1 AS DOUBLE)) AS BIGINT) FROM ({
 
 def _ci_rows(src: str, repeats: int, multilabel: bool = False, prefix: str = "", k: str | None = None) -> str:
     k = k or SAMPLE_K.format(src=src)
-    ci = subsample(src, repeats, k, multilabel)
+    ci = subsample_cells(src, repeats, k, multilabel)
     return " UNION ALL ".join(
         f"SELECT '{prefix}ci_{p}' AS metric, average AS label, {p} AS value FROM ({ci})" for p in ("lower", "upper", "mean")
     )
@@ -563,10 +610,12 @@ def statements() -> dict[str, str]:
   FROM ({bc})""", "scored")
     sq["a16_mean_quantiles"] = with_views(f"""SELECT true_class, {r6('q[1]')} AS lower, {r6('q[2]')} AS upper, {r6('m')} AS mean
   FROM (SELECT true_class, quantile_cont(logit0, [0.025, 0.975]) AS q, avg(logit0) AS m FROM scored GROUP BY true_class)""", "scored")
-    sq["a17_subsample_ci"] = with_views(subsample(mc_src, REPEATS, SAMPLE_K.format(src=mc_src)), "scored")
+    sq["a17_subsample_ci_rows"] = with_views(subsample(mc_src, REPEATS, SAMPLE_K.format(src=mc_src)), "scored")
+    sq["a17_subsample_ci"] = with_views(subsample_cells(mc_src, REPEATS, SAMPLE_K.format(src=mc_src)), "scored")
+    sq["a17_subsample_ci_cells"] = sq["a17_subsample_ci"]
     bin_src = 'SELECT row_id, y_true AS "true", y_pred AS pred FROM scored'
-    sq["a17_subsample_ci_pooled"] = with_views(subsample(bin_src, REPEATS, SAMPLE_K.format(src=bin_src), pooled=True), "scored")
-    sq["a17_subsample_ci_multilabel"] = with_views(subsample(VECTORS, REPEATS, SAMPLE_K.format(src=VECTORS), multilabel=True), "scored")
+    sq["a17_subsample_ci_pooled"] = with_views(subsample_cells(bin_src, REPEATS, SAMPLE_K.format(src=bin_src), pooled=True), "scored")
+    sq["a17_subsample_ci_multilabel"] = with_views(subsample_cells(VECTORS, REPEATS, SAMPLE_K.format(src=VECTORS), multilabel=True), "scored")
     enc = """SELECT CASE WHEN code = 1 THEN 1 WHEN code >= 10 THEN code % 10 ELSE 0 END AS "true",
        CASE WHEN code >= 10 THEN 1 ELSE 0 END AS pred FROM (SELECT y_true + 10 * y_pred AS code FROM scored)"""
     sq["a18_encoded_f1"] = with_views(f"SELECT {r6(f1('tp', 'fp', 'fn'))} AS f1 FROM ({binary_counts(enc)})", "scored")

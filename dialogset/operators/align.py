@@ -5,7 +5,7 @@ Generated strings hold labels joined by ``", "`` and utterances joined by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialogset.functions import text as T
@@ -81,6 +81,43 @@ def align_sequences(preds: DataFrame, trues: DataFrame, row_id: str = "row_id",
     return t.join(p, ["batch_id", "k"]).select("batch_id", row_id, "pos", "pred", "true")
 
 
+def aligned_batches(df: DataFrame, pred: str, true: str, row_id: str = "row_id", batch: int = 32,
+                    mode: str = "batch", cut_first_label: bool = True) -> DataFrame:
+    """J7 in one exchange: ``batch_id, n_rows, first, pairs`` with the pairs of
+    pieces (``true, pred``) of a batch of rows, as ``align_sequences`` pairs
+    them. A batch holds ``batch`` rows with dense 0-based ids: other ids
+    inside a batch are an error here, missing batches one of ``dense_rows``."""
+    p = T.first_label(pred, strip=True) if cut_first_label else F.col(pred)
+    pieces = lambda x: F.coalesce(T.split_utterances(x), F.array().cast("array<string>"))
+    rows = df.select(F.floor(F.col(row_id) / batch).alias("batch_id"),
+                     F.struct(F.col(row_id).alias("id"), pieces(p).alias("pred"), pieces(F.col(true)).alias("true")).alias("r"))
+    held = rows.groupBy("batch_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))  # a fixed number of rows
+    dense = F.forall(F.transform("rs", lambda r, i: r["id"] == F.col("batch_id") * batch + i), lambda ok: ok) & (F.size("rs") <= batch)
+    wrong = F.raise_error(F.lit("row ids are not dense and 0-based: no batches"))
+
+    def paired(preds: Column, trues: Column) -> Column:
+        n = F.least(F.size(preds), F.size(trues))
+        return F.transform(F.slice(F.arrays_zip(trues.alias("true"), preds.alias("pred")), 1, n), lambda z: F.struct(z["true"].alias("true"), z["pred"].alias("pred")))
+
+    if mode == "batch":
+        pairs = paired(F.flatten(F.transform("rs", lambda r: r["pred"])), F.flatten(F.transform("rs", lambda r: r["true"])))
+    elif mode == "utterance":
+        pairs = F.flatten(F.transform("rs", lambda r: paired(r["pred"], r["true"])))
+    else:
+        raise ValueError(mode)
+    checked = F.when(F.coalesce(dense, F.lit(False)), pairs).otherwise(F.when(wrong.isNull(), pairs))
+    return held.select("batch_id", F.size("rs").cast("long").alias("n_rows"), checked.alias("pairs"))
+
+
+def dense_rows(batches: DataFrame, batch: int = 32) -> Column:
+    """The number of rows in ``aligned_batches`` as a scalar; an error unless
+    the batches are 0, 1, ... and full but for the last."""
+    n, last = F.coalesce(F.sum("n_rows"), F.lit(0)), F.max(F.struct("batch_id", "n_rows"))
+    full = (last["batch_id"] * batch + last["n_rows"] == n) | (n == 0)
+    wrong = F.raise_error(F.lit("row ids are not dense and 0-based: no batches")).cast("long")
+    return batches.select(F.when(full, n).otherwise(wrong)).scalar()
+
+
 def generated_label_ids(aligned: DataFrame, *, per_utterance: bool) -> DataFrame:
     """F2 + J4/J5 for generated fine-grained labels: ids of the sorted label
     set; truths use their first label (unstripped). Per utterance the set

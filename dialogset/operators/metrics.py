@@ -6,7 +6,9 @@ metric are the union of labels seen in truth or prediction; F1 is
 plain mean over labels, ``weighted`` the mean weighted by support (true
 count), ``micro`` pools the counts. Every metric is a partial-aggregatable
 ``groupBy``; optional ``group`` keys compute many evaluations at once (one
-per subsample repeat, per run, ...).
+per subsample repeat, per run, ...). With ``weight``, a row stands for that
+many rows: ``cells`` reduces predictions to one row per (truth, prediction),
+from which all metrics of counts follow without another look at the input.
 """
 
 from __future__ import annotations
@@ -30,33 +32,44 @@ def f1_expr(tp, fp, fn) -> Column:
     return _ratio(2 * tp, 2 * tp + fp + fn)
 
 
+def _times(x: Column, weight: str | None) -> Column:
+    return x.cast("long") if weight is None else x.cast("long") * F.col(weight)
+
+
 # ---------------------------------------------------------------- counts
 
-def class_counts(df: DataFrame, true: str = "true", pred: str = "pred", group: Sequence[str] = ()) -> DataFrame:
+def cells(df: DataFrame, *columns: str, n: str = "n") -> DataFrame:
+    """The distinct values of ``columns`` (truth, prediction, ...) and how many
+    rows have them: one pass, combined on the map side."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(n))
+
+
+def class_counts(df: DataFrame, true: str = "true", pred: str = "pred", group: Sequence[str] = (),
+                 weight: str | None = None) -> DataFrame:
     """Per (group, label): ``tp, fp, fn, support`` for single-label multi-class
     data; labels = union of truth and prediction values."""
     group = list(group)
     t, p = F.col(true), F.col(pred)
-    hit = (t == p).cast("long")
-    as_true = F.struct(t.alias("label"), hit.alias("tp"), F.lit(0).cast("long").alias("fp"),
-                       (1 - hit).alias("fn"), F.lit(1).cast("long").alias("support"))
-    as_pred = F.struct(p.alias("label"), F.lit(0).cast("long").alias("tp"), (1 - hit).alias("fp"),
-                       F.lit(0).cast("long").alias("fn"), F.lit(0).cast("long").alias("support"))
+    hit, one, none = _times(t == p, weight), _times(F.lit(1), weight), F.lit(0).cast("long")
+    as_true = F.struct(t.alias("label"), hit.alias("tp"), none.alias("fp"), (one - hit).alias("fn"), one.alias("support"))
+    as_pred = F.struct(p.alias("label"), none.alias("tp"), (one - hit).alias("fp"), none.alias("fn"), none.alias("support"))
     ex = df.select(*group, F.explode(F.array(as_true, as_pred)).alias("e")).select(*group, "e.*")
     return ex.groupBy(*group, "label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "support")])
 
 
-def multilabel_counts(df: DataFrame, true: str = "true", pred: str = "pred", group: Sequence[str] = ()) -> DataFrame:
+def multilabel_counts(df: DataFrame, true: str = "true", pred: str = "pred", group: Sequence[str] = (),
+                      weight: str | None = None) -> DataFrame:
     """Per (group, position): ``tn, fp, fn, tp, support`` of n-hot vectors."""
     group = list(group)
-    z = df.select(*group, F.posexplode(F.arrays_zip(F.col(true).alias("t"), F.col(pred).alias("p"))).alias("label", "z"))
+    extra = [] if weight is None else [weight]
+    z = df.select(*group, *extra, F.posexplode(F.arrays_zip(F.col(true).alias("t"), F.col(pred).alias("p"))).alias("label", "z"))
     t, p = F.col("z.t"), F.col("z.p")
     return z.groupBy(*group, "label").agg(
-        F.sum(((t == 0) & (p == 0)).cast("long")).alias("tn"),
-        F.sum(((t == 0) & (p == 1)).cast("long")).alias("fp"),
-        F.sum(((t == 1) & (p == 0)).cast("long")).alias("fn"),
-        F.sum(((t == 1) & (p == 1)).cast("long")).alias("tp"),
-        F.sum((t == 1).cast("long")).alias("support"),
+        F.sum(_times((t == 0) & (p == 0), weight)).alias("tn"),
+        F.sum(_times((t == 0) & (p == 1), weight)).alias("fp"),
+        F.sum(_times((t == 1) & (p == 0), weight)).alias("fn"),
+        F.sum(_times((t == 1) & (p == 1), weight)).alias("tp"),
+        F.sum(_times(t == 1, weight)).alias("support"),
     )
 
 
@@ -75,29 +88,33 @@ def f1_averages(counts: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return agg.select(*group, stacked.alias("s")).select(*group, "s.average", "s.f1")
 
 
-def f1_multiclass(df: DataFrame, true: str = "true", pred: str = "pred", group: Sequence[str] = ()) -> DataFrame:
-    return f1_averages(class_counts(df, true, pred, group), group)
+def f1_multiclass(df: DataFrame, true: str = "true", pred: str = "pred", group: Sequence[str] = (),
+                  weight: str | None = None) -> DataFrame:
+    return f1_averages(class_counts(df, true, pred, group, weight), group)
 
 
-def f1_multilabel(df: DataFrame, true: str = "true", pred: str = "pred", group: Sequence[str] = ()) -> DataFrame:
-    return f1_averages(multilabel_counts(df, true, pred, group).drop("tn"), group)
+def f1_multilabel(df: DataFrame, true: str = "true", pred: str = "pred", group: Sequence[str] = (),
+                  weight: str | None = None) -> DataFrame:
+    return f1_averages(multilabel_counts(df, true, pred, group, weight).drop("tn"), group)
 
 
 # ---------------------------------------------------------------- binary
 
-def binary_counts(df: DataFrame, true: str = "true", pred: str = "pred", group: Sequence[str] = ()) -> DataFrame:
+def binary_counts(df: DataFrame, true: str = "true", pred: str = "pred", group: Sequence[str] = (),
+                  weight: str | None = None) -> DataFrame:
     t, p = F.col(true), F.col(pred)
     return df.groupBy(*group).agg(
-        F.sum(((t == 1) & (p == 1)).cast("long")).alias("tp"),
-        F.sum(((t != 1) & (p == 1)).cast("long")).alias("fp"),
-        F.sum(((t == 1) & (p != 1)).cast("long")).alias("fn"),
-        F.sum(((t != 1) & (p != 1)).cast("long")).alias("tn"),
+        F.sum(_times((t == 1) & (p == 1), weight)).alias("tp"),
+        F.sum(_times((t != 1) & (p == 1), weight)).alias("fp"),
+        F.sum(_times((t == 1) & (p != 1), weight)).alias("fn"),
+        F.sum(_times((t != 1) & (p != 1), weight)).alias("tn"),
     )
 
 
-def binary_metrics(df: DataFrame, true: str = "true", pred: str = "pred", group: Sequence[str] = ()) -> DataFrame:
+def binary_metrics(df: DataFrame, true: str = "true", pred: str = "pred", group: Sequence[str] = (),
+                   weight: str | None = None) -> DataFrame:
     """A10: accuracy and precision/recall/F1 of the positive class 1."""
-    c = binary_counts(df, true, pred, group)
+    c = binary_counts(df, true, pred, group, weight)
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     return c.select(
         *group,
@@ -124,7 +141,8 @@ def encoded_f1(df: DataFrame, code: str = "code") -> DataFrame:
 
 # ---------------------------------------------------------------- matrices
 
-def confusion_matrix(df: DataFrame, true: str = "true", pred: str = "pred", max_classes: int = 10_000) -> DataFrame:
+def confusion_matrix(df: DataFrame, true: str = "true", pred: str = "pred", max_classes: int = 10_000,
+                     weight: str | None = None) -> DataFrame:
     """``true, pred, count`` for every pair of labels seen (zeros
     included), rows = truth. The grid holds classes squared rows; more than
     ``max_classes`` labels are an error (they are no classes then), found
@@ -134,7 +152,7 @@ def confusion_matrix(df: DataFrame, true: str = "true", pred: str = "pred", max_
     too_many = F.raise_error(F.lit(f"more than {max_classes} classes in a confusion matrix"))
     checked = listed.select(F.when(F.size("ls") <= max_classes, F.col("ls")).otherwise(too_many).alias("ls"))
     grid = checked.select(F.explode("ls").alias(true), "ls").select(true, F.explode("ls").alias(pred))
-    counts = df.groupBy(true, pred).agg(F.count(F.lit(1)).alias("count"))
+    counts = df.groupBy(true, pred).agg(F.sum(_times(F.lit(1), weight)).alias("count"))
     return grid.join(counts, [true, pred], "left").select(true, pred, F.coalesce("count", F.lit(0)).alias("count"))
 
 
@@ -145,14 +163,14 @@ def subset_accuracy(df: DataFrame, true: str = "true", pred: str = "pred", group
 
 # ---------------------------------------------------------------- ROC AUC
 
-def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
+def roc_auc(df: DataFrame, y: str = "y", score: str = "score", weight: str | None = None) -> DataFrame:
     """Area under the ROC curve from scores (ties count one half).
 
     Rows collapse to distinct scores first; the running count of negatives
     below each score is a distributed ordered scan. NULL when a class is
     missing."""
     g = df.groupBy(F.col(score).alias("s")).agg(
-        F.sum(F.col(y).cast("long")).alias("pos"), F.sum((1 - F.col(y)).cast("long")).alias("neg")
+        F.sum(_times(F.col(y), weight)).alias("pos"), F.sum(_times(1 - F.col(y), weight)).alias("neg")
     )
     s = ordered_scan(g, [], [("s", True)], sums=["pos", "neg"], seq_col="_i", size_col="_n")
     contrib = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2.0)
@@ -166,17 +184,17 @@ def _hard_auc(tp, fp, fn, tn) -> Column:
     return (tpr + tnr) / 2.0
 
 
-def roc_auc_hard(df: DataFrame, true: str = "true", pred: str = "pred") -> DataFrame:
+def roc_auc_hard(df: DataFrame, true: str = "true", pred: str = "pred", weight: str | None = None) -> DataFrame:
     """A15 (binary): AUC of 0/1 predictions = (TPR + TNR) / 2."""
-    c = binary_counts(df, true, pred)
+    c = binary_counts(df, true, pred, weight=weight)
     return c.select(_hard_auc(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")).alias("auc"))
 
 
-def roc_auc_hard_multilabel(df: DataFrame, true: str = "true", pred: str = "pred") -> DataFrame:
+def roc_auc_hard_multilabel(df: DataFrame, true: str = "true", pred: str = "pred", weight: str | None = None) -> DataFrame:
     """A15 (multi-label): ``micro`` pools all cells; ``weighted`` averages the
     per-position AUC weighted by positives (positions without positives
     weigh 0; a weighted position with no negatives makes it NULL)."""
-    c = multilabel_counts(df, true, pred)
+    c = multilabel_counts(df, true, pred, weight=weight)
     per = c.withColumn("auc", _hard_auc(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")))
     return per.agg(
         _hard_auc(F.sum("tp"), F.sum("fp"), F.sum("fn"), F.sum("tn")).alias("micro"),

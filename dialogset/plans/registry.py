@@ -341,7 +341,7 @@ def a16_mean_quantiles(spark, sf):
 
 
 def _ci(df, **kw):
-    return subsample_interval(df, "true", "pred", "row_id", mode="rows", repeats=REPEATS, seed=0, **kw).select(
+    return subsample_interval(df, "true", "pred", "row_id", repeats=REPEATS, seed=0, **kw).select(
         "average", r6("lower").alias("lower"), r6("upper").alias("upper"), r6("mean").alias("mean")
     )
 
@@ -361,10 +361,13 @@ def a17_subsample_ci_multilabel(spark, sf):
 
 
 def a17_subsample_ci_cells(spark, sf):
-    """Cells mode draws hypergeometric samples (seeded, not SQL-expressible)."""
+    return a17_subsample_ci(spark, sf)
+
+
+def a17_subsample_ci_rows(spark, sf):
+    """Row ranks instead of cell counts: the rows of a repeat are known by id."""
     s = scored(spark, sf).select("row_id", F.col("true_class").alias("true"), F.col("pred_class").alias("pred"))
-    ci = subsample_interval(s, mode="cells", repeats=REPEATS, seed=0)
-    return ci.select("average", r6("lower").alias("lower"), r6("upper").alias("upper"), r6("mean").alias("mean"))
+    return _ci(s, mode="rows")
 
 
 def a18_encoded_f1(spark, sf):

@@ -1,33 +1,91 @@
 """Intervals at any total, run folders, exported documents, the training job."""
 
+import hashlib
 import os
+from collections import Counter
+from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dialogset.operators.intervals import draw_cells, subsample_f1_rows, subsample_interval
+from dialogset.operators.intervals import draw_cells, hypergeometric, split_sample, subsample_f1_rows, subsample_interval
 from dialogset.plans.training import train_score_report
 from dialogset.session import pin, run_folder, scratch_path
 from dialogset.sources.splitfiles import legacy_counts, read_legacy_json, write_legacy_json, write_splits
 
 
-def test_draw_cells_any_total():
-    rng = np.random.default_rng(3)
-    w = np.array([4_000_000_000, 0, 6_000_000_000, 2], dtype=np.int64)
-    for k in (0, 1, 7, 1_000_000_000, int(w.sum())):
-        got = draw_cells(w, k, rng)
-        assert got.sum() == k and (got >= 0).all() and (got <= w).all()
-
-
-def test_draw_cells_is_hypergeometric():
-    w, k, n = np.array([30, 50, 20]), 25, 20_000
-    rng = np.random.default_rng(5)
-    draws = np.array([draw_cells(w, k, rng) for _ in range(n)])
-    share = w / w.sum()
-    var = k * share * (1 - share) * (w.sum() - k) / (w.sum() - 1)
-    assert np.allclose(draws.mean(axis=0), k * share, atol=5 * np.sqrt(var / n))
-    assert np.allclose(draws.var(axis=0), var, rtol=0.06)
+def test_split_sample_any_total():
+    w = [4_000_000_000, 0, 6_000_000_000, 2]
+    for k in (0, 1, 7, 1_000_000_000, sum(w)):
+        got = split_sample(w, list("abcd"), np.full(5, k), 3)
+        assert (got.sum(axis=0) == k).all() and (got >= 0).all() and (got <= np.array(w)[:, None]).all()
+
+
+@pytest.mark.parametrize("n, held, k", [(10, 3, 4), (50, 20, 7), (100, 99, 50), (7, 7, 3), (9, 0, 4), (30, 10, 30), (400, 37, 90)])
+def test_hypergeometric_quantiles_are_exact(n, held, k):
+    """Against binomial coefficients, at numbers on both sides of every step."""
+    p = [Fraction(comb(held, i) * comb(n - held, k - i), comb(n, k)) for i in range(k + 1)]
+    below = [sum(p[: i + 1]) for i in range(k + 1)]
+    u = [x for c in below for x in (float(c) - 1e-9, float(c) + 1e-9) if 0 <= x < 1]
+    want = [next(i for i, c in enumerate(below) if c > x) for x in u]
+    got = hypergeometric(np.full(len(u), n), held, np.full(len(u), k), np.array(u))
+    assert got.tolist() == want
+
+
+def test_split_sample_is_hypergeometric():
+    """Shares of whole outcomes against their exact probabilities."""
+    w, k, n = [3, 5, 2], 4, 20_000
+    draws = Counter(map(tuple, split_sample(w, list("abc"), np.full(n, k), 5).T))
+    for x in draws:
+        exact = np.prod([comb(a, b) for a, b in zip(w, x)]) / comb(sum(w), k)
+        assert abs(draws[x] / n - exact) < 5 * np.sqrt(exact * (1 - exact) / n)
+    assert len(draws) == sum(1 for a in range(4) for b in range(5) for c in range(3) if a + b + c == k)
+
+
+def test_seeded_draws_are_pinned(spark):
+    """The draws of a small table, by the definition alone: hash blocks in
+    order, then a block's cells in order, each by its quantile."""
+    cells = [(0, 0, 30), (0, 1, 5), (1, 0, 8), (1, 1, 17), (2, 1, 1)]
+    df = spark.createDataFrame(cells, "true int, pred int, n long")
+    got = {}
+    for r in draw_cells(df, repeats=6, fraction=0.25, seed=11).collect():
+        got[r.repeat, r.true, r.pred] = r.drawn
+
+    def quantile(total, held, k, name, repeat):
+        u = int(hashlib.md5(f"11:{repeat}:{name}".encode()).hexdigest()[:13], 16) / 2**52
+        c = Fraction(0)
+        for i in range(k + 1):
+            c += Fraction(comb(held, i) * comb(total - held, k - i), comb(total, k))
+            if c > u:
+                return i
+
+    def split(parts, k, repeat):
+        total, out = sum(w for _, w in parts), {}
+        for name, w in parts:
+            out[name] = quantile(total, w, k, name, repeat)
+            total, k = total - w, k - out[name]
+        return out
+
+    named = sorted((hashlib.md5(f"{t}|{p}".encode()).hexdigest(), t, p, w) for t, p, w in cells)
+    want = {}
+    for repeat in range(6):
+        blocks = {}
+        for h, _, _, w in named:
+            blocks[h[:2]] = blocks.get(h[:2], 0) + w
+        shares = split(sorted(blocks.items()), 15, repeat)
+        for b, k in shares.items():
+            drawn = split([(h, w) for h, _, _, w in named if h[:2] == b], k, repeat)
+            want |= {(repeat, t, p): drawn[h] for h, t, p, _ in named if h[:2] == b and drawn[h]}
+    assert got == want and all(sum(v for (r, _, _), v in got.items() if r == i) == 15 for i in range(6))
+
+
+def test_many_cells_need_no_limit(spark):
+    """One cell a row: every repeat takes exactly its rows, each at most once."""
+    df = spark.range(5000).select(F.col("id").alias("true"), (-F.col("id")).alias("pred"), F.lit(1).cast("long").alias("n"))
+    rows = draw_cells(df, repeats=3, seed=2).groupBy("repeat").agg(F.sum("drawn").alias("k"), F.max("drawn").alias("most"), F.countDistinct("true").alias("d"))
+    assert sorted(map(tuple, rows.collect())) == [(r, 500, 1, 500) for r in range(3)]
 
 
 def _scored(spark, n):

@@ -100,8 +100,7 @@ def test_entry_contract(spark):
 
     assert set(QUERIES) <= set(q) and set(sql) <= set(q)
     # the training-data operators, where installed, add keys of their own
-    assert set(QUERIES) - set(sql) == {"k2_binary_classifier", "k2_train_score_report", "k3_multilabel_classifier",
-                                       "a17_subsample_ci_cells"}
+    assert set(QUERIES) - set(sql) == {"k2_binary_classifier", "k2_train_score_report", "k3_multilabel_classifier"}
 
 
 @pytest.mark.parametrize("name", ["w4a_one_sided_lines", "w4b_two_sided", "w10_build_dataset", "a17_subsample_ci",
