@@ -140,7 +140,7 @@ def _block_scan(
     return out.drop(*drop)
 
 
-def _window_scan(df: DataFrame, keys, order: Order, sums, prev, firsts, seq_col: str, size_col: str) -> DataFrame:
+def window_scan(df: DataFrame, keys, order: Order, sums, prev, firsts, seq_col: str, size_col: str) -> DataFrame:
     """The same columns as ``_block_scan`` from one window per group (for
     groups whose size is bounded by the hot-group threshold)."""
     w = Window.partitionBy(*keys).orderBy(*_order_cols(order))
@@ -203,30 +203,51 @@ def ordered_scan(
     spark = df.sparkSession
     if materialize:
         df = pin(df, "scan-input")
-    limit = hot_group_rows or int(spark.conf.get("dialogset.scan.hotGroupRows", str(HOT_GROUP_ROWS)))
+    limit = hot_group_rows or hot_group_limit(spark)
     args = dict(sums=sums, prev=prev, firsts=firsts, seq_col=seq_col, size_col=size_col)
 
     def block(d, rows=0):
         return _block_scan(d, keys, order, blocks=blocks or _block_count(spark, rows, limit), **args)
 
     def window(d):
-        return _window_scan(d, keys, order, **args)
+        return window_scan(d, keys, order, **args)
 
     if not keys:
         n = df.count()
         return block(df, n) if n > limit else window(df)
-    # Route by a 64-bit hash of the keys: the size check then shuffles 8-byte
-    # values even when a key is a long text. A collision only sends a small
-    # group down the (exact) block path as well.
+    cold, hot, n = split_hot(df, keys, limit)
+    if hot is None:
+        return window(cold)
+    if cold is None:
+        return block(hot, n)
+    done = window(cold)
+    return done.unionByName(block(hot, n).select(*done.columns))
+
+
+def hot_group_limit(spark) -> int:
+    """Rows above which a group is split over tasks."""
+    return int(spark.conf.get("dialogset.scan.hotGroupRows", str(HOT_GROUP_ROWS)))
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """``(cold, hot, rows)``: the rows of groups of at most ``limit`` rows, the
+    others (None if there are none) and their number. One small job counts the groups.
+
+    Groups are told apart by a 64-bit hash of the keys: the count then shuffles
+    8-byte values even when a key is a long text, and a collision only sends a
+    small group among the hot ones. With more than ``MAX_HOT_GROUPS`` hot groups
+    every row counts as hot."""
+    spark = df.sparkSession
+    limit = limit or hot_group_limit(spark)
     hashed = df.withColumn("_kh", F.xxhash64(*[F.col(k) for k in keys]))
     sizes = hashed.groupBy("_kh").agg(F.count(F.lit(1)).alias("_n"))
     hot_rows = sizes.where(F.col("_n") > limit).limit(MAX_HOT_GROUPS + 1).collect()
     if not hot_rows:
-        return window(df)
+        return df, None, 0
     if len(hot_rows) > MAX_HOT_GROUPS:
-        return block(df, sizes.agg(F.sum("_n")).first()[0])
+        return None, df, sizes.agg(F.sum("_n")).first()[0]
     # at most rows / threshold hashes, and never more than MAX_HOT_GROUPS: broadcast
     hot_df = F.broadcast(spark.createDataFrame([(r[0],) for r in hot_rows], "_kh long"))
-    cold = window(hashed.join(hot_df, "_kh", "left_anti").drop("_kh"))
-    hot = block(hashed.join(hot_df, "_kh", "left_semi").drop("_kh"), sum(r[1] for r in hot_rows))
-    return cold.unionByName(hot.select(*cold.columns))
+    cold = hashed.join(hot_df, "_kh", "left_anti").drop("_kh")
+    hot = hashed.join(hot_df, "_kh", "left_semi").drop("_kh")
+    return cold, hot, sum(r[1] for r in hot_rows)

@@ -12,13 +12,25 @@ length``. Utterance ``j`` with text covers the character positions
   least ``ctx`` characters after the target were collected, else the last one.
   That is the utterance covering position ``E_t + ctx - 1``.
 
-Both are answered by one "which utterance covers position q" lookup. And by
-symmetry, utterance ``j`` belongs to the two-sided window of exactly the
+By symmetry, utterance ``j`` belongs to the two-sided window of exactly the
 targets ``start(j) .. end(j)`` and to the one-sided window of the targets
-``j .. end(j)``. So each utterance is emitted once per window that contains
-it and the windows are assembled by a group-by on (conversation, target):
-work equals the total window size, never pairs inside a conversation, and no
-conversation is ever held by one task.
+``j .. end(j)``.
+
+Windows are assembled in *halo blocks*: ``HALO`` consecutive targets of a
+conversation and copies of the utterances around them that their windows
+need. Inside a block a window is a slice of one sorted array, so a text is
+copied once per block that needs it and not once per window; work per block
+is its utterances plus the windows it returns.
+
+* Conversations of at most ``dialogset.scan.hotGroupRows`` rows take one
+  exchange, by conversation, which carries the texts; positions, ``start``,
+  ``end`` and blocks follow inside it (a range frame over the characters
+  before an utterance, or over those up to its end, finds the one covering
+  a position, as its distance is the constant ``ctx``).
+* Hot conversations are never held by one task: their positions come from
+  the block scan over narrow rows, the covering utterance from a lookup in
+  fixed slices of characters, and the texts meet their target ranges by
+  (conversation, ``line_num``) and go to their blocks by (conversation, block).
 """
 
 from __future__ import annotations
@@ -27,10 +39,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialogset.functions import labels as L
-from dialogset.operators.scan import join_null_safe, ordered_scan
+from dialogset.operators.scan import join_null_safe, ordered_scan, split_hot, window_scan
 from dialogset.schema import CONV_KEYS
 
 DEFAULT_CHUNK = 1 << 16  # characters per lookup partition
+HALO = 128  # targets per block
 _ROW_TYPE = "array<struct<kind:int,which:string,q:bigint,chunk:bigint,key:bigint,cand:bigint>>"
 
 
@@ -40,22 +53,18 @@ def utterance_positions(msgs: DataFrame, keys=CONV_KEYS) -> DataFrame:
 
     Only narrow columns take part in the scan; the texts stay where they are.
     ``line_num`` must be unique within a conversation (checked in the scan)."""
-    narrow = msgs.select(
-        *keys,
-        "line_num",
-        F.length("text").alias("n_chars"),
-        L.utterance_positive("label").alias("is_pos"),
-    )
-    s = ordered_scan(
-        narrow,
-        keys,
-        [("line_num", True)],
-        sums=["n_chars", "is_pos"],
-        prev=["line_num"],
-        firsts=["n_chars"],
-        seq_col="idx",
-        size_col="n_turns",
-    )
+    s = ordered_scan(_measured(msgs, keys), keys, seq_col="idx", size_col="n_turns", **_SCAN)
+    return _positions(s, keys)
+
+
+_SCAN = dict(order=[("line_num", True)], sums=["n_chars", "is_pos"], prev=["line_num"], firsts=["n_chars"])
+
+
+def _measured(msgs: DataFrame, keys, *extra: str) -> DataFrame:
+    return msgs.select(*keys, "line_num", F.length("text").alias("n_chars"), L.utterance_positive("label").alias("is_pos"), *extra)
+
+
+def _positions(scanned: DataFrame, keys, *extra: str) -> DataFrame:
     # line_num must order a conversation; a tie would be ambiguous (and would
     # multiply rows in the text join), so it fails the query instead
     tie = (F.col("idx") > 0) & F.col("line_num_prev").eqNullSafe(F.col("line_num"))
@@ -63,7 +72,7 @@ def utterance_positions(msgs: DataFrame, keys=CONV_KEYS) -> DataFrame:
         tie,
         F.raise_error(F.concat(F.lit("duplicate line_num in conversation: "), F.to_json(F.struct(*keys, "line_num")))),
     ).otherwise(F.col("idx"))
-    return s.select(
+    return scanned.select(
         *keys,
         "line_num",
         idx.cast("long").alias("idx"),
@@ -74,6 +83,7 @@ def utterance_positions(msgs: DataFrame, keys=CONV_KEYS) -> DataFrame:
         F.col("n_chars_first").alias("first_chars"),
         "is_pos",
         F.col("is_pos_before").alias("pos_before"),
+        *extra,
     )
 
 
@@ -151,20 +161,84 @@ def _no_small_pieces_keep(ctx: int) -> F.Column:
     return (~cond) | (~cond_next) | (F.col("idx") == F.col("n_turns") - 1)
 
 
-def _members(msgs: DataFrame, ranges: DataFrame, keys, extra) -> DataFrame:
-    """Join texts to the target ranges of their utterance (``_lo .. _hi``)
-    and emit one row per (target, member)."""
-    rows = join_null_safe(msgs.select(*keys, "line_num", "text", "label"), ranges, [*keys, "line_num"])
-    elem = F.struct(
-        F.col("idx").alias("idx"),
-        F.col("text").alias("text"),
-        F.col("label").alias("label"),
-        F.col("line_num").alias("line_num"),
-        *extra,
-    )
-    lo, hi = F.col("_lo").cast("long"), F.col("_hi").cast("long")
-    targets = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<long>"))
-    return rows.select(*keys, F.explode(targets).alias("target_idx"), elem.alias("e"))
+def _framed(pos: DataFrame, ctx: int, keys) -> DataFrame:
+    """``start_idx`` and ``end_idx`` from range frames, for conversations a task may hold."""
+    if ctx <= 0:
+        return context_bounds(pos, ctx, keys)
+    conv = Window.partitionBy(*keys)
+    spoken = F.when(F.col("n_chars") > 0, F.col("idx"))
+    pos = pos.withColumn("_end", F.col("chars_before") + F.col("n_chars"))
+    back = conv.orderBy("chars_before").rangeBetween(Window.unboundedPreceding, -ctx)
+    ahead = conv.orderBy(F.desc("_end")).rangeBetween(Window.unboundedPreceding, -ctx)
+    return pos.select(
+        "*",
+        F.coalesce(F.max(spoken).over(back), F.lit(0)).cast("long").alias("start_idx"),
+        F.coalesce(F.min(spoken).over(ahead), F.col("n_turns") - 1).cast("long").alias("end_idx"),
+    ).drop("_end")
+
+
+def _block_rows(rows: DataFrame, keys, two_sided: bool) -> DataFrame:
+    """keys, ``halo``, ``e``: every utterance once per block that needs it.
+    ``rows``: positions with ``start_idx``, ``end_idx``, ``cut`` (the first
+    target that is kept), text and label. Utterances in no kept target's
+    window are left out here."""
+    idx = F.col("idx")
+    lo = F.col("start_idx") if two_sided else F.greatest(idx, F.col("cut"))
+    hi = F.col("end_idx")
+    halo = F.when(lo <= hi, F.sequence(F.floor(lo / HALO), F.floor(hi / HALO))).otherwise(F.array().cast("array<long>"))
+    elem = F.struct("idx", "line_num", "text", "label", "start_idx", "end_idx", (idx >= F.col("cut")).alias("target"))
+    return rows.select(*keys, F.explode(halo).alias("halo"), elem.alias("e"))
+
+
+def _windows(blocks: DataFrame, keys, two_sided: bool) -> DataFrame:
+    """keys and ``x``: idx, line_num, text, label, start_idx, end_idx and the
+    members ``w`` of every target's window."""
+    held = blocks.groupBy(*keys, "halo").agg(F.array_sort(F.collect_list("e")).alias("es"))
+
+    def window(x):
+        last = x["end_idx"] if two_sided else x["idx"]
+        members = F.slice(F.col("es"), (x["start_idx"] - F.col("es")[0]["idx"] + 1).cast("int"), (last - x["start_idx"] + 1).cast("int"))
+        return F.struct(x["idx"].alias("idx"), x["line_num"].alias("line_num"), x["text"].alias("text"), x["label"].alias("label"),
+                        x["start_idx"].alias("start_idx"), x["end_idx"].alias("end_idx"), members.alias("w"))
+
+    own = F.filter("es", lambda x: x["target"] & (F.floor(x["idx"] / HALO) == F.col("halo")))
+    return held.select(*keys, F.explode(F.transform(own, window)).alias("x"))
+
+
+def _with_cut(bounds: DataFrame, ctx: int, keys, first: int, no_small_pieces: bool, whole=None) -> DataFrame:
+    """Add ``cut``, the first target that is kept: ``first``, or with W3 the
+    first at or after it whose flag says so (the targets dropped are a prefix)."""
+    if not (no_small_pieces and ctx > 0):
+        return bounds.withColumn("cut", F.lit(first).cast("long"))
+    kept = F.min(F.when(_no_small_pieces_keep(ctx) & (F.col("idx") >= first), F.col("idx")))
+    if whole is not None:
+        return bounds.withColumn("cut", kept.over(whole))
+    return join_null_safe(bounds, bounds.groupBy(*keys).agg(kept.alias("cut")), keys)
+
+
+def member_blocks(
+    msgs: DataFrame, ctx: int, keys=CONV_KEYS, chunk: int | None = None, positions: DataFrame | None = None,
+    two_sided: bool = False, no_small_pieces: bool = False,
+) -> DataFrame:
+    """The halo blocks' rows of all conversations of at least two utterances
+    (P4). With ``positions`` given, or for hot conversations, positions are
+    narrow rows and meet the texts by ``line_num``."""
+    first = 0 if two_sided else 1
+    cold, hot, _ = (None, msgs, 0) if positions is not None else split_hot(msgs, keys)
+    out = []
+    if cold is not None:
+        scanned = window_scan(_measured(cold, keys, "text", "label"), keys, seq_col="idx", size_col="n_turns", **_SCAN)
+        rows = _framed(_positions(scanned, keys, "text", "label").where(F.col("n_turns") >= 2), ctx, keys)
+        rows = _with_cut(rows, ctx, keys, first, no_small_pieces, Window.partitionBy(*keys))
+        out.append(_block_rows(rows, keys, two_sided))
+    if hot is not None:
+        pos = positions if positions is not None else utterance_positions(hot, keys)
+        bounds = context_bounds(pos.where(F.col("n_turns") >= 2), ctx, keys, chunk)
+        bounds = _with_cut(bounds, ctx, keys, first, no_small_pieces)
+        narrow = bounds.select(*keys, "line_num", "idx", "start_idx", "end_idx", "cut")
+        rows = join_null_safe(hot.select(*keys, "line_num", "text", "label"), narrow, [*keys, "line_num"])
+        out.append(_block_rows(rows, keys, two_sided))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def one_sided_examples(
@@ -181,27 +255,15 @@ def one_sided_examples(
 
     Columns: keys, ``target_idx``, ``start_idx``, ``target_line``, ``text``,
     ``utterances``, ``coarse``, ``multi``, ``seq_coarse``, ``seq_multi``."""
-    pos = positions if positions is not None else utterance_positions(msgs, keys)
-    pos = pos.where(F.col("n_turns") >= 2)  # P4
-    keep = _no_small_pieces_keep(ctx) if (no_small_pieces and ctx > 0) else F.lit(True)
-    if ctx > 0:
-        # utterance j belongs to the windows of targets j .. end(j)
-        ranges = _lookups(pos, ctx, keys, chunk or max(DEFAULT_CHUNK, ctx), ("f",)).withColumn("_hi", F.col("_hit"))
-    else:
-        ranges = pos.withColumn("_hi", F.col("idx"))
-    ranges = ranges.withColumn("_lo", F.greatest(F.col("idx"), F.lit(1))).withColumn("keep", keep)
-    members = _members(msgs, ranges, keys, [F.col("keep").alias("keep")])
-    win = members.groupBy(*keys, "target_idx").agg(F.array_sort(F.collect_list("e")).alias("w"))
-    tgt = F.element_at(F.col("w"), -1)  # the target is the last member
-    out = win.select(
+    x = _windows(member_blocks(msgs, ctx, keys, chunk, positions, False, no_small_pieces), keys, False)
+    out = x.select(
         *keys,
-        "target_idx",
-        F.col("w")[0]["idx"].alias("start_idx"),
-        tgt["line_num"].alias("target_line"),
-        tgt["keep"].alias("_keep"),
-        F.transform("w", lambda x: x["text"]).alias("utterances"),
-        F.transform("w", lambda x: x["label"]).alias("labels"),
-    ).where(F.col("_keep"))
+        F.col("x.idx").alias("target_idx"),
+        F.col("x.start_idx").alias("start_idx"),
+        F.col("x.line_num").alias("target_line"),
+        F.transform("x.w", lambda m: m["text"]).alias("utterances"),
+        F.transform("x.w", lambda m: m["label"]).alias("labels"),
+    )
     return out.select(
         *keys,
         "target_idx",
@@ -228,33 +290,18 @@ def two_sided_examples(
     ``text`` = the target, ``context`` = ``start..end`` joined by ``sep``
     (the target included), the budget applied on each side; labels A4/A5.
     ``ctx <= 0`` gives an empty context, as in the reference."""
-    pos = positions if positions is not None else utterance_positions(msgs, keys)
-    pos = pos.where(F.col("n_turns") >= 2)  # P4
-    if ctx > 0:
-        # utterance j belongs to the windows of targets start(j) .. j-1 (its
-        # backward query) and j .. end(j) (its forward query)
-        found = _lookups(pos, ctx, keys, chunk or max(DEFAULT_CHUNK, ctx), ("b", "f"))
-        ranges = found.select(
-            "*",
-            F.when(F.col("_which") == "b", F.col("_hit")).otherwise(F.col("idx")).alias("_lo"),
-            F.when(F.col("_which") == "b", F.col("idx") - 1).otherwise(F.col("_hit")).alias("_hi"),
-        )
-    else:
-        ranges = pos.withColumn("_lo", F.col("idx")).withColumn("_hi", F.col("idx"))
-    members = _members(msgs, ranges, keys, [])
-    win = members.groupBy(*keys, "target_idx").agg(F.array_sort(F.collect_list("e")).alias("w"))
-    tgt = F.filter("w", lambda x: x["idx"] == F.col("target_idx"))[0]
-    ctx_members = F.col("w") if ctx > 0 else F.filter("w", lambda x: F.lit(False))
-    out = win.select(
+    x = _windows(member_blocks(msgs, ctx, keys, chunk, positions, True), keys, True)
+    members = F.col("x.w") if ctx > 0 else F.filter("x.w", lambda m: F.lit(False))
+    out = x.select(
         *keys,
-        "target_idx",
-        (F.col("w")[0]["idx"] if ctx > 0 else F.col("target_idx")).alias("start_idx"),
-        (F.element_at("w", -1)["idx"] if ctx > 0 else F.col("target_idx") - 1).alias("end_idx"),
-        tgt["line_num"].alias("target_line"),
-        tgt["text"].alias("text"),
-        tgt["label"].alias("target_label"),
-        F.transform(ctx_members, lambda x: x["text"]).alias("utterances"),
-        F.transform(ctx_members, lambda x: x["label"]).alias("labels"),
+        F.col("x.idx").alias("target_idx"),
+        F.col("x.start_idx").alias("start_idx"),
+        (F.col("x.end_idx") if ctx > 0 else F.col("x.idx") - 1).alias("end_idx"),
+        F.col("x.line_num").alias("target_line"),
+        F.col("x.text").alias("text"),
+        F.col("x.label").alias("target_label"),
+        F.transform(members, lambda m: m["text"]).alias("utterances"),
+        F.transform(members, lambda m: m["label"]).alias("labels"),
     )
     return out.select(
         *keys,

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from dialogset.operators.conversations import tag_donors
 from dialogset.operators.quality import EMOJI_PATTERN, first_occurrence_dedup, last_context_dedup
 from dialogset.operators.splits import dev_test_cut
-from dialogset.operators.windows import one_sided_examples, two_sided_examples, utterance_positions
+from dialogset.operators.windows import one_sided_examples, two_sided_examples
 from dialogset.schema import CONV_KEYS
 from dialogset.session import run_folder, scratch_path
 from dialogset.sources.messages import quarantine_null_text
@@ -47,10 +47,9 @@ def examples(msgs: DataFrame, cfg: DatasetConfig) -> DataFrame:
     conversation attribute: a donor belongs to one split)."""
     tagged = tagged_messages(msgs, cfg)
     keys = [*CONV_KEYS, "split"]
-    pos = utterance_positions(tagged, keys)
     if cfg.two_sided:
-        return two_sided_examples(tagged, cfg.ctx, cfg.sep, keys=keys, positions=pos)
-    return one_sided_examples(tagged, cfg.ctx, cfg.sep, cfg.no_small_pieces, keys=keys, positions=pos)
+        return two_sided_examples(tagged, cfg.ctx, cfg.sep, keys=keys)
+    return one_sided_examples(tagged, cfg.ctx, cfg.sep, cfg.no_small_pieces, keys=keys)
 
 
 def build_dataset(msgs: DataFrame, cfg: DatasetConfig) -> tuple[DataFrame, DataFrame | None]:

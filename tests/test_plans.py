@@ -27,20 +27,22 @@ def test_annotated_filter_prunes_text(spark):
     assert schemas and all("text" not in s for s in schemas)
 
 
-def test_window_assembly_keys_include_target(spark):
-    """Examples are assembled by (conversation, target). With hot
-    conversations present (threshold forced to 1 row), the budget lookups are
-    partitioned by (conversation, slice) as well: a hot conversation spreads
-    over many reducers."""
-    p = plan_of(QUERIES["w4a_one_sided"](spark, SF0001))
-    parts = re.findall(r"hashpartitioning\(([^)]*)\)", p)
-    assert any("target_idx" in x for x in parts)
-    spark.conf.set("dialogset.scan.hotGroupRows", "1")
+@pytest.mark.parametrize("name", ["w4a_one_sided_lines", "w4b_two_sided_lines", "w3_no_small_pieces_lines", "w4a_one_sided", "w4b_two_sided"])
+def test_windows_move_a_text_once(spark, name):
+    """One exchange, by conversation, carries the texts; windows are assembled
+    inside it. With hot conversations present (threshold forced to 1 row)
+    theirs are assembled by (conversation, block), and the budget lookups are
+    partitioned by (conversation, slice): a hot conversation spreads over many
+    reducers."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # sizes as at scale: nothing small to broadcast
     try:
-        p = plan_of(QUERIES["w4a_one_sided"](spark, SF0001))
+        p = plan_of(QUERIES[name](spark, SF0001))
+        assert p.count("Exchange") == 1 and "ReusedExchange" not in p and "Join" not in p
+        assert re.findall(r"hashpartitioning\(([^)]*)\)", p)[0].count("#") == 3  # the conversation's three keys
+        spark.conf.set("dialogset.scan.hotGroupRows", "1")
+        p = plan_of(QUERIES[name](spark, SF0001))
     finally:
         spark.conf.unset("dialogset.scan.hotGroupRows")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     parts = re.findall(r"hashpartitioning\(([^)]*)\)", p)
-    assert any("chunk" in x for x in parts) and any("_blk" in x for x in parts)
+    assert any("chunk" in x for x in parts) and any("_blk" in x for x in parts) and any("halo" in x for x in parts)

@@ -166,3 +166,37 @@ def test_scan_blocks_split_hot_group(spark):
     s = scan.ordered_scan(df, ["g"], [("o", True)], sums=["v"], blocks=8, hot_group_rows=100)
     rows = s.select("o", "seq", "v_before", "group_n").collect()
     assert all(r.seq == r.o and r.v_before == r.o and r.group_n == 5000 for r in rows)
+
+
+def test_dropped_targets_never_reach_the_blocks(spark, monkeypatch):
+    """W3 cuts the targets before any row is copied: with blocks of one target
+    the rows are the members of kept windows, and no more."""
+    from dialogset.operators import windows
+    from dialogset.operators.windows import member_blocks
+
+    monkeypatch.setattr(windows, "HALO", 1)
+
+    convs = [(0, ["aa"] * 40, [Z] * 38 + [P, Z]), (1, ["bb"] * 30, [Z] * 30), (2, ["c" * 50] * 6, [Z] * 6)]
+    df = message_frame(spark, convs)
+    for limit in (None, "1"):
+        if limit:
+            spark.conf.set("dialogset.scan.hotGroupRows", limit)
+        try:
+            ex = one_sided_examples(df, 10, no_small_pieces=True).collect()
+            rows = member_blocks(df, 10, no_small_pieces=True).collect()
+        finally:
+            spark.conf.unset("dialogset.scan.hotGroupRows")
+        members = sorted((r.conv_id, r.target_idx, i) for r in ex for i in range(r.start_idx, r.target_idx + 1))
+        assert sorted((r.conv_id, r.halo, r.e.idx) for r in rows) == members
+        assert {(r.conv_id, r.e.idx) for r in rows if r.e.target} == {(r.conv_id, r.target_idx) for r in ex}
+        assert len(members) < member_blocks(df, 10).count()
+
+
+@pytest.mark.parametrize("halo", [1, 2, 7])
+def test_any_block_size_gives_the_same_windows(spark, monkeypatch, halo):
+    from dialogset.operators import windows
+
+    df = message_frame(spark, EDGE)
+    want = sorted(map(str, one_sided_examples(df, 7).collect())), sorted(map(str, two_sided_examples(df, 7).collect()))
+    monkeypatch.setattr(windows, "HALO", halo)
+    assert (sorted(map(str, one_sided_examples(df, 7).collect())), sorted(map(str, two_sided_examples(df, 7).collect()))) == want
