@@ -14,6 +14,7 @@ from which all metrics of counts follow without another look at the input.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -248,35 +249,50 @@ def mean_interval(df: DataFrame, value: str = "f1", group: Sequence[str] = ()) -
 
 # ---------------------------------------------------------------- BLEU
 
-def _ngrams(tok: Column, n: int) -> Column:
+def _ngrams(tok: Column, n: int, side: int) -> Column:
     idx = F.when(F.size(tok) >= n, F.sequence(F.lit(0), F.size(tok) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(idx, lambda i: F.array_join(F.slice(tok, i + 1, n), "\u0001"))
+    return F.transform(idx, lambda i: F.struct(F.array_join(F.slice(tok, i + 1, n), "\u0001").alias("gram"), F.lit(side).alias("side")))
+
+
+def _clipped(reference: Column, hypothesis: Column, n: int) -> Column:
+    """n-grams of the hypothesis found in the reference, each at most as often
+    as there: both sides sorted together, equal grams counted in one walk."""
+    grams = F.array_sort(F.concat(_ngrams(reference, n, 0), _ngrams(hypothesis, n, 1)))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(None).cast("string").alias("gram"), zero.alias("r"), zero.alias("h"), zero.alias("match"))
+
+    def step(acc: Column, x: Column) -> Column:
+        same = x["gram"].eqNullSafe(acc["gram"])
+        before = lambda c: F.when(same, acc[c]).otherwise(zero)
+        done = acc["match"] + F.when(same, zero).otherwise(F.least(acc["r"], acc["h"]))
+        return F.struct(x["gram"].alias("gram"), (before("r") + 1 - x["side"]).alias("r"), (before("h") + x["side"]).alias("h"), done.alias("match"))
+
+    return F.aggregate(grams, start, step, lambda acc: acc["match"] + F.least(acc["r"], acc["h"]))
 
 
 def corpus_bleu(df: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis",
                 row_id: str = "row_id", max_n: int = 4) -> DataFrame:
     """Corpus BLEU (Papineni et al. 2002) over white-space tokens, one
     reference per row, no smoothing: geometric mean of clipped n-gram
-    precisions (n = 1..max_n) times the brevity penalty."""
+    precisions (n = 1..max_n) times the brevity penalty. Grams are matched
+    inside their row; only the sums of the counts leave a task. Rows with a
+    null side are left out (``row_id`` is not needed and may be missing)."""
     split = lambda c: F.filter(F.split(F.trim(F.col(c)), "\\s+"), lambda x: x != "")
-    toks = df.select(row_id, split(reference).alias("rt"), split(hypothesis).alias("ht"))
-
-    def tagged(c: str, n: int, h: int) -> Column:
-        return F.transform(_ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(h).alias("h"), g.alias("gram")))
-
-    both = [tagged(c, n, h) for n in range(1, max_n + 1) for c, h in (("rt", 0), ("ht", 1))]
-    grams = toks.select(row_id, F.inline(F.concat(*both)))
-    per_gram = grams.groupBy(row_id, "n", "gram").agg(F.sum("h").alias("hc"), F.sum(1 - F.col("h")).alias("rc"))
-    clipped = per_gram.groupBy("n").agg(
-        F.sum(F.least("hc", "rc")).alias("match"), F.sum("hc").alias("total"), F.sum("rc").alias("r_total")
+    toks = df.select(split(reference).alias("rt"), split(hypothesis).alias("ht")).where("rt is not null and ht is not null")
+    orders = range(1, max_n + 1)
+    rows = toks.select(
+        F.size("rt").alias("rn"), F.size("ht").alias("hn"), *[_clipped(F.col("rt"), F.col("ht"), n).alias(f"m{n}") for n in orders]
     )
-    single = F.col("n") == 1  # single words: the lengths of both sides
-    stats = clipped.agg(
-        F.count(F.when(F.col("match") > 0, 1)).alias("n_pos"),
-        F.sum(F.log(F.when(F.col("match") > 0, F.col("match") / F.col("total")))).alias("log_p"),
-        F.sum(F.when(single, F.col("r_total"))).alias("r_len"),
-        F.sum(F.when(single, F.col("total"))).alias("h_len"),
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    sums = rows.agg(
+        total("rn").alias("r_len"),
+        total("hn").alias("h_len"),
+        *[total(f"m{n}").alias(f"match{n}") for n in orders],
+        *[total(F.greatest(F.col("hn") - (n - 1), F.lit(0))).alias(f"total{n}") for n in orders],
     )
+    found = [F.col(f"match{n}") > 0 for n in orders]
+    logs = [F.when(ok, F.log(F.col(f"match{n}") / F.col(f"total{n}"))).otherwise(F.lit(0.0)) for n, ok in zip(orders, found)]
+    stats = sums.select("r_len", "h_len", reduce(lambda a, b: a + b, [ok.cast("int") for ok in found]).alias("n_pos"), reduce(lambda a, b: a + b, logs).alias("log_p"))
     bp = F.when(F.col("h_len") >= F.col("r_len"), 1.0).otherwise(F.exp(1.0 - F.col("r_len") / F.col("h_len")))
     return stats.select(
         F.when((F.col("n_pos") < max_n) | (F.col("h_len") == 0), F.lit(0.0))

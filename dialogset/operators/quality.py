@@ -6,8 +6,9 @@ over the text group:
 
 * W5 keeps row number 1 of every text: the limit on the row number is applied
   inside every map task first, so a hot text sends one row a task.
-* W6 needs the previous row of the same text; it uses ``ordered_scan``,
-  which splits a hot text over several range blocks.
+* W6 needs the previous row of the same text; ``ordered_scan``, which splits
+  a hot text over several range blocks, runs over narrow rows (digests and
+  order keys, pinned), and only the keys of rejected rows meet the examples.
 
 Texts are told apart by their SHA-256 (32 bytes), so no sort, exchange or
 range sample carries a raw text as its key.
@@ -16,11 +17,13 @@ range sample carries a raw text as its key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialogset.operators.scan import ordered_scan
+from dialogset.session import pin
 
 # The code points with Unicode's public Emoji property (without
 # digits, # and *, which count in keycaps only, and without regional
@@ -137,14 +140,16 @@ def last_context_dedup(
     clean = examples.where(~is_noise(F.concat(F.col("text"), F.col("context")), ratio, pattern))
     if exact:
         return _first_rows(clean, partition, ["text", "context"], order)
-    scanned = ordered_scan(
-        clean.select("*", _digest("text").alias("_t"), _digest("context").alias("_c")),
-        [*partition, "_t"],
-        list(order),
-        prev=["_c"],
-        seq_col="_seq",
-        size_col="_n",
-        materialize=True,
-    )
-    kept = scanned.where((F.col("_seq") == 0) | ~F.col("_c").eqNullSafe(F.col("_c_prev")))
-    return kept.select(*examples.columns)
+    names = [c for c, _ in order]
+    key = list(dict.fromkeys([*partition, *names]))
+    # examples are built twice and never written: the scan sees 32-byte digests
+    narrow = pin(clean.select(*key, _digest("text").alias("_t"), _digest("context").alias("_c")), "dedup-keys")
+    scanned = ordered_scan(narrow, [*partition, "_t"], list(order), prev=["_c", *names], seq_col="_seq", size_col="_n")
+    later = F.col("_seq") > 0
+    tie = later & reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_prev")) for c in names])
+    again = later & F.col("_c").eqNullSafe(F.col("_c_prev"))
+    # rows are told apart by their order: without a total order none could be rejected alone
+    checked = F.when(tie, F.raise_error(F.lit("examples of one text with equal order keys")).cast("boolean")).otherwise(again)
+    rejected = scanned.where(checked).select(*[F.col(c).alias(f"_r_{c}") for c in key])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in key])
+    return clean.join(rejected, same, "left_anti")

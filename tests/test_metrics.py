@@ -134,3 +134,28 @@ def test_bleu(spark):
     assert abs(M.corpus_bleu(df).first().bleu - bleu_ref(refs, hyps)) < 1e-12
     short = spark.createDataFrame([("0", "a b c", "a b")], "row_id string, reference string, hypothesis string")
     assert M.corpus_bleu(short).first().bleu == 0.0
+
+
+def test_bleu_matches_grams_inside_the_row(spark):
+    """Against dictionaries of counts, with repeated, empty and null sides; the
+    plan has one exchange, of sums."""
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice("ab cd e f".split()) for _ in range(n))
+    rows = [(text(rng.randint(0, 12)), text(rng.randint(0, 12))) for _ in range(60)] + [("a b c d e", "a b c d e"), ("", "x"), (None, "a"), ("a", None), ("the " * 5000, "the " * 4000 + "cat")]
+    df = spark.createDataFrame(rows, "reference string, hypothesis string").repartition(3)
+    match, total, r_len, h_len = [0] * 4, [0] * 4, 0, 0
+    for r, h in rows:
+        if r is None or h is None:
+            continue
+        r, h = r.split(), h.split()
+        r_len, h_len = r_len + len(r), h_len + len(h)
+        for n in range(1, 5):
+            a, b = (Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (r, h))
+            match[n - 1] += sum((a & b).values())
+            total[n - 1] += sum(b.values())
+    want = math.exp(min(0, 1 - r_len / h_len) + sum(math.log(m / t) for m, t in zip(match, total)) / 4)
+    got = M.corpus_bleu(df)
+    assert got.first().bleu == pytest.approx(want, rel=1e-12)
+    p = got._jdf.queryExecution().executedPlan().toString()
+    assert p.count("Exchange") - p.count("Exchange RoundRobin") == 1 and "SinglePartition" in p
+    assert M.corpus_bleu(df.where("false")).first().bleu == 0.0

@@ -82,3 +82,51 @@ def test_hot_text_dedup(spark):
     exp = brute.last_context_dedup([dict(text=x[5], context=x[6], key=(x[3], x[4])) for x in ordered], lambda t: False)
     got = last_context_dedup(df, 0.2).collect()
     assert sorted((r.conv_id, r.target_idx) for r in got) == sorted(e["key"] for e in exp)
+
+
+def test_last_context_scan_sees_narrow_rows_only(spark, monkeypatch):
+    """What is pinned and exchanged for the scan holds no text and no array."""
+    from pyspark.sql.types import ArrayType
+
+    from dialogset.operators import quality, scan
+    from dialogset.session import pin
+
+    seen = []
+
+    def recorded(df, name="pin"):
+        seen.append(df.schema)
+        return pin(df, name)
+
+    monkeypatch.setattr(quality, "pin", recorded)
+    monkeypatch.setattr(scan, "pin", recorded)
+    rows = [("test", 1, 1, c, t, x, ctx, [x]) for c in range(3) for t, (x, ctx) in enumerate([("a", "p"), ("a", "p"), ("a", "q"), ("b", "p"), ("a", "q")])]
+    df = spark.createDataFrame(rows, "split string, user_id long, thread_id long, conv_id long, target_idx long, text string, context string, utterances array<string>")
+    want = None
+    for limit in (None, "2"):
+        if limit:
+            spark.conf.set("dialogset.scan.hotGroupRows", limit)
+        try:
+            got = sorted((r.conv_id, r.target_idx) for r in last_context_dedup(df, 0.2).collect())
+        finally:
+            spark.conf.unset("dialogset.scan.hotGroupRows")
+        want = want or got
+        # by text "a" in order (conv ascending, target descending): q p p | q q... runs of one context keep their first
+        assert got == want
+    order = sorted((c, -t, x, ctx) for _, _, _, c, t, x, ctx, _ in rows)
+    last, plain = {}, []
+    for c, t, x, ctx in order:
+        if last.get(x) != ctx:
+            plain.append((c, -t))
+        last[x] = ctx
+    assert want == sorted(plain)
+    assert len(seen) >= 3
+    for schema in seen:
+        assert not {"text", "context", "utterances"} & set(schema.names)
+        assert not any(isinstance(f.dataType, ArrayType) for f in schema.fields)
+
+
+def test_last_context_needs_a_total_order(spark):
+    rows = [("test", 1, 1, 1, 5, "a", "p"), ("test", 1, 1, 1, 5, "a", "p")]
+    df = spark.createDataFrame(rows, "split string, user_id long, thread_id long, conv_id long, target_idx long, text string, context string")
+    with pytest.raises(Exception, match="equal order keys"):
+        last_context_dedup(df, 0.2).collect()
