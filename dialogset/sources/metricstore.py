@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogset.schema import METRICS
+from dialogset.sources.publish import read_published, write_published
 
 
 def to_metrics(df: DataFrame, run_id: str, split_id: str, tag: str) -> DataFrame:
@@ -20,14 +21,16 @@ def to_metrics(df: DataFrame, run_id: str, split_id: str, tag: str) -> DataFrame
     )
 
 
+METRIC_KEYS = ("run_id", "split_id", "tag")
+
+
 def write_metrics(metrics: DataFrame, root: str) -> None:
-    """Write whole reports: the records of a run, split and tag replace those
-    written before, so a rerun does not double them."""
-    metrics.select(*[f.name for f in METRICS.fields]).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("run_id", "split_id", "tag").parquet(root)
+    """Write whole reports and publish them in one step: the records of a run,
+    split and tag replace those written before, so a rerun does not double
+    them, and a killed run changes nothing."""
+    write_published(metrics.select(*[f.name for f in METRICS.fields]), root, METRIC_KEYS)
 
 
 def read_metrics(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
-    df = spark.read.schema(METRICS).parquet(root).select(*METRICS.names)
+    df = read_published(spark, root, METRIC_KEYS, METRICS).select(*METRICS.names)
     return df.where(F.col("run_id") == str(run_id)) if run_id is not None else df

@@ -10,32 +10,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from dialogset.sources.publish import read_published, write_published
 
 GRANULARITIES = ("coarse", "multi", "seq_coarse", "seq_multi")
 
 
+SPLIT_KEYS = ("split_id", "tag", "part")
+
+
 def write_splits(dataset: DataFrame, root: str, split_id: str, tag: str) -> None:
     """Write a dataset (with column ``part``) under ``root`` partitioned by
-    ``split_id, tag, part``. Parts written before are replaced, others stay, so
-    a second run gives the same dataset."""
-    (
-        dataset.withColumn("split_id", F.lit(str(split_id)))
-        .withColumn("tag", F.lit(tag))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("split_id", "tag", "part")
-        .parquet(root)
-    )
+    ``split_id, tag, part`` and publish it in one step. Parts written before are
+    replaced, others stay, so a second run gives the same dataset; a killed
+    run changes nothing."""
+    tagged = dataset.withColumn("split_id", F.lit(str(split_id))).withColumn("tag", F.lit(tag))
+    write_published(tagged, root, SPLIT_KEYS)
 
 
 def read_splits(spark: SparkSession, root: str) -> DataFrame:
-    """All split files under ``root``; partition values are read as the strings
-    they are (directory discovery would turn ``split_id=01`` into 1)."""
-    found = spark.read.parquet(root).schema
-    names = ("split_id", "tag", "part")
-    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in names else f for f in found.fields])
-    return spark.read.schema(schema).parquet(root)
+    """All published split files under ``root``; partition values are read as
+    the strings they are (``split_id=01`` is not 1)."""
+    return read_published(spark, root, SPLIT_KEYS)
 
 
 def read_split(spark: SparkSession, root: str, split_id: str, tag: str, part: str | None = None) -> DataFrame:

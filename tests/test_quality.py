@@ -1,6 +1,7 @@
 """P5/H3 noise filter, W5/W6 dedup, A6 counts."""
 
 import brute
+import pytest
 from pyspark.sql import functions as F
 
 from dialogset.operators.quality import emoji_count, first_occurrence_dedup, is_noise, last_context_dedup
