@@ -1,7 +1,7 @@
 """K2/K3 re-aimed: the reference fine-tunes transformers on one machine; here
-the same training data (oversampled, class-weighted) trains Spark ML
-pipelines that run distributed: tokens -> hashed term frequencies -> IDF ->
-logistic regression."""
+the same training data (oversampled, class-weighted) trains models that run
+distributed: tokens -> hashed term frequencies -> IDF -> logistic regression,
+K2 as a Spark ML pipeline, K3 by one joint fit of all label positions."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dialogset.functions.text import TOKEN_PATTERN
 from dialogset.operators.splits import class_ratio, oversample
+from dialogset.plans.joint import JointModel, fit_joint, predict_joint
 
 
 def _features(text_col: str, num_features: int):
@@ -48,25 +49,12 @@ def predict_binary(model: PipelineModel, df: DataFrame, keep: list[str]) -> Data
 
 
 def train_multilabel(train: DataFrame, width: int, text_col: str = "text", label: str = "multi",
-                     num_features: int = 1 << 18, max_iter: int = 50) -> list[PipelineModel]:
-    """K3: one logistic regression per label position on shared features."""
-    feats = Pipeline(stages=_features(text_col, num_features)).fit(train)
-    featurised = feats.transform(train).select("_feat", label).cache()
-    models = []
-    for i in range(width):
-        lr = LogisticRegression(featuresCol="_feat", labelCol="_y", maxIter=max_iter,
-                                rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred")
-        models.append(lr.fit(featurised.withColumn("_y", F.get(F.col(label), i).cast("double"))))
-    featurised.unpersist()
-    return [feats, *models]
+                     num_features: int = 1 << 18, max_iter: int = 50) -> JointModel:
+    """K3: one logistic regression per label position, all fitted by the same
+    passes over the rows."""
+    return fit_joint(train, width, text_col, label, num_features, max_iter)
 
 
-def predict_multilabel(models: list, df: DataFrame, keep: list[str]) -> DataFrame:
+def predict_multilabel(model: JointModel, df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """``probs``: per-position positive-class probability (sigmoid of the margin)."""
-    feats, heads = models[0], models[1:]
-    cur = feats.transform(df)
-    cols = []
-    for i, m in enumerate(heads):
-        cur = m.transform(cur).withColumnRenamed("_prob", f"_p{i}").drop("_raw", "_pred")
-        cols.append(vector_to_array(F.col(f"_p{i}"))[1])
-    return cur.select(*keep, F.array(*cols).alias("probs"))
+    return predict_joint(model, df, keep, text_col)
