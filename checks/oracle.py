@@ -631,6 +631,8 @@ def statements() -> dict[str, str]:
     sq["w4a_one_sided"] = _sel(W4A_COLS, one, "mx")
     sq["w4a_one_sided_1000"] = _sel(W4A_COLS, one_sided(mx, CTX_LONG, False), "mx")
     sq["w4a_one_sided_lines"] = _sel(W4A_COLS, one_sided(lx, CTX, False), "lx")
+    sq["w4a_one_sided_bucketed"] = sq["w4a_one_sided_lines"]
+    sq["a1_conversations_bucketed"] = sq["a1_conversations"]
     sq["w4b_two_sided"] = _sel(W4B_COLS, two, "mx")
     sq["w4b_two_sided_1000"] = _sel(W4B_COLS, two_sided(mx, CTX_LONG), "mx")
     sq["w4b_two_sided_lines"] = _sel(W4B_COLS, two_sided(lx, CTX), "lx")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialogset.operators.scan import join_null_safe
+from dialogset.operators.scan import join_null_safe, split_hot
+from dialogset.operators.windows import utterance_positions, wide_positions
 from dialogset.schema import CONV_KEYS
 
 # Donor tables up to this many rows are broadcast; the size is known on the
@@ -42,32 +45,36 @@ def tag_donors(msgs: DataFrame, donors: dict[str, list[int]]) -> DataFrame:
     return msgs.where(listed).join(table, "user_id")
 
 
-def conversation_sizes(positions: DataFrame, keys=CONV_KEYS) -> DataFrame:
+def conversation_sizes(msgs: DataFrame, keys=CONV_KEYS) -> DataFrame:
     """P4 input: one row per conversation with ``n_turns``."""
-    return positions.where(F.col("idx") == 0).select(*keys, "n_turns")
+    return msgs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_turns"))
 
 
 def conversations(
     msgs: DataFrame,
     positions: DataFrame | None = None,
     keys=CONV_KEYS,
-    max_turns_per_row: int = 10_000,
+    *,
+    max_turns_per_row: int,
 ) -> DataFrame:
     """A1: conversations as ordered parallel arrays (``texts``, ``labels``,
     ``authors``, ``line_nums``) in ``line_num`` order.
 
-    A conversation longer than ``max_turns_per_row`` is returned as several
-    consecutive rows (``part_no`` 0, 1, ...), so no row and no task has to
-    hold an unbounded conversation; nothing is dropped."""
-    if positions is None:
-        from dialogset.operators.windows import utterance_positions
-
-        positions = utterance_positions(msgs, keys)
-    rows = join_null_safe(
-        msgs.select(*keys, "line_num", "text", "label", "author"),
-        positions.select(*keys, "line_num", "idx", "n_turns"),
-        [*keys, "line_num"],
-    )
+    Part ``p`` of a conversation (column ``part_no``) holds its utterances
+    ``p * max_turns_per_row`` and on, so no row has to hold an unbounded
+    conversation; the caller says how many a row may hold. Conversations a
+    task may hold take one exchange, which carries the texts; hot ones, or
+    given ``positions``, meet their texts by ``line_num``."""
+    payload = ["text", "label", "author"]
+    cold, hot, _ = (None, msgs, 0) if positions is not None else split_hot(msgs, keys)
+    found = []
+    if cold is not None:
+        found.append(wide_positions(cold, keys, *payload))
+    if hot is not None:
+        pos = positions if positions is not None else utterance_positions(hot, keys)
+        found.append(join_null_safe(hot.select(*keys, "line_num", *payload), pos.select(*keys, "line_num", "idx", "n_turns"), [*keys, "line_num"]))
+    names = [*keys, "line_num", "idx", "n_turns", *payload]
+    rows = reduce(DataFrame.unionByName, [f.select(*names) for f in found])
     rows = rows.withColumn("part_no", F.floor(F.col("idx") / max_turns_per_row))
     elem = F.struct("idx", "line_num", "text", "label", "author")
     grouped = rows.groupBy(*keys, "part_no", "n_turns").agg(F.array_sort(F.collect_list(elem)).alias("_t"))

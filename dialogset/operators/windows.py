@@ -57,6 +57,13 @@ def utterance_positions(msgs: DataFrame, keys=CONV_KEYS) -> DataFrame:
     return _positions(s, keys)
 
 
+def wide_positions(msgs: DataFrame, keys, *payload: str) -> DataFrame:
+    """``utterance_positions`` and ``payload`` of conversations a task may
+    hold: one exchange by conversation (none over a table bucketed by it)."""
+    scanned = window_scan(_measured(msgs, keys, *payload), keys, seq_col="idx", size_col="n_turns", **_SCAN)
+    return _positions(scanned, keys, *payload)
+
+
 _SCAN = dict(order=[("line_num", True)], sums=["n_chars", "is_pos"], prev=["line_num"], firsts=["n_chars"])
 
 
@@ -227,8 +234,7 @@ def member_blocks(
     cold, hot, _ = (None, msgs, 0) if positions is not None else split_hot(msgs, keys)
     out = []
     if cold is not None:
-        scanned = window_scan(_measured(cold, keys, "text", "label"), keys, seq_col="idx", size_col="n_turns", **_SCAN)
-        rows = _framed(_positions(scanned, keys, "text", "label").where(F.col("n_turns") >= 2), ctx, keys)
+        rows = _framed(wide_positions(cold, keys, "text", "label").where(F.col("n_turns") >= 2), ctx, keys)
         rows = _with_cut(rows, ctx, keys, first, no_small_pieces, Window.partitionBy(*keys))
         out.append(_block_rows(rows, keys, two_sided))
     if hot is not None:

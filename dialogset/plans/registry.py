@@ -44,7 +44,7 @@ from dialogset.plans.scoring import char_stats_scorer, score_texts
 from dialogset.session import scratch_path
 from dialogset.sources import fixtures as FX
 from dialogset.sources.configs import read_run_configs
-from dialogset.sources.messages import annotated_filter, load_messages
+from dialogset.sources.messages import annotated_filter, load_messages, write_bucketed
 from dialogset.sources.metricstore import read_metrics, to_metrics, write_metrics
 from dialogset.sources.splitfiles import (
     legacy_counts,
@@ -220,7 +220,7 @@ def p2_donor_split(spark, sf):
 
 def p4_min_turns(spark, sf):
     m = messages(spark, sf, "lines")
-    return conversation_sizes(utterance_positions(m)).where(F.col("n_turns") >= 2)
+    return conversation_sizes(m).where(F.col("n_turns") >= 2)
 
 
 def p5_noise_filter(spark, sf):
@@ -244,9 +244,27 @@ def p6_gold_filter(spark, sf):
 
 # ---------------------------------------------------------------- aggregations
 
+MAX_TURNS_PER_ROW = 10_000
+
+
+def _bucketed(spark, sf, fx="messenger"):
+    """The messages stored by conversation, as a table."""
+    path = scratch_path(spark, "messages")
+    name = "messages_" + path.rsplit("-", 1)[-1]
+    write_bucketed(messages(spark, sf, fx), name, 16, path)
+    return spark.table(name)
+
+
+def a1_conversations_bucketed(spark, sf):
+    return _conversation_rows(_bucketed(spark, sf))
+
+
 def a1_conversations(spark, sf):
-    m = messages(spark, sf)
-    c = conversations(m, utterance_positions(m))
+    return _conversation_rows(messages(spark, sf))
+
+
+def _conversation_rows(m):
+    c = conversations(m, max_turns_per_row=MAX_TURNS_PER_ROW)
     return c.select(
         *KEYS,
         "part_no",
@@ -438,6 +456,11 @@ def w4a_one_sided_lines(spark, sf):
     return _w4a(one_sided(spark, sf, fx="lines"))
 
 
+def w4a_one_sided_bucketed(spark, sf):
+    """W4a over messages stored by conversation: the same rows without an exchange."""
+    return _w4a(one_sided_examples(_bucketed(spark, sf, "lines"), CTX, SEP))
+
+
 def _w4b(ex):
     return ex.select(
         *KEYS, "target_idx", "start_idx", "end_idx", "text", "context", "coarse", ints("multi").alias("multi"),

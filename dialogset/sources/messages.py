@@ -7,9 +7,13 @@ casts, and keeps annotated rows; the donor split is a join (see
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dialogset.schema import CONV_KEYS
+
 
 def jdbc_options(
     url: str,
@@ -77,3 +81,22 @@ def quarantine_null_text(msgs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fail on them; here they go to a separate output instead of vanishing."""
     bad = F.col("text").isNull() | F.col("line_num").isNull()
     return msgs.where(~bad), msgs.where(bad)
+
+
+def write_bucketed(msgs: DataFrame, table: str, buckets: int, path: str | None = None, keys: Sequence[str] = CONV_KEYS) -> None:
+    """Store messages by conversation: ``buckets`` buckets of whole
+    conversations, one file each, sorted by ``line_num``. Windows (W1-W4) and
+    conversations (A1) over ``spark.table(table)`` then need no exchange for
+    grouping and positions. ``path`` makes the table an external one (on
+    storage every executor can read); choose ``buckets`` such that a bucket fits a task
+    (a hot conversation stays in one, and its rows take the operators'
+    range-block path as ever)."""
+    writer = (
+        msgs.repartition(buckets, *keys)
+        .sortWithinPartitions(*keys, "line_num")
+        .write.mode("overwrite")
+        .format("parquet")
+        .bucketBy(buckets, *keys)
+        .sortBy(*keys, "line_num")
+    )
+    (writer.option("path", path) if path else writer).saveAsTable(table)

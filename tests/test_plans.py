@@ -46,3 +46,14 @@ def test_windows_move_a_text_once(spark, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     parts = re.findall(r"hashpartitioning\(([^)]*)\)", p)
     assert any("chunk" in x for x in parts) and any("_blk" in x for x in parts) and any("halo" in x for x in parts)
+
+
+@pytest.mark.parametrize("name, plain", [("w4a_one_sided_bucketed", "w4a_one_sided_lines"), ("a1_conversations_bucketed", "a1_conversations")])
+def test_bucketed_messages_need_no_exchange(spark, name, plain):
+    """Grouping, positions and windows follow the stored buckets; the rows are
+    those of the plain table, whose texts move once."""
+    stored, moved = QUERIES[name](spark, SF0001), QUERIES[plain](spark, SF0001)
+    p = plan_of(stored)
+    assert "Exchange" not in p and "Bucketed: true" in p and "Window" in p
+    assert plan_of(moved).count("Exchange") == 1
+    assert sorted(map(str, stored.collect())) == sorted(map(str, moved.collect()))
