@@ -17,6 +17,9 @@ from dialogset.plans.registry import CTX, CTX_LONG, NOISE_RATIO, REPEATS, SYMBOL
 KEYS = "user_id, thread_id, conv_id"
 
 
+MARKED = "\U0001F600\u00A9\U0001F1E8\u200D\U0001F44D\U0001F3FD"  # what some letters become, to have emoji in the given texts
+
+
 def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -675,6 +678,10 @@ SELECT row_id, label, CAST(unnest(range(0, CASE WHEN label = minority_label THEN
   FROM ({positions(mx)}) GROUP BY {KEYS}, part_no""", "mx")
     sq["h2_n_chars"] = with_views("SELECT conv_id, line_num, CAST(length(line_text) AS INTEGER) AS n_chars FROM mx", "mx")
     sq["h3_emoji_count"] = f"SELECT conv_id, turn, CAST(len(regexp_extract_all(text, {_lit(EMOJI_PATTERN)})) AS INTEGER) AS n_emoji FROM conversations"
+    sq["h3_emoji_marked"] = (
+        f"SELECT conv_id, turn, CAST(len(regexp_extract_all(translate(text, 'aeotnr', {_lit(MARKED)}), {_lit(EMOJI_PATTERN)})) AS INTEGER) AS n_emoji "
+        "FROM conversations"
+    )
     sq["h4_softmax"] = with_views(f"SELECT row_id, {r6(SOFTMAX0)} AS p0, {r6(SOFTMAX1)} AS p1 FROM scored", "scored")
     sq["h5_sigmoid"] = with_views("SELECT row_id, " + ", ".join(f"{r6(SIG.format(x=x))} AS p{i}" for i, x in enumerate(L3)) + " FROM scored", "scored")
     sq["h6_threshold_nhot"] = with_views(

@@ -95,16 +95,14 @@ def keep_below(gs, max_excl) -> Column:
 
 def merge_gold(l1, l2, gs, is_checked_sup, min_incl: int, max_excl: int) -> Column:
     """Gold labels if any remain below the bound; else ``[min]`` when a
-    supervisor checked the item; else both minimal -> ``[min]``, equal ->
-    ``[l1]``, otherwise the clamped annotator labels above ``min`` in order
-    (possibly empty)."""
+    supervisor checked the item; else equal clamped labels give that one, and
+    others those above ``min``, in order."""
     c1, c2 = clamp_label(l1, max_excl), clamp_label(l2, max_excl)
     gold = keep_below(gs, max_excl)
     above = F.filter(F.array(c1, c2), lambda v: v > min_incl)
     return (
         F.when(F.size(gold) > 0, gold)
         .when(_c(is_checked_sup), F.array(F.lit(min_incl)))
-        .when((c1 == min_incl) & (c2 == min_incl), F.array(F.lit(min_incl)))
         .when(c1 == c2, F.array(c1))
         .otherwise(above)
     )

@@ -107,7 +107,8 @@ def keep_first(tok, n: int) -> Column:
 
 
 def interval_text(name: str, method, lower, upper, mean) -> Column:
-    """``"<name> F-scores (<method>) interval: (<lo>; <hi>), mean: <mean>"``."""
+    """``"<name> F-scores (<method>) interval: (<lo>; <hi>), mean: <mean>"``
+    (fixed value: the line's format)."""
     return F.format_string(
         f"{name} F-scores (%s) interval: (%s; %s), mean: %s", _c(method), _c(lower), _c(upper), _c(mean)
     )

@@ -563,7 +563,7 @@ def _raw(spark, sf):
 
 
 def h1_join_texts(spark, sf):
-    a = conversations(messages(spark, sf))
+    a = conversations(messages(spark, sf), max_turns_per_row=MAX_TURNS_PER_ROW)
     return a.select(*KEYS, "part_no", T.join_texts("texts", SEP).alias("joined"))
 
 
@@ -576,6 +576,16 @@ def h3_emoji_count(spark, sf):
     return c.select("conv_id", "turn", emoji_count("text").alias("n_emoji"))
 
 
+# letters of the given texts turned into emoji, a sign, half a flag, a joiner and a skin tone
+MARKED = ("aeotnr", "\U0001F600\u00A9\U0001F1E8\u200D\U0001F44D\U0001F3FD")
+
+
+def h3_emoji_marked(spark, sf):
+    """The given texts hold no emoji: here some of their letters become one."""
+    c = FX.table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", emoji_count(F.translate("text", *MARKED)).alias("n_emoji"))
+
+
 def h4_softmax(spark, sf):
     s = scored(spark, sf)
     return s.select("row_id", r6(F.col("probs")[0]).alias("p0"), r6(F.col("probs")[1]).alias("p1"))

@@ -97,7 +97,7 @@ def pin(df: DataFrame, name: str = "pin") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()  # application ids: unlike object ids they are never used again
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -110,7 +110,7 @@ def ship_package(spark: SparkSession) -> None:
     import dialogset
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(dialogset.__file__))
     root = os.path.dirname(pkg)
@@ -122,4 +122,4 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)

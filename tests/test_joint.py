@@ -87,3 +87,33 @@ def test_quadratic_is_solved():
             x = search.send((0.5 * float(scale @ (x - goal) ** 2), scale * (x - goal)))
     except StopIteration as done:
         assert np.allclose(done.value, goal, atol=1e-9)
+
+
+def test_binary_classifier_equals_a_plain_fit(spark):
+    """K2 on noisy rows: the weighted logistic loss of the same features, minimised in numpy."""
+    from dialogset.plans.models import class_weighted, predict_binary, train_binary
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        words = [rng.choice("sun rain wind snow ice fog".split()) for _ in range(1 + rng.randint(0, 5))]
+        rows.append((i, " ".join(words), int(rng.random() < (0.6 if "ice" in words else 0.1))))
+    df = spark.createDataFrame(rows, "row_id long, text string, label int")
+    model = train_binary(df, num_features=1 << 8, max_iter=200)
+    held = model.transform(class_weighted(df)).select("_feat", "label", "weight").collect()
+    x = np.array([np.append(r._feat.toArray(), 1.0) for r in held])
+    used = x.any(0)
+    x, y, w = x[:, used], np.array([r.label for r in held]), np.array([r.weight for r in held])
+    search = joint.lbfgs(x.shape[1], 500, 1e-9)
+    at = next(search)
+    try:
+        while True:
+            z = x @ at
+            g = w * (1 / (1 + np.exp(-z)) - y) / w.sum()
+            at = search.send((float(w @ (np.logaddexp(0, z) - y * z) / w.sum()), x.T @ g))
+    except StopIteration as done:
+        beta = done.value
+    got = {r.row_id: r.probs[1] for r in predict_binary(model, df, ["row_id"]).collect()}
+    feats = {r.row_id: np.append(r._feat.toArray(), 1.0)[used] for r in model.transform(df).select("row_id", "_feat").collect()}
+    for i, f in feats.items():
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-f @ beta)), abs=2e-3)
