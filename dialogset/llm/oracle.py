@@ -31,10 +31,12 @@ m AS (
 s AS (
   SELECT rule, m, (q - m * m - m * (1 - m) * (hosts - 1) / sn) / nullif(1 - sn2 / (sn * sn), 0) AS t FROM m),
 z AS (SELECT rule, m, CASE WHEN t > 0 THEN least(greatest(m * (1 - m) / t - 1, 1.0), 10000.0) ELSE 10000.0 END AS s FROM s),
-rate AS (SELECT source, rule, (f + s * m) / (n + s) AS rate FROM u JOIN z USING (rule)),
+rate AS (SELECT source, rule, n, s, m, (f + s * m) / (n + s) AS rate FROM u JOIN z USING (rule)),
+post AS (SELECT *, 2.0 * sqrt(rate * (1 - rate) / (n + s + 1)) AS spread FROM rate),
 v AS (
-  SELECT source, bool_or(rule = 'k_any' AND rate >= 0.8) AS host_dropped, bool_or(rule = 'k_symbols' AND rate >= 0.002) AS x_symbols,
-         bool_or(rule = 'k_dup_lines' AND rate >= 0.002) AS x_dup FROM rate GROUP BY source)
+  SELECT source, bool_or(rule = 'k_any' AND rate - spread >= 0.5 AND rate - spread > m) AS host_dropped,
+         bool_or(rule = 'k_symbols' AND rate + spread > 0.25 * m) AS x_symbols,
+         bool_or(rule = 'k_dup_lines' AND rate + spread > 0.25 * m) AS x_dup FROM post GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_short OR f_repeats AS base_failed,
        NOT (f_short OR f_repeats) AND NOT host_dropped AND NOT (f_symbols AND x_symbols) AND NOT (f_dup_lines AND x_dup) AS kept,
        host_dropped

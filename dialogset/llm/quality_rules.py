@@ -6,14 +6,16 @@ words), ``symbols`` (markup symbols per word) and ``dup_lines`` (repeated
 lines among lines with a word). Rule failures are added up by host (here the
 document's source); each host's failure rate of a rule is shrunk towards all
 hosts by a beta prior whose mean and strength come from the hosts themselves
-(method of moments, weighted by their documents). The verdicts go back to the
-documents:
+(method of moments, weighted by their documents). A host is judged by its
+posterior, ``CERTAINTY`` deviations from the mean, against all hosts' rate, so
+a small host or one like the others decides nothing. The verdicts go back to
+the documents:
 
-* a host whose shrunk rate of *any* rule failing reaches ``DROP_HOST`` is
-  dropped with all its documents;
+* a host whose rate of *any* rule failing is surely above all hosts' rate and
+  surely at least ``DROP_HOST`` is dropped with all its documents;
 * a document failing ``symbols`` or ``dup_lines`` is dropped unless its host
-  is known to be clean in that rule (shrunk rate below ``FORGIVE``): one odd
-  page of a clean host is forgiven;
+  is surely clean in that rule (at most ``FORGIVE`` times all hosts' rate): the
+  odd page of a clean host is forgiven;
 * documents failing ``short`` or ``repeats`` are dropped anywhere.
 
 Everything is counted over all documents; text is read once. The narrow
@@ -25,7 +27,7 @@ the narrow rows, salted by document so that a hot host spreads over
 
 Edge cases: null text has no words and fails ``short``; a null host is a host
 of its own; repeated rows count each; an empty table gives an empty result;
-a text of one word without a line break, of any length, is one line.
+only id, host and text are read, other columns are not returned; a text of one word without a line break, of any length, is one line.
 """
 
 from __future__ import annotations
@@ -43,8 +45,9 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_SYMBOLS_PER_WORD_PERCENT = 10
 MAX_DUP_LINE_PERCENT = 30
-DROP_HOST = 0.8
-FORGIVE = 0.002
+DROP_HOST = 0.5
+FORGIVE = 0.25
+CERTAINTY = 2.0  # deviations of the posterior
 BROADCAST_HOSTS = 200_000
 SALTS = 16
 SOFT = ("symbols", "dup_lines")
@@ -134,14 +137,16 @@ def document_rules(docs: DataFrame, host: str = "source", doc_id: str = "doc_id"
 
 def host_rates(rules: DataFrame) -> DataFrame:
     """One row per host: documents, and for each rule (and ``any``) the
-    failures and the failure rate shrunk by the empirical beta prior.
+    failures, the failure rate shrunk by the empirical beta prior (``rate``),
+    its sure bounds (``low``, ``high``) and the rate of all hosts (``mean``).
 
     With per-host failures f of n documents, the prior mean is m = sum f /
     sum n. The n-weighted variance of f/n over hosts, v, less its binomial part
     leaves the variance between hosts, t = (v - m(1-m)(H-1)/sum n) /
     (1 - sum n^2 / (sum n)^2) ; the strength is s = m(1-m)/t - 1, held
     within [1, 10000] (no visible variance: strongest). The shrunk
-    rate is (f + s m) / (n + s)."""
+    rate is r = (f + s m) / (n + s), the posterior's mean; its deviation is
+    sqrt(r (1 - r) / (n + s + 1))."""
     names = (*RULES, "any")
     any_ = reduce(lambda a, b: a | b, [F.col(r) for r in RULES])
     hosts = (
@@ -162,8 +167,14 @@ def host_rates(rules: DataFrame) -> DataFrame:
         spread = 1 - (p["sn2"] or 0.0) / (sn * sn)
         t = (v - m * (1 - m) * (p["hosts"] - 1) / sn) / spread if spread else 0.0
         s = min(max(m * (1 - m) / t - 1, 1.0), 10000.0) if t > 0 else 10000.0
-        rates.append(((F.col(f"f_{r}") + s * m) / (F.col("n") + s)).alias(f"rate_{r}"))
-    return hosts.select("host", "n", *[f"f_{r}" for r in names], *rates)
+        rates.append((((F.col(f"f_{r}") + s * m) / (F.col("n") + s)).alias(f"rate_{r}"), F.lit(m).alias(f"mean_{r}"), F.lit(s).alias(f"strength_{r}")))
+    shrunk = hosts.select("host", "n", *[f"f_{r}" for r in names], *[c for group in rates for c in group])
+    bounds = []
+    for r in names:
+        rate = F.col(f"rate_{r}")
+        spread = CERTAINTY * F.sqrt(rate * (1 - rate) / (F.col("n") + F.col(f"strength_{r}") + 1))
+        bounds += [(rate - spread).alias(f"low_{r}"), (rate + spread).alias(f"high_{r}")]
+    return shrunk.select("*", *bounds).drop(*[f"strength_{r}" for r in names])
 
 
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -171,8 +182,8 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     rules = pin(document_rules(docs, host), "host-rules")
     verdicts = host_rates(rules).select(
         F.col("host").alias("_host"),
-        (F.col("rate_any") >= DROP_HOST).alias("host_dropped"),
-        *[(F.col(f"rate_{r}") >= FORGIVE).alias(f"strict_{r}") for r in SOFT],
+        ((F.col("low_any") >= DROP_HOST) & (F.col("low_any") > F.col("mean_any"))).alias("host_dropped"),
+        *[(F.col(f"high_{r}") > FORGIVE * F.col(f"mean_{r}")).alias(f"strict_{r}") for r in SOFT],
     )
     verdicts = pin(verdicts, "host-verdicts")
     same = F.col("host").eqNullSafe(F.col("_host"))

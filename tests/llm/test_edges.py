@@ -81,6 +81,36 @@ def test_quality_shrinks_rates(spark):
     assert got[0].kept and not got[2000].kept and got[2001].host_dropped and not got[2001].kept
 
 
+def test_quality_hosts_decide(spark):
+    """A bad host loses its good documents, a clean one keeps its odd page, a
+    host like the others decides nothing; without hosts the four rules alone
+    would say otherwise. The query's SQL agrees."""
+    import duckdb
+    from dialogset.llm.oracle import STATEMENTS
+    from dialogset.llm.quality_rules import SOFT, judge
+
+    good = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    odd = lambda i: good(i) + " #" * 30
+    rows = []
+    for h in range(8):  # ordinary hosts: one document in ten fails
+        rows += [(h * 1000 + i, odd(i) if i % 10 == 0 else good(i), f"host{h}") for i in range(300)]
+    rows += [(20_000 + i, good(i) if i % 4 == 0 else odd(i), "bad") for i in range(300)]
+    rows += [(30_000 + i, odd(i) if i == 7 else good(i), "clean") for i in range(900)]
+    rows += [(40_000, odd(0), "tiny"), (40_001, odd(1), "tiny"), (50_000, "short", "clean")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in judge(df).collect()}
+    alone = {i: not (r.base_failed or any(r[s] for s in SOFT)) for i, r in got.items()}
+    assert {r.host for r in got.values() if r.host_dropped} == {"bad"}
+    changed = {i for i in got if got[i].kept != alone[i]}
+    assert changed == {20_000 + i for i in range(0, 300, 4)} | {30_007}
+    assert got[30_007].kept and not got[50_000].kept and not got[40_000].kept
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    res = con.execute("SELECT doc_id, kept, host_dropped FROM (" + STATEMENTS["op1_quality_rules"] + ")").fetchall()
+    assert {i: (k, h) for i, k, h in res} == {i: (r.kept, r.host_dropped) for i, r in got.items()}
+
+
 def test_html(spark):
     from dialogset.llm.html_text import extract
 
