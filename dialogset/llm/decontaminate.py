@@ -4,20 +4,24 @@ Every text is a sequence of words. For each ``k``-word gram a 64-bit hash is
 taken, and in every window of ``span - k + 1`` consecutive grams the grams
 with the minimum hash are kept (all of them on ties). Two texts sharing
 ``span`` words share such a window, hence at least one kept gram: joining the
-kept grams finds every shared span. A hit gives a diagonal (document position
-minus item position); the hit is *extended* by comparing the words along the
-whole diagonal, and only runs of at least ``span`` equal words count, so hash
-collisions and shorter matches are removed.
+kept grams finds every document with a shared span. Its hits are *extended*:
+all its windows of ``span`` words are looked up in the items' windows (two
+independent 64-bit hashes of all their words), the occurring windows are laid
+over each other, and their items gathered. Shorter matches and hash collisions
+of single grams fall away. The work on a document grows with its own words,
+however often they repeat and whatever number of items share a passage.
 
 Items of fewer than ``span`` words are one window: their single gram is as
 long as the item, and all document grams of that length are looked up.
 
-Distribution: document fingerprints are exploded and joined to the benchmark
-fingerprints, which are broadcast only when their counted rows are below
-``broadcast_rows`` (a shuffle join beyond that). Only (document, item,
-diagonal) triples are grouped; texts are read again for the extension and
-meet the triples by document id and a hash of the text. Items with equal words are folded into one
-before the join, so copies of an item cost nothing.
+Distribution: document grams are exploded and joined to the distinct
+benchmark grams, then the windows of documents with a hit to the distinct
+benchmark windows. Both tables hold 8 to 36 bytes a row and are broadcast only
+up to ``broadcast_rows`` counted rows (a shuffle join beyond that). Items with equal
+words, and windows with the same items, are folded before. Only occurring
+windows are grouped by document; the texts meet the verdicts by document id
+and a hash of the text, and move only where the verdicts are too large for
+Spark's own broadcast limit.
 
 Edge cases: null text has no words (never contaminated); null or wordless
 items match nothing; repeated items with one id count once; a null item_id is
@@ -29,7 +33,7 @@ clean results; extra columns of ``docs`` pass through
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialogset.llm.common import ascii_lower, broadcast_if, let, split_words, text_or_empty
@@ -90,28 +94,20 @@ def _fingerprints(words: Column, k: int, span: int, short_lengths: list[int]) ->
     return let(F.transform(words, lambda w: F.xxhash64(w)), body)
 
 
-def _runs(doc: Column, item: Column, diag: Column, need: Column) -> Column:
-    """Intervals (lo, hi) of document words lying in runs of at least ``need``
-    equal words along one diagonal."""
-    start = F.greatest(diag, F.lit(0))
-
-    def on(n: Column) -> Column:
-        same = F.zip_with(F.slice(doc, start + 1, n), F.slice(item, start - diag + 1, n), lambda a, b: a == b)
-        differ = F.filter(F.transform(same, lambda e, i: F.when(~e, i)), lambda x: x.isNotNull())
-        bounds = F.concat(F.array(F.lit(-1)), differ, F.array(n))
-        return let(
-            bounds,
-            lambda b: F.filter(
-                F.zip_with(
-                    F.slice(b, 1, F.size(b) - 1),
-                    F.slice(b, 2, F.size(b) - 1),
-                    lambda x, y: F.struct((start + x + 1).alias("lo"), (start + y).alias("hi")),
-                ),
-                lambda r: r["hi"] - r["lo"] >= need,
-            ),
-        )
+def _windows(words: Column, lengths: list[int]) -> Column:
+    """Every run of ``n`` words for each of ``lengths``: structs (n, a, b, pos)
+    with two hashes of its words."""
+
+    def of(n: int, one: Column, two: Column) -> Column:
+        both = F.zip_with(_grams(one, n), _grams(two, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.transform(both, lambda s, i: F.struct(F.lit(n).alias("n"), s["a"].alias("a"), s["b"].alias("b"), i.alias("pos")))
 
-    return let(F.greatest(F.least(F.size(doc) - start, F.size(item) - (start - diag)), F.lit(0)), on)
+    def runs(one: Column, two: Column) -> Column:
+        return F.concat(*[of(n, one, two) for n in lengths])
+
+    first = F.transform(words, lambda w: F.xxhash64(w))
+    second = F.transform(words, lambda w: F.xxhash64(F.lit(7), w))
+    return let(first, lambda one: let(second, lambda two: runs(one, two)))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -124,6 +120,35 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return folded.select(F.xxhash64("words", F.lit(1)).alias("item_no"), "words", "ids")
 
 
+def _item_windows(items: DataFrame, span: int, short: list[int]) -> tuple[DataFrame, DataFrame]:
+    """The distinct windows (n, a, b, ids_no) of all items, and the sets of
+    item ids (ids_no, ids) that hold them."""
+    own = F.filter(_windows(F.col("words"), [span, *short]), lambda w: w["n"] == F.least(F.size("words"), F.lit(span)))
+    held = items.select("ids", F.inline(own)).groupBy("n", "a", "b").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    held = pin(held, "decon-windows")
+    sets = pin(held.select("ids").distinct().withColumn("ids_no", F.monotonically_increasing_id()), "decon-sets")
+    return pin(held.join(sets, "ids").select("n", "a", "b", "ids_no"), "decon-window-sets"), sets
+
+
+def _verdicts(matched: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_hit, spans, items from the occurring windows (doc_id, text_key, pos, n, ids_no)."""
+    key = ["doc_id", "text_key"]
+    order = Window.partitionBy(*key).orderBy("pos")
+    reached = F.max(F.col("pos") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    laid = matched.groupBy(*key, "pos").agg(F.max("n").alias("n")).withColumn("reached", reached)
+    fresh = F.coalesce(F.col("pos") > F.col("reached"), F.lit(True)).cast("long")
+    # touching windows are one interval
+    laid = laid.withColumn("island", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = laid.groupBy(*key, "island").agg(F.min("pos").alias("lo"), F.max(F.col("pos") + F.col("n")).alias("hi"))
+    found = matched.select(*key, "ids_no").distinct().join(sets, "ids_no").select(*key, "ids")
+    both = islands.select(*key, F.struct("lo", "hi").alias("span")).unionByName(found, allowMissingColumns=True)
+    return both.groupBy(*key).agg(
+        F.sum(F.col("span.hi") - F.col("span.lo")).alias("n_hit"),
+        F.array_sort(F.collect_list("span")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"),
+    )
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -135,8 +160,8 @@ def decontaminate(
     out: str = "decontamination",
 ) -> DataFrame:
     """``docs`` plus a struct column ``out``: n_words, n_hit (words inside an
-    occurrence of a window), items (sorted ids), spans (the hit intervals, one
-    per occurrence), contaminated (n_hit > 0 and ratio * n_hit >= n_words)."""
+    occurrence of a window), items (sorted ids), spans (the disjoint intervals
+    of hit words), contaminated (n_hit > 0 and ratio * n_hit >= n_words)."""
     if not 1 <= gram <= span:
         raise ValueError("gram must lie in 1..span")
     docs = docs.drop(out)
@@ -144,79 +169,40 @@ def decontaminate(
     lengths = items.where(F.size("words") < span).select(F.size("words").alias("n")).distinct()
     short = sorted(r[0] for r in lengths.collect())  # fewer than `span` values
 
-    n_words = F.size("words")
-    item_fps = items.select(
-        "item_no",
-        F.inline(
-            F.when(n_words >= span, _fingerprints(F.col("words"), gram, span, [])).otherwise(
-                F.array(
-                    F.struct(
-                        F.element_at(
-                            F.transform(
-                                F.array(F.transform("words", lambda w: F.xxhash64(w))),
-                                lambda wh: _whole_gram(wh, short),
-                            ),
-                            1,
-                        ).alias("h"),
-                        F.lit(0).alias("pos"),
-                    )
-                )
-            )
-        ).alias("h", "ipos"),
-    )
-    item_fps = pin(item_fps, "decon-item-fps")
-    n_fps, n_items = item_fps.count(), items.count()
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    winnowed = F.transform(_fingerprints(F.col("words"), gram, span, []), lambda s: s["h"])
+    own = F.when(F.size("words") >= span, winnowed).otherwise(F.transform(F.array(hashes), lambda wh: _whole_gram(wh, short)))
+    grams = pin(items.select(F.explode(own).alias("h")).distinct(), "decon-grams")
+    windows, sets = _item_windows(items, span, short)
+    n_grams, n_windows = grams.count(), windows.count()
 
     # a row meets only its own candidates, also where many share an id or have none
-    key = F.xxhash64(docs["text"])
-    fps = docs.select("doc_id", key.alias("text_key"), F.inline(_fingerprints(words_of(F.col("text")), gram, span, short)))
-    hits = (
-        fps.join(broadcast_if(item_fps, n_fps, broadcast_rows), "h")
-        .groupBy("doc_id", "text_key", "item_no")
-        .agg(F.collect_set((F.col("pos") - F.col("ipos")).cast("int")).alias("diags"))
-        .join(broadcast_if(items, n_items, broadcast_rows // 10), "item_no")
-        .groupBy("doc_id", "text_key")
-        .agg(F.collect_list(F.struct("words", "ids", "diags")).alias("entries"))
-    )
-    hits = hits.select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key"), F.col("entries").alias("__entries"))
-
-    names = docs.columns
-    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["__hit_id"]) & key.eqNullSafe(hits["__hit_key"]), "left")
-
-    def judged(words: Column) -> Column:
-        found = F.transform(
-            F.coalesce(F.col("__entries"), F.expr("cast(array() as array<struct<words:array<string>,ids:array<string>,diags:array<int>>>)")),
-            lambda e: F.struct(
-                e["ids"].alias("ids"),
-                F.flatten(
-                    F.transform(
-                        e["diags"], lambda d: _runs(words, e["words"], d, F.least(F.size(e["words"]), F.lit(span)))
-                    )
-                ).alias("runs"),
-            ),
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    shared = keyed.select(
+        "doc_id", "text_key", F.explode(F.transform(_fingerprints(words_of(F.col("text")), gram, span, short), lambda s: s["h"])).alias("h")
+    ).join(broadcast_if(grams, n_grams, broadcast_rows), "h", "left_semi")
+    hit = pin(shared.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "decon-hits")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key"))
+    extended = keyed.join(hit, same, "left_semi").select("doc_id", "text_key", F.inline(_windows(words_of(F.col("text")), [span, *short])))
+    matched = extended.join(broadcast_if(windows, n_windows, broadcast_rows), ["n", "a", "b"]).select("doc_id", "text_key", "pos", "n", "ids_no")
+    verdicts = _verdicts(pin(matched, "decon-matched"), sets)
+
+    found = verdicts.select(*[F.col(c).alias(f"__{c}") for c in verdicts.columns])
+    met = docs["doc_id"].eqNullSafe(found["__doc_id"]) & F.xxhash64(docs["text"]).eqNullSafe(found["__text_key"])
+    joined = docs.join(found, met, "left")
+
+    def judged(n_words: Column) -> Column:
+        n_hit = F.coalesce(F.col("__n_hit"), F.lit(0)).cast("long")
+        return F.struct(
+            n_words.alias("n_words"),
+            n_hit.alias("n_hit"),
+            F.coalesce(F.col("__items"), F.array().cast("array<string>")).alias("items"),
+            F.coalesce(F.col("__spans"), F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"),
+            ((n_hit > 0) & (n_hit * ratio >= n_words)).alias("contaminated"),
         )
-        return let(F.filter(found, lambda f: F.size(f["runs"]) > 0), lambda f: summary(words, f))
-
-    def summary(words: Column, found: Column) -> Column:
-        spans = F.sort_array(F.array_distinct(F.flatten(F.transform(found, lambda f: f["runs"]))))
-        items_ = F.sort_array(F.array_distinct(F.flatten(F.transform(found, lambda f: f["ids"]))))
-
-        def rest(s: Column) -> Column:
-            covered = F.flatten(F.transform(s, lambda r: F.sequence(r["lo"], r["hi"] - 1)))
-            return let(
-                F.size(F.array_distinct(covered)).cast("long"),
-                lambda n_hit: F.struct(
-                    F.size(words).cast("long").alias("n_words"),
-                    n_hit.alias("n_hit"),
-                    items_.alias("items"),
-                    s.alias("spans"),
-                    ((n_hit > 0) & (n_hit * ratio >= F.size(words))).alias("contaminated"),
-                ),
-            )
-
-        return let(spans, rest)
-
-    return joined.select(*[docs[c] for c in names], let(words_of(docs["text"]), judged).alias(out))
+
+    n_words = F.size(words_of(docs["text"])).cast("long")
+    return joined.select(*[docs[c] for c in docs.columns], let(n_words, judged).alias(out))
 
 
 def _whole_gram(wh: Column, lengths: list[int]) -> Column:
