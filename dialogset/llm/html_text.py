@@ -8,7 +8,8 @@ trained by the extractor itself on ``LABELLED``, a small table of page
 fragments written for it whose blocks carry their label.
 
 One pass over the pages, no shuffle; the tree (a few nodes) travels with the
-task. Parsing is linear in the page's length.
+task. Parsing takes time about linear in the page's length, whatever the markup: where a
+tag ends, and where an element closes, is looked up in places found once.
 
 Edge cases: null or empty html has empty text; unclosed tags, containers and
 comments end at the page's end (a boilerplate container that is never closed
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import html as html_entities
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +35,12 @@ from dialogset.session import ship_package
 # fixed values: elements whose content is never text of the page
 _RAW = "script|style|textarea|title"  # if never closed, they run to the end of the page
 _SKIPPED = "noscript|template|svg|math|iframe|object|select|button|canvas|audio|video"
-_IN_TAG = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    rf"|<(?P<raw>{_RAW})(?=[\s/>]){_IN_TAG}>.*?(?:</(?P=raw)\s*>|\Z)"
-    rf"|<(?P<skip>{_SKIPPED})(?=[\s/>]){_IN_TAG}(?<!/)>.*?</(?P=skip)\s*>"
-    r"|<[!?][^>]*(?:>|\Z)"
-    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_IN_TAG})>",
-    re.S | re.I,
+_START = re.compile(
+    rf"<(?:!--|!\[CDATA\[|[!?]|(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*))", re.I
 )
+_CLOSE = re.compile(rf"</({_RAW}|{_SKIPPED})\s*>", re.I)
+_COMMENT_END = re.compile("--!?>")
+_SPACED = re.compile(r"[\s/>]")
 # fixed values: tags that do not end a block
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
@@ -61,6 +60,94 @@ _COMMENT = set("comment comments disqus reply replies respond ad ads advert adve
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
+
+
+class _Ends:
+    """Where tags and elements of one page end.
+
+    A tag ends at the first ``>`` outside quotes. That is a matter of the next
+    ``>`` or quote only, so the answer is kept for each of them: a quote leads
+    to the one that closes it, and on from there."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.marks = [m.start() for m in re.finditer("[>\"']", page)]
+        self.after: list[int] = [-1] * len(self.marks)  # the mark that closes a quote
+        last: dict[str, int] = {}
+        for i in range(len(self.marks) - 1, -1, -1):
+            c = page[self.marks[i]]
+            self.after[i] = last.get(c, -1)
+            last[c] = i
+        self.known: dict[int, int] = {}
+        self.closes: dict[str, list[tuple[int, int]]] = {}
+        for m in _CLOSE.finditer(page):
+            self.closes.setdefault(m[1].lower(), []).append(m.span())
+
+    def of_tag(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag read up to ``at``; -1 if none does."""
+        i, path, end = bisect_left(self.marks, at), [], -1
+        while 0 <= i < len(self.marks):
+            if i in self.known:
+                end = self.known[i]
+                break
+            path.append(i)
+            if self.page[self.marks[i]] == ">":
+                end = self.marks[i]
+                break
+            i = self.after[i] + 1 if self.after[i] >= 0 else -1
+        for j in path:
+            self.known[j] = end
+        return end
+
+    def of_element(self, name: str, at: int) -> int:
+        """The end of the next closing tag of ``name`` from ``at`` on; -1 if there is none."""
+        spans = self.closes.get(name, [])
+        i = bisect_left(spans, (at, at))
+        return spans[i][1] if i < len(spans) else -1
+
+
+_RAW_NAMES, _SKIPPED_NAMES = set(_RAW.split("|")), set(_SKIPPED.split("|"))
+
+
+def tokens(page: str):
+    """The markup of a page in order: (start, end, tag, closing, attributes);
+    tag is None for what is never text (comments, declarations, scripts and
+    the like, with their content)."""
+    ends, at = _Ends(page), 0
+    while m := _START.search(page, at):
+        start, name = m.start(), m["tag"]
+        at = start + 1  # a stray "<" is text
+        if name is None:
+            head = m[0]
+            if head == "<!--":
+                end = _COMMENT_END.search(page, m.end())
+                at = end.end() if end else len(page)
+            elif len(head) > 2:
+                end = page.find("]]>", m.end())
+                at = end + 3 if end >= 0 else len(page)
+            else:
+                end = page.find(">", m.end())
+                at = end + 1 if end >= 0 else len(page)
+            yield start, at, None, False, ""
+            continue
+        end = ends.of_tag(m.end())
+        if end < 0:
+            continue
+        low = name.lower()
+        at = end + 1
+        if not m["close"] and _SPACED.match(page, m.end()):
+            if low in _RAW_NAMES:
+                stop = ends.of_element(low, at)
+                at = stop if stop >= 0 else len(page)
+                yield start, at, None, False, ""
+                continue
+            if low in _SKIPPED_NAMES and page[end - 1] != "/" and (stop := ends.of_element(low, at)) >= 0:
+                at = stop
+                yield start, at, None, False, ""
+                continue
+        yield start, at, low, bool(m["close"]), page[m.end() : end]
+
+
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_boilerplate", "in_article", "article_elsewhere")
 
 
@@ -112,48 +199,51 @@ def blocks(page: str | None) -> list[Block]:
         for tag, bad in stack[i:]:
             depth["bad"] -= bad
             depth["article"] -= tag in ("article", "main")
+            open_at[tag].pop()
+            if bad:
+                bad_at[tag].pop()
         del stack[i:]
 
     page = page or ""
-    tokens = list(_TOKEN.finditer(page))
-    last_close = {m["tag"].lower(): m.start() for m in tokens if m["close"]}
+    found = list(tokens(page))
+    last_close = {tag: start for start, _, tag, closing, _ in found if closing}
+    open_at: dict[str, list[int]] = {}  # of each tag, its places on the stack
+    bad_at: dict[str, list[int]] = {}  # those of boilerplate
     at = 0
-    for m in tokens:
-        if m.start() > at:
-            parts.append((page[at : m.start()], anchor))
-        at = m.end()
-        tag = m["tag"]
+    for start, end, tag, closing, attrs in found:
+        if start > at:
+            parts.append((page[at:start], anchor))
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag == "a":
-            anchor = not m["close"]
+            anchor = not closing
             continue
         if tag in _INLINE:
             continue
         end_block()
-        if m["close"]:
+        if closing:
             anchor = False
             if tag in _CONTAINER and tag not in _VOID_BLOCK:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        pop_to(i)
-                        break
+                if open_at.get(tag):
+                    pop_to(open_at[tag][-1])
             elif tag in _VOID_BLOCK and stack and stack[-1][0] == tag:
                 pop_to(len(stack) - 1)
             continue
-        if tag not in _CONTAINER or m["attrs"].endswith("/"):
+        if tag not in _CONTAINER or attrs.endswith("/"):
             continue
         if tag in _VOID_BLOCK and stack and stack[-1][0] == tag:
             pop_to(len(stack) - 1)  # an open paragraph or item ends where the next begins
         if tag in ("article", "main"):
             # an article after boilerplate that was never closed is not part of
             # it, and the main element is not part of any
-            for i, (t, bad) in enumerate(stack):
-                if bad and (tag == "main" or last_close.get(t, -1) < at):
-                    pop_to(i)
-                    break
-        bad = _boilerplate(tag, m["attrs"])
+            loose = [places[0] for t, places in bad_at.items() if places and (tag == "main" or last_close.get(t, -1) < at)]
+            if loose:
+                pop_to(min(loose))
+        bad = _boilerplate(tag, attrs)
+        open_at.setdefault(tag, []).append(len(stack))
+        if bad:
+            bad_at.setdefault(tag, []).append(len(stack))
         stack.append((tag, bad))
         depth["bad"] += bad
         depth["article"] += tag in ("article", "main")
@@ -225,6 +315,10 @@ def _menu(n: int) -> str:
     return "".join(f'<li><a href="/{i}">-{_w(1 + i % 3)}</a></li>' for i in range(n))
 
 
+def _plain_menu(n: int) -> str:
+    return "".join(f'<div>-<a href="/{i}">{_w(1 + i % 4)}</a></div>' for i in range(n))
+
+
 def _paragraphs(*sizes: int) -> str:
     return "".join(f"<p>+{_w(n)}</p>" for n in sizes)
 
@@ -249,6 +343,12 @@ LABELLED = [
     f"<main><p>+<a href=x>{_w(6)}</a></p>{_paragraphs(1, 2)}</main><footer>-{_w(3)}</footer>",
     f"<article><p>+<a href=x>{_w(4)}</a></p><p>+{_w(33)}</p><p>+<a href=x>{_w(9)}</a></p></article><div>-{_w(60)}</div>",
     f"<p>+{_w(2)}</p><p>+{_w(3)}</p><p>+{_w(11)}</p>",
+    # pages that name nothing: word counts, link density and neighbours alone tell
+    f"<div>{_plain_menu(7)}</div><div>{_paragraphs(40, 6, 75, 30)}</div><div>-{_w(5)}</div><div>{_plain_menu(5)}</div><div>-{_w(3)}</div>",
+    f"<div>-{_w(3)}</div><div>{_plain_menu(4)}</div><p>+{_w(9)}</p>{_paragraphs(55, 20, 4, 90)}<div>{_plain_menu(6)}</div><p>-{_w(7)}</p>",
+    f"<div>-{_w(4)}</div><div>-{_w(6)}</div><div>{_paragraphs(120, 33, 8, 47)}</div><div>-<a href=x>{_w(7)}</a> {_w(2)}</div><div>-{_w(4)}</div><div>-{_w(6)}</div>",
+    f"<div>{_plain_menu(9)}</div><div>-{_w(2)}</div>{_paragraphs(28, 64, 17, 35)}<p>+{_w(14)} <a href=x>{_w(3)}</a></p><div>-{_w(5)}</div><div>{_plain_menu(3)}</div>",
+    f"<div>-{_w(1)}</div><div>-{_w(2)}</div><div>{_plain_menu(5)}</div>{_paragraphs(66, 5, 50)}<div>-<a href=x>{_w(12)}</a></div><div>-<a href=x>{_w(15)}</a></div><div>-{_w(2)}</div>",
     f"<article><h1>+{_w(4)}</h1><aside>-{_w(16)}</aside>{_paragraphs(22, 64)}<div class='related posts'>{_menu(4)}</div><div class=share>-{_w(3)}</div></article>",
 ]
 
