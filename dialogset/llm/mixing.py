@@ -15,12 +15,12 @@ All of it is integer arithmetic (decimal(38) where products grow), so the sum
 of expected copies at row k is exactly ``k * num / den`` and a rerun agrees to
 the copy. The offset and the tie order come from md5 of a seed and the value.
 
-Distribution: sizes are pinned as a narrow table (id, source, size). The rank
-of a row in its source is a two-level scan: rows are range-partitioned by
-(source, size, hash), so a hot source spans many partitions; each
-partition counts its rows per source; the prefix sums of those few counts give
-the start of each (source, partition) block. Only the table of sources is
-ever handled by one task (one row per source).
+Distribution: the rank of a row in its source is a two-level scan: rows are
+range-partitioned by (source, size, hash) and sorted, so a hot source spans
+many partitions; the rows' order in a partition and the prefix sums of its
+few (source, partition) counts give the rank. That is the only exchange of
+the rows. Sources are ranked and filled by ordered scans, which split them
+over tasks when there are very many.
 
 Edge cases: null text has size 0; a null source is a source of its own, last
 in order; a source without words has target 0 and its documents are taken 0
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialogset.llm.common import WORD, broadcast_if, text_or_empty
+from dialogset.operators.scan import ordered_scan
 from dialogset.session import pin
 
 MAX_COPIES = 3
@@ -46,24 +47,23 @@ BIG = "decimal(38,0)"
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """source, source_size, num, den, target: the target is the exact ratio
     num / den (in words)."""
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("none", F.col("source").isNull().cast("int"))
+    ranked = ordered_scan(by, [], [("none", True), ("source", True)], seq_col="rank", size_col="sources")
     w = F.get(F.array(*[F.lit(x) for x in weights]), (F.col("rank") % len(weights)).cast("int")).cast("long")
-    by = by.withColumn("rank", F.row_number().over(order) - 1).withColumn("weight", w)
-    by = by.withColumn("cap", F.col("source_size") * max_copies)
+    by = ranked.select("source", "source_size", "rank", w.alias("weight"), (F.col("source_size") * max_copies).alias("cap"))
     # capped sources are those of the smallest cap per weight: a source is
     # capped iff its cap is below its share of what the smaller ones leave
-    lcm = _lcm(weights)
-    fill = Window.orderBy((F.col("cap").cast(BIG) * lcm / F.col("weight")).cast(BIG), F.col("rank"))
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    by = by.withColumn("left", F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-    by = by.withColumn("left_w", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    capped = F.col("cap").cast(BIG) * F.col("left_w") <= F.col("weight").cast(BIG) * F.col("left")
-    by = by.withColumn("capped", capped)
-    free = F.when(~F.col("capped"), F.col("weight")).otherwise(0)
-    by = by.withColumn("free_words", F.sum("source_size").over(whole) - F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)).over(whole))
-    by = by.withColumn("free_weight", F.sum(free).over(whole))
+    fill = (F.col("cap").cast(BIG) * _lcm(weights) / F.col("weight")).cast(BIG)
+    by = pin(by.withColumn("fill", fill), "mix-sources")
+    by = ordered_scan(by, [], [("fill", True), ("rank", True)], sums=["source_size", "cap", "weight"], seq_col="place", size_col="sources")
+    left, left_w = F.col("source_size_total") - F.col("cap_before"), F.col("weight_total") - F.col("weight_before")
+    capped = F.col("cap").cast(BIG) * left_w <= F.col("weight").cast(BIG) * left
+    by = pin(by.select("source", "source_size", "weight", "cap", capped.alias("capped")), "mix-caps")
+    free = by.agg(
+        F.sum("source_size") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))), F.lit(0)),
+        F.coalesce(F.sum(F.when(~F.col("capped"), F.col("weight"))), F.lit(0)),
+    ).first()  # two numbers
+    by = by.withColumn("free_words", F.lit(free[0]).cast("long")).withColumn("free_weight", F.lit(free[1]).cast("long"))
     num = F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * F.col("free_words"))
     den = F.when(F.col("capped"), F.lit(1)).otherwise(F.col("free_weight"))
     return by.select(
@@ -97,23 +97,23 @@ def allocate(
     # the order hash breaks ties of size at random, but the same way on every run
     sized = sized.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     n = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = sized.repartitionByRange(n, F.col("source").asc_nulls_last(), "size", "h", "doc_id")
-    ranged = pin(ranged.withColumn("block", F.spark_partition_id()), "mix-ranged")
+    order = [F.col("source").asc_nulls_last(), "size", "h", "doc_id"]
+    ranged = sized.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # rows of a block stand in order: their place in it is their number
+    ranged = pin(ranged.withColumn("block", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "mix-ranged")
     goal = pin(targets(ranged, weights, max_copies), "mix-targets")
     n_sources = goal.count()
 
     # rows before each (source, block): a table of at most sources + partitions rows
-    starts = ranged.groupBy("source", "block").agg(F.count(F.lit(1)).alias("rows"))
+    starts = ranged.groupBy("source", "block").agg(F.count(F.lit(1)).alias("rows"), F.min("place").alias("first"))
     prior = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(
-        F.col("source").alias("_source"), F.col("block").alias("_block"), F.coalesce(F.sum("rows").over(prior), F.lit(0)).alias("start")
+        F.col("source").alias("_source"), F.col("block").alias("_block"), "first", F.coalesce(F.sum("rows").over(prior), F.lit(0)).alias("start")
     )
-    in_block = Window.partitionBy("block", "source").orderBy("size", "h", "doc_id")
-    ranked = ranged.withColumn("in_block", F.row_number().over(in_block))
-    ranked = ranked.join(
+    ranked = ranged.join(
         broadcast_if(starts, n_sources + n, BROADCAST_SOURCES),
         F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")),
-    ).withColumn("rank", F.col("start") + F.col("in_block"))
+    ).withColumn("rank", F.col("start") + F.col("place") - F.col("first") + 1)
 
     t = goal.select(F.col("source").alias("_goal"), "source_size", "num", "den", "target")
     joined = ranked.join(broadcast_if(t, n_sources, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_goal")))
