@@ -281,10 +281,16 @@ def test_pii(docs, empty):
 
 
 def test_pii_long_runs_take_linear_time():
+    import time
+
     from dialogset.llm import pii
 
     for t in ("1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "a@" * 100_000, "+1" * 100_000, "1 " * 100_000, "a.b@" + "c." * 100_000):
-        assert pii.base_spans(t) == plain.base_spans(t) if len(set(t)) > 1 and "." not in t[:2] else pii.base_spans(t) is not None
+        start = time.perf_counter()
+        pii.base_spans(t)
+        assert time.perf_counter() - start < 10
+        for part in (t[:1500], t[-1500:]):
+            assert pii.base_spans(part) == plain.base_spans(part)
 
 
 def test_pii_tagger_finds_written_forms():
@@ -389,8 +395,9 @@ def test_revisits(spark):
     ]
     df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, headers map<string,string>, payload string, seen string")
     got = sorted((r.record_id, str(r.refers_to), r.status) for r in resolve(df).collect())
-    assert got == [(2, "3", "mismatch"), (4, "None", "mismatch"), (5, "3", "unchecked"), (6, "None", "missing"), (7, "None", "missing"), (7, "None", "missing"),
-                   (9, "8", "resolved"), (10, "None", "missing")] or got[0] == (2, "None", "mismatch")
+    # the capture of time 20 answers those at and after it; its etag is another; 5 has nothing to check
+    assert got == [(2, "None", "mismatch"), (4, "None", "mismatch"), (5, "3", "unchecked"), (6, "None", "missing"), (7, "None", "missing"), (7, "None", "missing"),
+                   (9, "8", "resolved"), (10, "None", "missing")]
     assert resolve(df.where("false")).collect() == []
     full = {r.record_id: r.payload for r in with_payload(resolve(df), df).collect()}
     assert full[9] == "c" and full[5] == "body2"
@@ -431,7 +438,12 @@ def test_pipeline_stages_on_edge_rows(spark, tmp_path, bench):
         bench.write.parquet(f"file://{folder}/benchmark.parquet")
         out = C.run(spark, f"file://{folder}")
         assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "fp", "copy"]
-        assert out.count() >= 0
+        kept = out.collect()
+        # no text or no letter, copies, and benchmark passages are gone
+        assert (len(kept) > 0) == (name == "rows")
+        assert all(any(c.isalpha() for c in r.text) and not plain.base_spans(r.text) and r.n_chars == len(r.text) for r in kept)
+        assert not any(plain.contamination(r.text, [(x.item_id, x.text) for x in bench.collect()])[3] for r in kept)
+        assert {r.doc_id for r in kept} <= {1, 2, 6, 7, 9, None}
 
 
 def test_components_of_a_long_path(spark):
