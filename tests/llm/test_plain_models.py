@@ -67,7 +67,6 @@ def test_spans_are_the_best_that_do_not_overlap(monkeypatch):
 
 def test_language_against_plain_compressors(spark):
     """Every given document, with dictionaries gathered and compressors called here."""
-    from dialogset.llm import language as L
     from dialogset.llm.queries import op10_language
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
