@@ -1,7 +1,7 @@
 """K3: one logistic regression per label position, fitted together.
 
-Tokens are hashed in the JVM, and the rows' (feature, weight) pairs are
-pinned once. Every label has an L-BFGS search of its own on the driver, but
+Tokens are hashed in the JVM; the rows' (feature, weight) pairs are counted,
+weighted and pinned once. Every label has an L-BFGS search of its own on the driver, but
 all searches advance in step: one pass over the rows evaluates the loss and
 the gradient of every label still searching, at that label's own next point.
 Passes therefore number as many as the slowest label needs, not the sum, and
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,25 +47,41 @@ def token_features(text: str, num_features: int):
     return F.transform(found, lambda t: F.pmod(F.xxhash64(t), F.lit(num_features)).cast("int"))
 
 
-def _weighted(ids: pa.Array, used: dict[int, int], idf: np.ndarray):
-    """starts, places and tf-idf values of a batch's rows; unknown features are left out."""
-    starts, places, values = [], [], []
-    for row in ids:
-        feature, tf = np.unique(np.array(row.as_py() or [], np.int64), return_counts=True)
-        at = np.array([used.get(int(f), -1) for f in feature], np.int64)
-        known = at >= 0
-        starts.append(int(known.sum()))
-        places.append(at[known])
-        values.append(tf[known] * idf[at[known]])
-    sizes = np.array(starts, np.int64)
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return np.repeat(np.arange(len(sizes)), sizes), join(places, np.int64), join(values, float)
+def _places(used: dict[int, int], num_features: int) -> np.ndarray:
+    """The place of every hashed feature, -1 for unknown ones."""
+    out = np.full(num_features, -1, np.int64)
+    out[np.fromiter(used.keys(), np.int64, len(used))] = np.fromiter(used.values(), np.int64, len(used))
+    return out
+
+
+def _weighted(ids: pa.Array, places: np.ndarray, idf: np.ndarray):
+    """rows, places and tf-idf values of a batch; unknown features are left out."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(ids), 0))
+    at = places[np.asarray(ids.flatten(), np.int64)]
+    row = np.repeat(np.arange(len(ids), dtype=np.int64), sizes)
+    key, tf = np.unique((row * max(len(idf), 1) + at)[at >= 0], return_counts=True)
+    row, place = np.divmod(key, max(len(idf), 1))
+    return row, place, tf * idf[place]
+
+
+def _packed(values: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
+    """The values of each of ``n`` rows as bytes."""
+    ends = np.searchsorted(row, np.arange(n + 1)) * values.itemsize
+    held = values.tobytes()
+    return pa.array([held[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
+
+
+def _unpacked(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """rows and values of a ``_packed`` column."""
+    held = column.to_pylist()
+    sizes = np.array([len(x) for x in held], np.int64) // np.dtype(kind).itemsize
+    return np.repeat(np.arange(len(held)), sizes), np.frombuffer(b"".join(held), kind)
 
 
 def _margins(row, place, value, n: int, weights: np.ndarray, intercepts: np.ndarray) -> np.ndarray:
     out = np.tile(intercepts, (n, 1))
     for j in range(weights.shape[1]):
-        out[:, j] += np.bincount(row, value * weights[place, j], n)
+        out[:, j] += np.bincount(row, value * np.ascontiguousarray(weights[:, j])[place], n)
     return out
 
 
@@ -125,13 +142,14 @@ def fit_joint(train: DataFrame, width: int, text: str = "text", label: str = "mu
         idf[used[r.f]] = np.log((n + 1) / (r["count"] + 1))
     counts = rows.select(*[F.count(F.col("y")[j]).alias(f"n{j}") for j in range(width)]).first()
     size = len(used) + 1
+    rows = _weighted_rows(rows, _places(used, num_features), idf)
     searches = {j: lbfgs(size, max_iter, tol) for j in range(width)}
     points = {j: next(s) for j, s in searches.items()}
     out = np.zeros((width, size))
     passes = 0
     while points:
         at = sorted(points)
-        found = _evaluate(rows, used, idf, np.stack([points[j] for j in at], 1), at)
+        found = _evaluate(rows, np.stack([points[j] for j in at], 1), at)
         passes += 1
         for k, j in enumerate(at):
             m = max(int(counts[j]), 1)
@@ -147,38 +165,53 @@ def fit_joint(train: DataFrame, width: int, text: str = "text", label: str = "mu
     return JointModel(num_features, used, idf, out[:, :-1].T, out[:, -1], passes)
 
 
-def _evaluate(rows: DataFrame, used: dict[int, int], idf: np.ndarray, points: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _weighted_rows(rows: DataFrame, places: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """``y`` and the packed places and tf-idf values of every row, pinned: the
+    passes over them look nothing up and count no token again."""
+    shared = rows.sparkSession.sparkContext.broadcast((places, idf))
+
+    def run(batches):
+        known, weights = shared.value
+        for b in batches:
+            row, place, value = _weighted(b.column(0), known, weights)
+            packed = [_packed(x, row, b.num_rows) for x in (place.astype(np.int32), value)]
+            yield pa.RecordBatch.from_arrays([b.column(1), *packed], ["y", "place", "value"])
+
+    held = pin(rows.mapInArrow(run, "y array<double>, place binary, value binary"), "joint-weights")
+    shared.destroy()
+    return held
+
+
+def _evaluate(rows: DataFrame, points: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Summed losses (label) and gradients (feature and intercept, label), in one pass."""
-    shared = rows.sparkSession.sparkContext.broadcast((used, idf, points))
+    shared = rows.sparkSession.sparkContext.broadcast(points)
     width, size = len(at), len(points)
 
     def run(batches):
-        places, weights, x = shared.value
-        grad, loss = np.zeros((size, width)), np.zeros(width)
+        x = shared.value
+        grad, loss = np.zeros((width, size)), np.zeros(width)
         for b in batches:
-            row, place, value = _weighted(b.column(0), places, weights)
-            y = np.array([[np.nan if v is None else v for v in r] for r in b.column(1).to_pylist()], float).reshape(b.num_rows, -1)[:, at]
+            y = np.asarray(b.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, -1)[:, at]
+            row, place = _unpacked(b.column(1), np.int32)
+            _, value = _unpacked(b.column(2), float)
             z = _margins(row, place, value, b.num_rows, x[:-1], x[-1])
             known = ~np.isnan(y)
             y = np.where(known, y, 0.0)
             loss += np.where(known, np.logaddexp(0, z) - y * z, 0.0).sum(0)
             g = np.where(known, 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y, 0.0)
             for j in range(width):
-                grad[:-1, j] += np.bincount(place, value * g[row, j], size - 1)
-            grad[-1] += g.sum(0)
-        touched = np.flatnonzero(grad.any(1))
-        columns = [np.append(grad[touched, j], loss[j]) for j in range(width)]
+                grad[j, :-1] += np.bincount(place, value * np.ascontiguousarray(g[:, j])[row], size - 1)
+            grad[:, -1] += g.sum(0)
+        touched = np.flatnonzero(grad.any(0))
+        columns = [np.append(grad[j, touched], loss[j]) for j in range(width)]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(touched, size)), *map(pa.array, columns)], ["f", *[f"g{j}" for j in range(width)]])
 
     schema = ", ".join(["f long", *[f"g{j} double" for j in range(width)]])
     sums = rows.mapInArrow(run, schema).groupBy("f").agg(*[F.sum(f"g{j}").alias(f"g{j}") for j in range(width)]).toPandas()
-    grad, loss = np.zeros((size, width)), np.zeros(width)
-    for f, *g in sums.itertuples(index=False):
-        if f == size:
-            loss = np.array(g)
-        else:
-            grad[f] = g
-    return loss, grad
+    shared.destroy()
+    total = np.zeros((size + 1, width))
+    total[sums["f"].to_numpy()] = sums.drop(columns="f").to_numpy()
+    return total[size], total[:size]
 
 
 def predict_joint(model: JointModel, df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -191,8 +224,9 @@ def predict_joint(model: JointModel, df: DataFrame, keep: list[str], text: str =
 
     def run(batches):
         m = shared.value
+        places = _places(m.used, m.num_features)
         for b in batches:
-            row, place, value = _weighted(b.column(b.num_columns - 1), m.used, m.idf)
+            row, place, value = _weighted(b.column(b.num_columns - 1), places, m.idf)
             z = _margins(row, place, value, b.num_rows, m.weights, m.intercepts)
             p = pa.array(list(1 / (1 + np.exp(-np.clip(z, -500, 500)))), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], p], schema.names)

@@ -117,3 +117,19 @@ def test_binary_classifier_equals_a_plain_fit(spark):
     feats = {r.row_id: np.append(r._feat.toArray(), 1.0)[used] for r in model.transform(df).select("row_id", "_feat").collect()}
     for i, f in feats.items():
         assert got[i] == pytest.approx(1 / (1 + np.exp(-f @ beta)), abs=2e-3)
+
+
+def test_passes_read_weights_not_tokens(spark, train, monkeypatch):
+    """Tokens are counted and looked up once, before the passes."""
+    seen, evaluate = [], joint._evaluate
+    monkeypatch.setattr(joint, "_evaluate", lambda *a: seen.append(a[0]) or evaluate(*a))
+    model = fit_joint(train, 3, num_features=1 << 12, max_iter=5)
+    assert all(rows is seen[0] for rows in seen) and seen[0].columns == ["y", "place", "value"]
+    got = sorted((tuple(r.y), tuple(np.frombuffer(r.place, np.int32)), tuple(np.frombuffer(r.value, float))) for r in seen[0].na.fill(0).collect() if None not in r.y)
+    want = []
+    for r in train.select(joint.token_features("text", 1 << 12).alias("ids"), "multi").collect():
+        if None not in r.multi:
+            place, tf = np.unique([model.used[f] for f in r.ids], return_counts=True)
+            place = place.astype(int)
+            want.append((tuple(map(float, r.multi)), tuple(place), tuple(tf * model.idf[place])))
+    assert got == sorted(want)
