@@ -131,3 +131,31 @@ def test_last_context_needs_a_total_order(spark):
     df = spark.createDataFrame(rows, "split string, user_id long, thread_id long, conv_id long, target_idx long, text string, context string")
     with pytest.raises(Exception, match="equal order keys"):
         last_context_dedup(df, 0.2).collect()
+
+
+def test_emoji_count_equals_the_plain_pattern(spark):
+    """Every code point alone, in a chain and before a keycap, by both statements of the pattern."""
+    from dialogset.operators.quality import EMOJI_PATTERN
+
+    points = [c for c in range(1, 0x1FC00) if not 0xD800 <= c < 0xE000]
+    texts = [[x + ",", x + "\U0001F3FD️‍" + x + "⃣", x + x] for x in map(chr, points)]
+    df = spark.createDataFrame([("\n".join(t),) for t in texts], "t string").repartition(8)
+    assert df.where(emoji_count("t") != F.regexp_count("t", F.lit(EMOJI_PATTERN))).count() == 0
+
+
+def test_emoji_count_costs_little_on_plain_text(spark):
+    """A character that is no emoji is not held against every range of the class."""
+    import time
+
+    text = F.concat(F.col("id").cast("string"), F.lit(" Some words, déjà vu, слова и 言葉." * 20))
+    df = spark.range(0, 6000, 1, 1).select(text.alias("t")).localCheckpoint()
+
+    def seconds(count):
+        took = []
+        for _ in range(3):
+            start = time.perf_counter()
+            assert df.select(F.sum(count)).first()[0] == 0
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    assert seconds(emoji_count("t")) < 8 * seconds(F.regexp_count("t", F.lit("[@%|]")))
