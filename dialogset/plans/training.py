@@ -20,6 +20,8 @@ def train_score_report(spark: SparkSession, splits: str, split_id: str, tag: str
     scores are pinned, so the model runs once for all figures."""
     train = read_split_labels(spark, splits, split_id, tag, "train")
     test = row_numbers(read_split_labels(spark, splits, split_id, tag, "test"), [("text", True), ("label", True)])
+    # numbering may leave the rows in one task; scoring them is dealt out again
+    test = test.repartition("row_id")
     model = train_binary(train, num_features=num_features, max_iter=max_iter)
     scored = pin(predict_binary(model, test, ["row_id", "label"]), "scores")
     report = binary_report(scored.withColumnRenamed("label", "true"), repeats=repeats)

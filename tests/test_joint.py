@@ -133,3 +133,22 @@ def test_passes_read_weights_not_tokens(spark, train, monkeypatch):
             place = place.astype(int)
             want.append((tuple(map(float, r.multi)), tuple(place), tuple(tf * model.idf[place])))
     assert got == sorted(want)
+
+
+def test_scored_rows_are_dealt_out_after_numbering(spark, monkeypatch):
+    """Numbering ends in one task below the hot-group limit; the model must not run in it."""
+    from dialogset.plans import training
+
+    class Seen(Exception):
+        pass
+
+    def predict(model, df, keep):
+        raise Seen(df._jdf.queryExecution().analyzed().toString())
+
+    rows = spark.range(0, 40, 1, 4).selectExpr("'t' || id as text", "cast(id % 2 as int) as label")
+    monkeypatch.setattr(training, "read_split_labels", lambda *a: rows)
+    monkeypatch.setattr(training, "train_binary", lambda *a, **k: None)
+    monkeypatch.setattr(training, "predict_binary", predict)
+    with pytest.raises(Seen) as seen:
+        training.train_score_report(spark, "", "1", "t", "", "run")
+    assert seen.value.args[0].startswith("RepartitionByExpression [row_id")
